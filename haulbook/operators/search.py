@@ -96,18 +96,24 @@ def batch_search(carriers: DataFrame, terms: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
         .select("term_id", "r.gram")
     )
-    pattern = F.concat(F.lit("%"), F.replace(F.col("t"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    matches = F.col("legal_name").ilike(F.col("pattern")) | F.col("dba_name").ilike(F.col("pattern"))
     by_name = (
-        text_terms.select("term_id", "term", pattern.alias("pattern"))
+        text_terms.select("term_id", "term", "t")
         .join(rarest, "term_id")
         .join(postings, "gram")
-        .where(matches)
+        .where(_matches("legal_name") | _matches("dba_name"))
         .select("term_id", "term", "usdot_number")
     )
     return by_number.unionByName(by_name)
 
 
+def _matches(name: str) -> Column:
+    """Does the name contain term `t`? A pattern is built only for terms with wildcards."""
+    escaped = F.replace(F.col("t"), F.lit("\\"), F.lit("\\\\"))
+    pattern = F.ilike(F.col(name), F.concat(F.lit("%"), escaped, F.lit("%")))
+    plain = F.contains(F.lower(name), F.lower("t"))
+    return F.when(F.col("t").rlike("[%_]"), pattern).otherwise(plain)
+
+
 def _name_grams() -> Column:
     """Grams of every size from 3 down to the empty one, over both names."""
     out = F.when(

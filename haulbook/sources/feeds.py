@@ -38,8 +38,8 @@ def select_feed(raw: DataFrame, feed: str, extra: tuple[str, ...] = ()) -> DataF
     for name in FEEDS[feed] + extra:
         source = "src_id" if name == SOURCE_ID and SOURCE_ID not in raw.columns else name
         target = "src_id" if name == SOURCE_ID else name
-        value = F.col(f"`{source}`") if source in raw.columns else F.lit(None).cast("string")
-        cols.append(value.alias(target))
+        value = F.col(f"`{source}`") if source in raw.columns else F.lit(None)
+        cols.append(value.cast("string").alias(target))
     return raw.select(*cols)
 
 
