@@ -50,14 +50,19 @@ def num(c: Column | str) -> Column:
 def feed_date(c: Column | str) -> Column:
     """Dates as `05-JAN-24` or `2024-01-05` (a time part is cut off).
 
-    The cheap shape tests come first, so the parser sees only text it can read and
-    throws no exception per row.
+    Cheap shape tests come first: the parser sees only text it can read, so bad dates
+    cost no exception each.
     """
     text = F.left(strip(c), F.lit(10))
     short = F.try_to_date(text, "d-MMM-yy")
     short = F.when(F.year(short) >= CENTURY_PIVOT, F.add_months(short, -1200)).otherwise(short)
-    return F.when(text.rlike("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}$"), short).when(
-        text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date")
+    # The cast alone would also take a lone year and month, or a day with a time behind it.
+    iso_shape = (
+        (F.substring(text, 5, 1) == "-") & (F.locate("-", text, 6) > 0)
+        & ~F.contains(text, F.lit("T")) & ~F.contains(text, F.lit(" "))
+    )
+    return F.when(iso_shape, text.try_cast("date")).when(
+        text.rlike("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}$"), short
     )
 
 

@@ -13,6 +13,7 @@ from haulbook.schemas import (
     ACTIVE_STATUSES, DEFAULT_PLAN, PLAN_QUOTAS, QUOTA_PERIOD_DAYS, SUBSCRIBERS,
     SUBSCRIPTION_EVENT, constant_table,
 )
+from haulbook.session import materialize
 
 USAGE_ENDPOINT = "/api/v1/usage"
 # Requests of one key and day are looked at in slices of about this many ids.
@@ -136,6 +137,9 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
     running sum of the daily counts tells days that fit the quota from days beyond it.
     Only the day on which a quota runs out needs a look at single requests: see
     `_cut_ids`. However busy a key, its rows never have to come together.
+
+    The daily counts are written out once, so the log is read three times in all: for the
+    counts, for the days a quota runs out, and for the outcome of every request.
     """
     billed = F.col("endpoint") != USAGE_ENDPOINT
     requests = _stripped_keys(requests)
@@ -149,6 +153,7 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
         )
         .withColumn("api_key_hash", c.api_key_hash("api_key"))
     )
+    days = materialize(days, "request-days")
     subs = subscribers.select(
         "api_key_hash", "subscription_id", F.col("status").alias("subscription_status"),
         "monthly_quota", "usage_period_start", "usage_count",
@@ -184,6 +189,7 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
         .withColumn("used_before", F.col("carried") + F.coalesce(F.sum("billed").over(earlier), F.lit(0)))
         .withColumn("left_today", F.greatest(F.col("monthly_quota") - F.col("used_before"), F.lit(0)))
     )
+    per_day = materialize(per_day, "metered-days")
     cuts = _cut_ids(requests, per_day)
     verdict = per_day.join(cuts, ["api_key", "req_date"], "left").select(
         "api_key", "req_date", "period_start", "left_today", "cut_id",
@@ -236,7 +242,9 @@ def _cut_ids(requests: DataFrame, per_day: DataFrame) -> DataFrame:
         .select("api_key", "req_date", "request_id")
         .join(days, ["api_key", "req_date"])
         .withColumn("slice", F.floor((F.col("request_id") - F.col("lo")) / F.col("width")))
+        .select("api_key", "req_date", "slice", "request_id", "left_today")
     )
+    rows = materialize(rows, "quota-end-days")
     running = W.partitionBy("api_key", "req_date").orderBy("slice")
     slices = (
         rows.groupBy("api_key", "req_date", "slice", "left_today")

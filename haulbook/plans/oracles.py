@@ -803,8 +803,8 @@ from w_access a left join w_metered m on a.request_id = m.request_id"""
 CHECKS["b03_metered_requests"] = _outcomes
 CHECKS["b04_usage_report"] = """
 select s.subscription_id, s.plan, s.status, cast(s.monthly_quota as integer) as monthly_quota,
-       coalesce(least(u.n, s.monthly_quota), 0) as usage_count,
-       greatest(s.monthly_quota - coalesce(least(u.n, s.monthly_quota), 0), 0) as remaining,
+       least(coalesce(u.n, 0), s.monthly_quota) as usage_count,
+       greatest(s.monthly_quota - least(coalesce(u.n, 0), s.monthly_quota), 0) as remaining,
        cast(u.period_start as varchar) as period_start
 from fx_subscribers s
 left join (select subscription_id, period_start, count(*) as n from w_metered group by 1, 2

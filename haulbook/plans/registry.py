@@ -366,10 +366,10 @@ query("f09_redirects")(lambda t: directory.redirects(t.carriers, t.feed("slug_re
 
 
 # --- joins and merges -----------------------------------------------------------------
-query("j01_scores")(lambda t: t.scores)
+query("j01_scores")(lambda t: t.built_scores)
 query("j01_score_rejects")(lambda t: merges.score_rejects(t.basics))
-query("j02_inspections")(lambda t: t.inspections)
-query("j03_violations")(lambda t: t.violations)
+query("j02_inspections")(lambda t: t.built_inspections)
+query("j03_violations")(lambda t: t.built_violations)
 
 
 @query("j04_resolve_batch")
@@ -400,7 +400,7 @@ def _(t: Tables) -> DataFrame:
     return merges.census_upsert(richer, rows.clean_census(t.census), CENSUS_LOADED)
 
 
-query("j07_field_upsert")(lambda t: t.carriers)
+query("j07_field_upsert")(lambda t: t.built_carriers)
 
 
 @query("j07_incremental")
@@ -553,34 +553,32 @@ def _(t: Tables) -> DataFrame:
     """The nested profiles, flattened to one line per entry."""
     p = safety.safety_profiles(t.carriers, t.scores, t.inspections, t.violations)
 
-    def lines(part: str, text) -> DataFrame:
-        return p.select(
-            "usdot_number", F.lit(part).alias("part"),
-            F.posexplode(F.transform(part, text)).alias("position", "entry"),
-        )
-
     def line(*values):
         return F.concat_ws(";", *[F.coalesce(v.cast("string"), F.lit("-")) for v in values])
 
-    totals = p.select(
-        "usdot_number", F.lit("totals").alias("part"), F.lit(0).alias("position"),
-        line(F.col("safety_rating"), F.col("inspections_total"), F.col("violations_total")).alias("entry"),
-    )
-    return (
-        totals.unionByName(
-            lines("safety_scores", lambda s: line(s["basic_category"], s["score"], s["alert_status"]))
-        )
-        .unionByName(
-            lines(
-                "inspections",
-                lambda i: line(i["inspection_date"], i["inspection_type"], i["violations_found"], i["state"]),
-            )
-        )
-        .unionByName(
-            lines("violations", lambda v: line(v["violation_date"], v["violation_code"], v["severity_weight"]))
-        )
-        .unionByName(lines("inspections_monthly", lambda m: line(m["month"], m["count"])))
+    def entry(part, position, text):
+        return F.struct(F.lit(part).alias("part"), position.alias("position"), text.alias("entry"))
+
+    def lines(part, text):
+        return F.transform(part, lambda x, i: entry(part, i, text(x)))
+
+    totals = entry(
+        "totals", F.lit(0),
+        line(F.col("safety_rating"), F.col("inspections_total"), F.col("violations_total")),
+    )
+    every_line = F.concat(
+        F.array(totals),
+        lines("safety_scores", lambda s: line(s["basic_category"], s["score"], s["alert_status"])),
+        lines(
+            "inspections",
+            lambda i: line(i["inspection_date"], i["inspection_type"], i["violations_found"], i["state"]),
+        ),
+        lines(
+            "violations", lambda v: line(v["violation_date"], v["violation_code"], v["severity_weight"])
+        ),
+        lines("inspections_monthly", lambda m: line(m["month"], m["count"])),
     )
+    return p.select("usdot_number", F.inline(every_line))
 
 
 query("d02_answers")(lambda t: documents.answers(t.document_base))

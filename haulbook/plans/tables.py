@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from haulbook.functions import cleaning as c
 from haulbook.operators import documents, merges, rows, safety
 from haulbook.plans import fixtures
 from haulbook.schemas import CARRIERS, SUBSCRIBERS, empty
+from haulbook.session import fresh_dir
 from haulbook.sources import feeds
+from haulbook.sources.tables import publish
 
 CENSUS_LOADED = "2024-03-01 00:00:00"
 AS_OF = "2024-03-05"
@@ -19,6 +23,8 @@ ENRICHED = "2024-03-05 00:00:00"
 MEASURED = "2024-02-01"
 PRICE_PLANS = {"pri_g": "growth", "pri_s": "standard", "pri_p": "pro", "": "pro"}
 
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -42,24 +48,55 @@ class Tables:
         return rows.normalize_enrichment(self.feed("enrichment"))
 
     @cached_property
-    def carriers(self) -> DataFrame:
+    def basics(self) -> DataFrame:
+        return rows.clean_basics(self.feed("basics"))
+
+    # The loads, from the raw feeds.
+    @property
+    def built_carriers(self) -> DataFrame:
         return merges.field_upsert(self.first_load, self.enrichment, ENRICHED)
 
+    @property
+    def built_scores(self) -> DataFrame:
+        return merges.score_rows(self.basics, self.carriers, MEASURED)
+
+    @property
+    def built_inspections(self) -> DataFrame:
+        return merges.known_only(rows.clean_inspections(self.feed("inspections")), self.carriers)
+
+    @property
+    def built_violations(self) -> DataFrame:
+        return merges.known_only(rows.clean_violations(self.feed("violations")), self.carriers)
+
+    # The stored tables that the directory queries read.
     @cached_property
-    def basics(self) -> DataFrame:
-        return rows.clean_basics(self.feed("basics"))
+    def carriers(self) -> DataFrame:
+        return self._stored("carriers", lambda: self.built_carriers)
 
     @cached_property
     def scores(self) -> DataFrame:
-        return merges.score_rows(self.basics, self.carriers, MEASURED)
+        return self._stored("scores", lambda: self.built_scores)
 
     @cached_property
     def inspections(self) -> DataFrame:
-        return merges.known_only(rows.clean_inspections(self.feed("inspections")), self.carriers)
+        return self._stored("inspections", lambda: self.built_inspections, "usdot_number, inspection_date")
 
     @cached_property
     def violations(self) -> DataFrame:
-        return merges.known_only(rows.clean_violations(self.feed("violations")), self.carriers)
+        return self._stored("violations", lambda: self.built_violations, "usdot_number, violation_date")
+
+    def _stored(
+        self, name: str, build: Callable[[], DataFrame], cluster_by: str = "usdot_number"
+    ) -> DataFrame:
+        """A table as the loads leave it: published once per application and data folder,
+        in ranges of carriers, and read by every query from then on."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            df = build()
+            path = publish(df, fresh_dir(self.spark, name), 1, cluster_by)
+            _STORED[key] = (path, df.schema)
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def totals(self) -> DataFrame:
