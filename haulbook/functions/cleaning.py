@@ -32,19 +32,36 @@ def clean(c: Column | str, width: int | None = None) -> Column:
     return blank_to_null(F.left(text, F.lit(width)) if width else text)
 
 
+WHOLE_NUMBER = "^[+-]?0*[0-9]{1,10}$"
+DECIMAL_NUMBER = "^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]{1,3})?$"
+
+
+def _parsed(c: Column, shape: str, type_: str) -> Column:
+    """Cast of what looks like a number, stripped first only where that is needed.
+
+    A cast that fails costs an exception, many times the price of the look: bad text must
+    not get that far.
+    """
+    stripped = strip(c)
+    return F.coalesce(
+        F.when(c.rlike(shape), c.try_cast(type_)),
+        F.when(stripped.rlike(shape), stripped.try_cast(type_)),
+    )
+
+
 def strict_int(c: Column | str) -> Column:
     """Whole-number text to int; '12.0', 'n/a' and '' are null."""
-    return strip(c).try_cast("int")
+    return _parsed(col(c), WHOLE_NUMBER, "int")
 
 
 def loose_int(c: Column | str) -> Column:
     """As strict_int, with thousands commas allowed."""
-    return strip(F.replace(col(c).cast("string"), F.lit(","), F.lit(""))).try_cast("int")
+    return _parsed(F.replace(col(c).cast("string"), F.lit(","), F.lit("")), WHOLE_NUMBER, "int")
 
 
 def num(c: Column | str) -> Column:
     """Number text to an exact decimal, wide enough that rounding happens once, later."""
-    return strip(c).try_cast("decimal(38,18)")
+    return _parsed(col(c), DECIMAL_NUMBER, "decimal(38,18)")
 
 
 def feed_date(c: Column | str) -> Column:

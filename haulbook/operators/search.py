@@ -26,12 +26,18 @@ def grams(text: Column | str, size: int = GRAM) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(size))))
 
 
+def _name_grams(size: int = GRAM) -> Column:
+    """Grams of both names; of size 0 that is the empty text for whoever has a name."""
+    if size == 0:
+        named = F.col("legal_name").isNotNull() | F.col("dba_name").isNotNull()
+        return F.when(named, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    both = [grams(F.coalesce(F.col(n), F.lit("")), size) for n in ("legal_name", "dba_name")]
+    return F.concat(*both)
+
+
 def gram_index(carriers: DataFrame) -> DataFrame:
     """Postings (gram, usdot_number) of both names, to be stored sorted by gram."""
-    names = F.array_union(
-        grams(F.coalesce("legal_name", F.lit(""))), grams(F.coalesce("dba_name", F.lit("")))
-    )
-    return carriers.select("usdot_number", F.explode(names).alias("gram"))
+    return carriers.select("usdot_number", F.explode(F.array_distinct(_name_grams())).alias("gram"))
 
 
 def indexed_search(carriers: DataFrame, index: DataFrame, q: str) -> DataFrame:
@@ -62,9 +68,18 @@ def _longest_literal(low: Column) -> Column:
     return longest["p"]
 
 
-def _grams_up_to(text: Column) -> Column:
-    """Grams of full size, or the whole text when it is shorter (also the empty text)."""
-    return F.when(F.length(text) >= GRAM, grams(text)).otherwise(F.array(text))
+def _matches(name: str) -> Column:
+    """Does the name contain term `t`? A pattern is built only for terms with wildcards."""
+    escaped = F.replace(F.col("t"), F.lit("\\"), F.lit("\\\\"))
+    pattern = F.ilike(F.col(name), F.concat(F.lit("%"), escaped, F.lit("%")))
+    plain = F.contains(F.lower(name), F.lower("t"))
+    return F.when(F.col("t").rlike("[%_]"), pattern).otherwise(plain)
+
+
+def _candidates(carriers: DataFrame, *sizes: int) -> DataFrame:
+    """Names under each of their distinct grams of the given sizes."""
+    held = F.array_distinct(F.concat(*[_name_grams(s) for s in sizes]))
+    return carriers.select("usdot_number", "legal_name", "dba_name", F.explode(held).alias("gram"))
 
 
 def batch_search(carriers: DataFrame, terms: DataFrame) -> DataFrame:
@@ -72,55 +87,36 @@ def batch_search(carriers: DataFrame, terms: DataFrame) -> DataFrame:
     cleaned = terms.select("term_id", "term", strip("term").alias("t"))
     is_number = F.col("t").rlike("^[0-9]+$")
 
-    numbers = cleaned.where(is_number)
     answers = carriers.select(
         "usdot_number",
         F.explode(F.array_distinct(F.array("usdot_number", "mc_number"))).alias("t"),
     )
-    by_number = numbers.join(answers, "t").select("term_id", "term", "usdot_number")
+    by_number = cleaned.where(is_number).join(answers, "t")
 
-    text_terms = cleaned.where(~is_number).withColumn("piece", _longest_literal(F.lower("t")))
-    term_grams = text_terms.select(
-        "term_id", F.explode(_grams_up_to(F.col("piece"))).alias("gram")
-    )
-    names = carriers.select("usdot_number", "legal_name", "dba_name")
-    postings = names.select(
-        "usdot_number", "legal_name", "dba_name", F.explode(_name_grams()).alias("gram")
-    )
+    texts = cleaned.where(~is_number).withColumn("piece", _longest_literal(F.lower("t")))
+    long_enough = F.length("piece") >= GRAM
+
+    long_terms, postings = texts.where(long_enough), _candidates(carriers, GRAM)
+    term_grams = long_terms.select("term_id", F.explode(grams("piece")).alias("gram"))
     used = term_grams.select("gram").distinct()
-    holders = postings.join(used, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    # A gram no name holds has no row here: its term can match nothing and drops out.
+    holders = (
+        gram_index(carriers).join(used, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    )
+    # A gram nobody holds counts 0: its term matches nothing, and finds nothing.
     rarest = (
         term_grams.join(holders, "gram", "left")
         .groupBy("term_id")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
         .select("term_id", "r.gram")
     )
-    by_name = (
-        text_terms.select("term_id", "term", "t")
-        .join(rarest, "term_id")
-        .join(postings, "gram")
-        .where(_matches("legal_name") | _matches("dba_name"))
-        .select("term_id", "term", "usdot_number")
-    )
-    return by_number.unionByName(by_name)
-
-
-def _matches(name: str) -> Column:
-    """Does the name contain term `t`? A pattern is built only for terms with wildcards."""
-    escaped = F.replace(F.col("t"), F.lit("\\"), F.lit("\\\\"))
-    pattern = F.ilike(F.col(name), F.concat(F.lit("%"), escaped, F.lit("%")))
-    plain = F.contains(F.lower(name), F.lower("t"))
-    return F.when(F.col("t").rlike("[%_]"), pattern).otherwise(plain)
+    by_gram = long_terms.join(rarest, "term_id").join(postings, "gram")
 
+    # Shorter pieces are grams themselves. Without such terms this branch stays empty,
+    # and adaptive execution drops it.
+    short_terms = texts.where(~long_enough).withColumnRenamed("piece", "gram")
+    by_piece = short_terms.join(_candidates(carriers, 0, 1, 2), "gram")
 
-def _name_grams() -> Column:
-    """Grams of every size from 3 down to the empty one, over both names."""
-    out = F.when(
-        F.col("legal_name").isNotNull() | F.col("dba_name").isNotNull(), F.array(F.lit(""))
-    ).otherwise(F.array().cast("array<string>"))
-    for name in ("legal_name", "dba_name"):
-        text = F.coalesce(F.col(name), F.lit(""))
-        for size in range(1, GRAM + 1):
-            out = F.array_union(out, grams(text, size))
-    return out
+    hit = _matches("legal_name") | _matches("dba_name")
+    out = [by_number] + [found.where(F.coalesce(hit, F.lit(False))) for found in (by_gram, by_piece)]
+    columns = ("term_id", "term", "usdot_number")
+    return out[0].select(*columns).unionByName(out[1].select(*columns)).unionByName(out[2].select(*columns))

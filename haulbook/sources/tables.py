@@ -21,17 +21,22 @@ def _versions_path(root: str) -> str:
     return f"{root.rstrip('/')}/_list"
 
 
-def publish(df: DataFrame, root: str, version: int, cluster_by: str | None = None) -> str:
+def publish(
+    df: DataFrame, root: str, version: int, cluster_by: str | None = None, ranges: bool = False
+) -> str:
     """Replace the whole table by `df`, as version `version`.
 
-    With `cluster_by` the files are ranges of that column and sorted by it, so a lookup
-    by key skips all row groups but its own. The ranges also split a key that fills more
-    than a partition's worth of rows once a second column is named (`a,b`).
+    With `cluster_by` (one or more columns, `a, b`) the rows of a key lie together and
+    sorted, so a lookup skips all row groups but its own. The rebalancing shuffle is one
+    pass, and adaptive execution splits a key that outgrows a file. `ranges` makes the
+    files ranges of the key instead, so that a lookup opens one file; that samples the
+    rows first, which for anything but a small table means computing them twice.
     """
     path = f"{root.rstrip('/')}/v{version}"
     if cluster_by:
         keys = [k.strip() for k in cluster_by.split(",")]
-        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        df = df.repartitionByRange(*keys) if ranges else df.hint("rebalance", keys[0])
+        df = df.sortWithinPartitions(*keys)
     df.write.mode("overwrite").parquet(path)
     spark = df.sparkSession
     line = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(path).alias("path"))
