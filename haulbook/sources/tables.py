@@ -94,3 +94,8 @@ def export_profiles(profiles: DataFrame, path: str, fmt: str = "json") -> None:
     """One nested document per carrier, as JSON lines or Parquet."""
     options = {"ignoreNullFields": "false"} if fmt == "json" else {}
     profiles.write.mode("overwrite").options(**options).format(fmt).save(path)
+
+
+def export_sitemaps(files: DataFrame, path: str) -> None:
+    """One text file per sitemap, in a folder named by its number."""
+    files.select("file", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("file").text(path)

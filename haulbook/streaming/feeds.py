@@ -98,8 +98,9 @@ def once_per_source_row(
     """Append rows whose `src_id` is not stored yet, however often the feed repeats them.
 
     The table is laid out by month. A repeated source row has the same month, so a batch
-    is compared with the months it contains and not with the whole table. Every batch
-    writes its own folder, and a repeated batch replaces it.
+    is compared with the months it contains and not with the whole table; the list of
+    its months is all that comes to the driver. Every batch writes its own folder, and a
+    repeated batch replaces it.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -107,10 +108,11 @@ def once_per_source_row(
         rows = clean(batch).withColumn("month", F.coalesce(month_key(day), F.lit("none")))
         rows = rows.dropDuplicates(["src_id"])
         if batch_id > 0:
+            months = [r.month for r in rows.select("month").distinct().collect()]
             stored = (
                 spark.read.schema(STORED)
                 .parquet(root)
-                .where(F.col("batch") < batch_id)
+                .where((F.col("batch") < batch_id) & F.col("month").isin(months))
                 .select("month", "src_id")
             )
             rows = rows.join(stored, ["month", "src_id"], "left_anti")
