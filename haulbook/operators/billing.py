@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from haulbook.functions import cleaning as c
 from haulbook.schemas import (
     ACTIVE_STATUSES, DEFAULT_PLAN, PLAN_QUOTAS, QUOTA_PERIOD_DAYS, SUBSCRIBERS,
-    SUBSCRIPTION_EVENT, constant_table,
+    SUBSCRIPTION_EVENT, constant_table, empty,
 )
 from haulbook.session import materialize
 
 USAGE_ENDPOINT = "/api/v1/usage"
-# Requests of one key and day are looked at in slices of about this many ids.
-SLICE = 65_536
+# Single requests are looked at in slices of 2^16 consecutive ids.
+SLICE_BITS = 16
 
 
 def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -80,7 +80,7 @@ def fold_subscriptions(
         F.max("plan").alias("highest"),
     )
     if existing is None:
-        existing = folded.sparkSession.createDataFrame([], SUBSCRIBERS)
+        existing = empty(folded.sparkSession, SUBSCRIBERS)
     old, new = existing.alias("o"), folded.alias("n")
     key = "subscription_id"
     known, touched = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
@@ -146,11 +146,7 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
     days = (
         requests.where(F.col("api_key").isNotNull())
         .groupBy("api_key", "req_date")
-        .agg(
-            F.count_if(billed).alias("billed"),
-            F.min(F.when(billed, F.col("request_id"))).alias("lo"),
-            F.max(F.when(billed, F.col("request_id"))).alias("hi"),
-        )
+        .agg(F.count_if(billed).alias("billed"))
         .withColumn("api_key_hash", c.api_key_hash("api_key"))
     )
     days = materialize(days, "request-days")
@@ -229,19 +225,18 @@ def _period_starts(dates: str, open_start: str) -> Column:
 def _cut_ids(requests: DataFrame, per_day: DataFrame) -> DataFrame:
     """Per day on which a quota runs out, the id of the last request it still covered.
 
-    At most one day per period. The day's ids are cut into slices of equal id width, the
-    slices are counted, and single requests are numbered only in the slice that holds
-    the last covered one.
+    At most one day per period. Its requests are counted per slice of consecutive ids,
+    and numbered only in the slice that holds the last covered one. Ids are unique, so a
+    slice has no more rows than ids, however busy the key is.
     """
     days = per_day.where((F.col("left_today") > 0) & (F.col("left_today") < F.col("billed"))).select(
-        "api_key", "req_date", "left_today", "lo",
-        F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("billed") / SLICE)).alias("width"),
+        "api_key", "req_date", "left_today"
     )
     rows = (
         requests.where(F.col("endpoint") != USAGE_ENDPOINT)
         .select("api_key", "req_date", "request_id")
         .join(days, ["api_key", "req_date"])
-        .withColumn("slice", F.floor((F.col("request_id") - F.col("lo")) / F.col("width")))
+        .withColumn("slice", F.shiftright("request_id", SLICE_BITS))
         .select("api_key", "req_date", "slice", "request_id", "left_today")
     )
     rows = materialize(rows, "quota-end-days")

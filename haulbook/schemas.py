@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- raw feeds: every field arrives as text -------------------------------------------
@@ -185,7 +186,9 @@ US_STATE_CODES = tuple(code for code in STATE_NAMES if code not in ("GU", "VI"))
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """A table without rows that the optimizer knows to be empty, so joins with it vanish."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.sql("select 1").where("false").select(*columns)
 
 
 def constant_table(spark: SparkSession, rows: dict[str, object], key: str, value: str) -> DataFrame:

@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A carrier or an API key may own a third of a table: let AQE split its partition.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A side is broadcast when its size is known to be below this; the keys of the whole
+    # directory are, so resolving a feed does not shuffle the feed. Beyond it Spark joins
+    # by sorting.
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     # Plans here have hundreds of expressions; recording the call site of each is slow.

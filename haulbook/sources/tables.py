@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulbook.schemas import empty
+
 VERSIONS = T.StructType(
     [T.StructField("version", T.LongType()), T.StructField("path", T.StringType())]
 )
@@ -64,7 +66,7 @@ def read_table(
     if newest is None:
         if schema is None:
             raise FileNotFoundError(f"no published version under {root}")
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     return spark.read.parquet(newest[1])
 
 

@@ -49,9 +49,9 @@ def replay(requests, subscribers):
     return out, state
 
 
-@pytest.mark.parametrize("slice_", [2, 65_536])
-def test_metering_equals_a_replay(spark, monkeypatch, slice_):
-    monkeypatch.setattr(billing, "SLICE", slice_)
+@pytest.mark.parametrize("bits", [1, 16])
+def test_metering_equals_a_replay(spark, monkeypatch, bits):
+    monkeypatch.setattr(billing, "SLICE_BITS", bits)
     rng = random.Random(7)
     subs = [
         # The first key makes a third of all requests.
