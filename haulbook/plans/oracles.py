@@ -556,9 +556,9 @@ CHECKS["k01_fleet_order"] = f"""
 select row_number() over (order by {FLEET}) as rank, usdot_number, total_vehicles from w_carriers"""
 CHECKS["k02_page"] = f"""
 select cast(row_number() over (order by {FLEET}) - 1 as integer) as position, {SUMMARY},
-       n as total, 2 as page, 10 as per_page, greatest(1, cast(ceil(n / 10) as bigint)) as pages
+       n as total, 2 as page, 5 as per_page, greatest(1, cast(ceil(n / 5) as bigint)) as pages
 from (select *, count(*) over () as n from w_carriers where is_active and state = 'TX'
-      order by {FLEET} limit 10 offset 10)"""
+      order by {FLEET} limit 5 offset 5)"""
 CHECKS["k02_page_past_end"] = """
 select 0 as items, count(*) as total, 5000 as page, 100 as per_page,
        greatest(1, cast(ceil(count(*) / 100) as bigint)) as pages from w_carriers where is_active"""

@@ -505,7 +505,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("k02_page")
 def _(t: Tables) -> DataFrame:
-    page = ranking.page_envelope(directory.list_carriers(t.carriers, state="TX"), page=2, per_page=10)
+    page = ranking.page_envelope(directory.list_carriers(t.carriers, state="TX"), page=2, per_page=5)
     return page.select(
         F.posexplode_outer("items").alias("position", "item"), "total", "page", "per_page", "pages"
     ).select("position", "item.*", "total", "page", "per_page", "pages")
