@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,43 @@ INDEX_HEAD = (
 )
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+# The wording of the texts.
+ANSWER = "USDOT {dot} is the FMCSA registration number for {name}{place}.{fleet}{record}"
+ANSWER_PLACE = ", a motor carrier based in {city}, {state}"
+ANSWER_FLEET = " The company operates {vehicles} vehicles{crew}"
+ANSWER_CREW = " with {drivers} drivers."
+ANSWER_RECORD = (
+    " It has {inspections} roadside inspections and {violations} violations on record in the"
+    " last 24 months."
+)
+FAQ_WHAT = "What is USDOT {dot}?"
+FAQ_HOW_MANY = "How many violations does {name} have?"
+FAQ_VIOLATIONS = (
+    "{name} has {violations} recorded violations in the last 24 months across {inspections}"
+    " roadside inspections, according to public FMCSA data."
+)
+FAQ_ALLOWED = "Is {name} authorized to operate?"
+FAQ_STATUS = "{name}'s registration status is {status} according to FMCSA records."
+FAQ_NO_STATUS = (
+    "{name} is registered with the FMCSA under USDOT {dot}. Check the FMCSA SAFER system for"
+    " current operating authority."
+)
+PAGE_TITLE = "{name} (USDOT {dot}) | Safety Record"
+PAGE_DESCRIPTION = "View safety data, inspections and violations for {name}. USDOT {dot}{based}."
+PAGE_BASED = ", based in {state}"
+COVERAGE_ALL = "Interstate (operates across state lines)"
+COVERAGE_HOME = "{home} only ({kind})"
+COVERAGE_UNKNOWN_HOME = "Home state"
+STATE_LIST_NAME = "Trucking companies in {state}"
+
+
+def _fill(wording: str, **values: Column) -> Column:
+    """The wording with its placeholders replaced by columns; null if one of them is."""
+    parts = []
+    for literal, field, _, _ in Formatter().parse(wording):
+        parts += [F.lit(literal)] if literal else []
+        parts += [values[field]] if field else []
+    return F.concat(*parts)
 
 
 def _or_nothing(condition: Column, text: Column) -> Column:
@@ -58,25 +95,26 @@ def answer_sentence() -> Column:
     vehicles, drivers = F.col("total_vehicles"), F.col("total_drivers")
     place = _or_nothing(
         F.col("city").isNotNull() & F.col("state").isNotNull(),
-        _text(", a motor carrier based in ", F.col("city"), ", ", F.col("state")),
+        _fill(ANSWER_PLACE, city=F.col("city"), state=F.col("state")),
     )
     crew = F.when(
-        F.coalesce(drivers, F.lit(0)) != 0, _text(" with ", c.thousands(drivers), " drivers.")
+        F.coalesce(drivers, F.lit(0)) != 0, _fill(ANSWER_CREW, drivers=c.thousands(drivers))
     ).otherwise(F.lit("."))
     fleet = _or_nothing(
         F.coalesce(vehicles, F.lit(0)) != 0,
-        _text(" The company operates ", c.thousands(vehicles), " vehicles", crew),
+        _fill(ANSWER_FLEET, vehicles=c.thousands(vehicles), crew=crew),
     )
     record = _or_nothing(
         F.col("inspections_total") > 0,
-        _text(
-            " It has ", c.thousands("inspections_total"), " roadside inspections and ",
-            c.thousands("violations_total"), " violations on record in the last 24 months.",
+        _fill(
+            ANSWER_RECORD,
+            inspections=c.thousands("inspections_total"),
+            violations=c.thousands("violations_total"),
         ),
     )
-    return _text(
-        "USDOT ", F.col("usdot_number"), " is the FMCSA registration number for ",
-        F.col("name"), place, ".", fleet, record,
+    return _fill(
+        ANSWER, dot=F.col("usdot_number"), name=F.col("name"), place=place, fleet=fleet,
+        record=record,
     )
 
 
@@ -91,27 +129,19 @@ def faq_list() -> Column:
     def entry(q: Column, a: Column) -> Column:
         return F.struct(q.alias("q"), a.alias("a"))
 
-    what = entry(_text("What is USDOT ", dot, "?"), answer_sentence())
+    what = entry(_fill(FAQ_WHAT, dot=dot), answer_sentence())
     how_many = entry(
-        _text("How many violations does ", name, " have?"),
-        _text(
-            name, " has ", c.thousands("violations_total"),
-            " recorded violations in the last 24 months across ",
-            c.thousands("inspections_total"),
-            " roadside inspections, according to public FMCSA data.",
+        _fill(FAQ_HOW_MANY, name=name),
+        _fill(
+            FAQ_VIOLATIONS, name=name, violations=c.thousands("violations_total"),
+            inspections=c.thousands("inspections_total"),
         ),
     )
     status = F.col("authority_status")
     allowed = entry(
-        _text("Is ", name, " authorized to operate?"),
-        F.when(
-            status.isNotNull(),
-            _text(name, "'s registration status is ", status, " according to FMCSA records."),
-        ).otherwise(
-            _text(
-                name, " is registered with the FMCSA under USDOT ", dot,
-                ". Check the FMCSA SAFER system for current operating authority.",
-            )
+        _fill(FAQ_ALLOWED, name=name),
+        F.when(status.isNotNull(), _fill(FAQ_STATUS, name=name, status=status)).otherwise(
+            _fill(FAQ_NO_STATUS, name=name, dot=dot)
         ),
     )
     asked = F.when(F.col("violations_total") > 0, how_many)
@@ -123,7 +153,7 @@ def faqs(base: DataFrame) -> DataFrame:
 
 
 def carrier_url(site: str = DEFAULT_SITE) -> Column:
-    return _text(f"{site}/carrier/", F.col("slug"))
+    return F.concat(F.lit(f"{site}/carrier/"), F.col("slug"))
 
 
 def organization_json(site: str = DEFAULT_SITE) -> Column:
@@ -143,7 +173,7 @@ def organization_json(site: str = DEFAULT_SITE) -> Column:
             F.lit("Organization").alias("@type"),
             F.col("name").alias("name"),
             F.col("dba_name").alias("alternateName"),
-            _text("USDOT ", F.col("usdot_number")).alias("identifier"),
+            F.concat(F.lit("USDOT "), F.col("usdot_number")).alias("identifier"),
             carrier_url(site).alias("url"),
             F.col("phone").alias("telephone"),
             F.when(located, address).alias("address"),
@@ -151,6 +181,10 @@ def organization_json(site: str = DEFAULT_SITE) -> Column:
     )
 
 
+def state_url(site: str = DEFAULT_SITE) -> Column:
+    return F.concat(F.lit(f"{site}/state/"), F.lower("state_code"))
+
+
 def _crumb(position: Column, name: Column, item: Column) -> Column:
     return F.struct(
         F.lit("ListItem").alias("@type"), position.alias("position"), name.alias("name"),
@@ -165,7 +199,7 @@ def breadcrumb_json(site: str = DEFAULT_SITE) -> Column:
     state = F.when(
         has_page,
         _crumb(
-            F.lit(2), F.col("state_name"), _text(f"{site}/state/", F.lower(F.col("state_code")))
+            F.lit(2), F.col("state_name"), state_url(site)
         ),
     )
     carrier = _crumb(F.when(has_page, 3).otherwise(2), F.col("name"), carrier_url(site))
@@ -200,30 +234,28 @@ def faq_json() -> Column:
 
 def page_metadata(base: DataFrame) -> DataFrame:
     name, dot = F.col("name"), F.col("usdot_number")
-    based = _or_nothing(F.col("state").isNotNull(), _text(", based in ", F.col("state")))
+    based = _or_nothing(F.col("state").isNotNull(), _fill(PAGE_BASED, state=F.col("state")))
     return base.select(
         "usdot_number",
-        _text(name, " (USDOT ", dot, ") | Safety Record").alias("title"),
-        _text(
-            "View safety data, inspections and violations for ", name, ". USDOT ", dot, based, "."
-        ).alias("description"),
-        _text("/carrier/", F.col("slug")).alias("canonical"),
+        _fill(PAGE_TITLE, name=name, dot=dot).alias("title"),
+        _fill(PAGE_DESCRIPTION, name=name, dot=dot, based=based).alias("description"),
+        F.concat(F.lit("/carrier/"), F.col("slug")).alias("canonical"),
     )
 
 
 def coverage_text() -> Column:
     """Where a carrier operates; null when its operation type is unknown."""
     kind = F.col("operation_type")
-    home = F.coalesce("state_name", "state", F.lit("Home state"))
-    return F.when(kind == "Interstate", F.lit("Interstate (operates across state lines)")).when(
-        kind.isNotNull(), _text(home, " only (", kind, ")")
+    home = F.coalesce("state_name", "state", F.lit(COVERAGE_UNKNOWN_HOME))
+    return F.when(kind == "Interstate", F.lit(COVERAGE_ALL)).when(
+        kind.isNotNull(), _fill(COVERAGE_HOME, home=home, kind=kind)
     )
 
 
 def coverage(base: DataFrame) -> DataFrame:
     headquarters = F.when(
         F.col("city").isNotNull(),
-        _text(F.col("city"), ", ", F.coalesce("state_name", "state", F.lit(""))),
+        F.concat(F.col("city"), F.lit(", "), F.coalesce("state_name", "state", F.lit(""))),
     )
     return base.select(
         "usdot_number", headquarters.alias("headquarters"), coverage_text().alias("coverage")
@@ -323,7 +355,7 @@ def state_item_lists(carriers: DataFrame, site: str = DEFAULT_SITE) -> DataFrame
                 F.struct(
                     F.lit("https://schema.org").alias("@context"),
                     F.lit("ItemList").alias("@type"),
-                    _text("Trucking companies in ", F.col("state_name")).alias("name"),
+                    _fill(STATE_LIST_NAME, state=F.col("state_name")).alias("name"),
                     F.coalesce("total", F.lit(0)).alias("numberOfItems"),
                     F.coalesce("items", none).alias("itemListElement"),
                 )
@@ -345,7 +377,7 @@ def sitemap_urls(
     states = state_table(spark).select(
         # State pages follow the fixed ones, in the order of the state table.
         (F.lit(len(STATIC_PAGES)) + F.array_position(_codes(), F.col("state_code")) - 1).alias("position"),
-        _text(f"{site}/state/", F.lower(F.col("state_code"))).alias("url"),
+        state_url(site).alias("url"),
     )
     profiles = slug_pages(carriers, per_file).select(
         (F.col("page") + 1).alias("file"), "position", carrier_url(site).alias("url")
@@ -364,17 +396,17 @@ def sitemap_files(
     carriers: DataFrame, site: str = DEFAULT_SITE, per_file: int = PAGE_SIZE
 ) -> DataFrame:
     """(file, xml); a file holds at most 50,000 urls by the format's own rule."""
-    entry = _text("<url><loc>", c.xml_escape("url"), "</loc></url>")
+    entry = F.concat(F.lit("<url><loc>"), c.xml_escape("url"), F.lit("</loc></url>"))
     return (
         sitemap_urls(carriers, site, per_file)
         .groupBy("file")
         .agg(F.collect_list(F.struct("position", entry.alias("entry"))).alias("e"))
         .select(
             "file",
-            _text(
-                URLSET_HEAD,
+            F.concat(
+                F.lit(URLSET_HEAD),
                 F.array_join(F.transform(F.array_sort("e"), lambda x: x["entry"]), ""),
-                "</urlset>",
+                F.lit("</urlset>"),
             ).alias("xml"),
         )
     )
@@ -388,19 +420,21 @@ def sitemap_index(
     active = carriers.agg(F.count_if("is_active").alias("n"))
     last = F.greatest(F.lit(1), F.ceil(F.col("n") / per_file)).cast("bigint")
     return active.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("file")).select(
-        "file", _text(f"{site}/sitemaps/", F.col("file").cast("string")).alias("url")
+        "file", F.concat(F.lit(f"{site}/sitemaps/"), F.col("file").cast("string")).alias("url")
     )
 
 
 def sitemap_index_xml(
     carriers: DataFrame, site: str = DEFAULT_SITE, per_file: int = PAGE_SIZE
 ) -> DataFrame:
-    entry = _text("<sitemap><loc>", c.xml_escape("url"), "</loc></sitemap>")
+    entry = F.concat(F.lit("<sitemap><loc>"), c.xml_escape("url"), F.lit("</loc></sitemap>"))
     rows = sitemap_index(carriers, site, per_file).agg(
         F.array_sort(F.collect_list(F.struct("file", entry.alias("entry")))).alias("e")
     )
     return rows.select(
-        _text(
-            INDEX_HEAD, F.array_join(F.transform("e", lambda x: x["entry"]), ""), "</sitemapindex>"
+        F.concat(
+            F.lit(INDEX_HEAD),
+            F.array_join(F.transform("e", lambda x: x["entry"]), ""),
+            F.lit("</sitemapindex>"),
         ).alias("xml")
     )
