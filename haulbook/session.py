@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,12 +43,19 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    Only where the session names none (a laptop, a test) is a local one made, once per
-    application.
+    Only where the session names none and runs on one machine (a laptop, a test) is a local
+    one made, once per application. On a cluster the setting is required: a folder of the
+    driver's own disk would leave each executor with its own part of a table.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(
+            f"spark.checkpoint.dir is not set, and master {master} needs a folder that every "
+            "executor can reach"
+        )
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_DIRS:
         _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
