@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulbook.llm import decontaminate, mixing, oracles, repeats
+from haulbook.llm import decontaminate, mixing, near_copies, oracles, repeats
 from haulbook.llm.common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_out(table(spark, sf_dir, "documents"), whole_characters=False).drop("kept")
 
@@ -23,7 +27,7 @@ def op6_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_run_length_index, op5_positional_index, op6_splitting_tree)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_run_length_index, op5_positional_index, op6_splitting_tree)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -359,26 +359,29 @@ def _hot_strings(length: int):
     return work
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and `doc`: a number in the order of documents, the id where it is unique."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, and `doc`: a number in the order of documents, the id where it is unique.
+    The second table has each document once."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     unclear = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
     if unclear.isEmpty():
-        return plain.withColumn("doc", F.col("doc_id"))
+        plain = plain.withColumn("doc", F.col("doc_id"))
+        return plain, plain
     plain = plain.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     numbers = materialize(
         plain.select("doc_id", "hash").distinct().orderBy("doc_id", "hash").withColumn("doc", F.monotonically_increasing_id()),
         "document-numbers",
     )
     same = plain.doc_id.eqNullSafe(numbers.doc_id) & (plain.hash == numbers.hash)
-    return plain.join(numbers, same).select(plain.doc_id, "text", "doc")
+    plain = plain.join(numbers, same).select(plain.doc_id, "text", "doc")
+    return plain, plain.dropDuplicates(["doc"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents with their number `doc` and text bytes, and per number the ranges of
     starts (start, starts) whose string of `length` bytes starts earlier elsewhere."""
-    texts = keyed(docs)
-    plain = texts.select("doc", F.coalesce("text", F.lit("")).alias("text"))
+    texts, once = keyed(docs)
+    plain = once.select("doc", F.coalesce("text", F.lit("")).alias("text"))
     rows = arrow_map(plain, _stretch_rows(length, gram), STRETCH)
     parted = rows.repartition("gram").sortWithinPartitions("gram", "content", "doc", "start")
     folded = materialize(arrow_map(parted, _fold, FOLDED), "folded-stretches")
