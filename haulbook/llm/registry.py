@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulbook.llm import decontaminate, mixing, near_copies, oracles, repeats
+from haulbook.llm import decontaminate, mixing, near_copies, oracles, quality, repeats, toxicity
 from haulbook.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_out(table(spark, sf_dir, "documents"), whole_characters=False).drop("kept")
 
 
+def op3_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,8 +30,15 @@ def op6_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
 
 
+def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_run_length_index, op5_positional_index, op6_splitting_tree)}
+    return {f.__name__: f for f in (
+        op1_order_minhash, op2_run_length_index, op3_additive_model, op5_positional_index, op6_splitting_tree,
+        op10_weighted_lexicon,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
