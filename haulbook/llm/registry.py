@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulbook.llm import decontaminate, mixing, near_copies, oracles, quality, repeats, toxicity
+from haulbook.llm import decontaminate, fingerprints, mixing, near_copies, oracles, quality, repeats, toxicity
 from haulbook.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
 
 
+def op7_consistent_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_order_minhash, op2_run_length_index, op3_additive_model, op5_positional_index, op6_splitting_tree,
-        op10_weighted_lexicon,
+        op7_consistent_sampling, op10_weighted_lexicon,
     )}
 
 
