@@ -57,3 +57,45 @@ SELECT p.doc_id, p.size, e.source_size::BIGINT AS source_size, e.target,
        (p.size * (e.epochs + CASE WHEN p.upto - p.size / 2.0 < e.target - e.epochs * e.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 """
+
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *,
+    4 * (length(text) - length(replace(text, '&', '')))
+    + 3 * ((length(text) - length(replace(text, '<s>', ''))) / 3
+           + (length(text) - length(replace(text, '</s>', ''))) / 4
+           + (length(text) - length(replace(text, '<sep>', ''))) / 5)
+    + 4 * ((length(text) - length(replace(text, '[INST]', ''))) / 6
+           + (length(text) - length(replace(text, '[/INST]', ''))) / 7) AS added,
+    lag(role) OVER w AS before, lead(role) OVER w AS after
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (
+  SELECT *,
+    length(text) + added
+    + CASE WHEN before IS NOT DISTINCT FROM role THEN 7 ELSE 4 + length(role) + CASE WHEN role = 'user' THEN 7 ELSE 0 END END
+    + CASE WHEN after IS NOT DISTINCT FROM role THEN 0 ELSE 5 + CASE WHEN role = 'user' THEN 8 ELSE 0 END END AS chars
+  FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+w AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS winner FROM p),
+five AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::INTEGER) AS v FROM w)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(v, lambda x:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM five
+"""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulbook.llm import decontaminate, fingerprints, mixing, near_copies, oracles, quality, repeats, toxicity
+from haulbook.llm import (
+    chat, decontaminate, fingerprints, mixing, near_copies, oracles, quality, repeats, toxicity, warc,
+)
 from haulbook.llm.common import table
 
 
@@ -34,6 +36,15 @@ def op7_consistent_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op8_relational_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chats.union(chat.probe(spark)))
+
+
+def op9_splittable_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,9 +52,12 @@ def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_order_minhash, op2_run_length_index, op3_additive_model, op5_positional_index, op6_splitting_tree,
-        op7_consistent_sampling, op10_weighted_lexicon,
+        op7_consistent_sampling, op8_relational_formatting, op9_splittable_reader, op10_weighted_lexicon,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_positional_index": oracles.OP5, "op6_splitting_tree": oracles.OP6}
+    return {
+        "op5_positional_index": oracles.OP5, "op6_splitting_tree": oracles.OP6,
+        "op8_relational_formatting": oracles.OP8, "op9_splittable_reader": oracles.OP9,
+    }
