@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulbook.llm.common import arrow_map, chunks
-from haulbook.session import fresh_dir
+from haulbook.session import fresh_dir, materialize
 
 WINDOW = 13
 #: A document is contaminated when its hit words are at least one in so many.
@@ -78,7 +78,7 @@ def parts(bench: DataFrame, most: int = MOST_TEST_WORDS) -> list[list[tuple]]:
 
 
 INDEX = (
-    "doc_ids array<bigint>, n_words array<int>, terms array<int>, counts array<int>, positions binary"
+    "doc_ids array<bigint>, k1 array<bigint>, k2 array<bigint>, n_words array<int>, terms array<int>, counts array<int>, positions binary"
 )
 
 
@@ -106,17 +106,26 @@ def build_index(docs: DataFrame, bench: DataFrame, path: str | None = None) -> t
             order = at[np.argsort(numbers[at], kind="stable")]
             terms, counts = np.unique(numbers[at], return_counts=True)
             yield {
-                "doc_ids": [batch.column("doc_id").to_pylist()], "n_words": [n.tolist()],
+                **{f: [batch.column(c).to_pylist()] for f, c in (("doc_ids", "doc_id"), ("k1", "k1"), ("k2", "k2"))}, "n_words": [n.tolist()],
                 "terms": [terms.tolist()], "counts": [counts.tolist()],
                 "positions": [order.astype(np.uint32).tobytes()],
             }
 
     path = path or fresh_dir(spark, "postings")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = text_keys(docs).select("doc_id", "k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
     arrow_map(plain, index, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path), vocabulary
 
 
+def text_keys(docs: DataFrame) -> DataFrame:
+    """`docs` with its id as a long and, as k1 and k2, 128 bits that stand for the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
+    )
+
+
 class Block:
     """One block's lists, with all of them in one sorted array of (term, position)."""
 
@@ -194,7 +203,7 @@ def _blocks(batches):
 
 
 def match(index: DataFrame, vocabulary: dict[bytes, int], bench: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, the hit words' spans, and the items that occur."""
+    """Per document: doc_id, the text's key, n_words, the hit words' spans, the items that occur."""
     spark, found = index.sparkSession, []
     for group in parts(bench):
         test = TestSet(group)
@@ -211,13 +220,13 @@ def match(index: DataFrame, vocabulary: dict[bytes, int], bench: DataFrame) -> D
                 for w, s, d in zip(which.tolist(), (starts - block.starts[owner]).tolist(), owner.tolist()):
                     hits[d].append((w, s))
                 yield {
-                    "doc_id": row["doc_ids"], "n_words": row["n_words"],
+                    "doc_id": row["doc_ids"], "k1": row["k1"], "k2": row["k2"], "n_words": row["n_words"],
                     "begins": [[s for _, s in h] for h in hits],
                     "ends": [[s + int(lengths[w]) for w, s in h] for h in hits],
                     "items": [sorted(set().union(*(items[w] for w, _ in h))) for h in hits],
                 }
 
-        found.append(arrow_map(index, look_up, "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"))
+        found.append(arrow_map(index, look_up, "doc_id long, k1 long, k2 long, n_words long, begins array<long>, ends array<long>, items array<string>"))
     if len(found) == 1:
         return found[0]
     # The k-th row of a block is the same document in every pass; ids may repeat.
@@ -226,7 +235,7 @@ def match(index: DataFrame, vocabulary: dict[bytes, int], bench: DataFrame) -> D
     for i, k in enumerate(keyed[1:]):
         more = k.select("row", *(F.col(c).alias(f"{c}_{i}") for c in ("begins", "ends", "items")))
         merged = merged.join(more, "row").select(
-            "doc_id", "n_words", "row", F.concat("begins", f"begins_{i}").alias("begins"),
+            "doc_id", "k1", "k2", "n_words", "row", F.concat("begins", f"begins_{i}").alias("begins"),
             F.concat("ends", f"ends_{i}").alias("ends"), F.array_union("items", f"items_{i}").alias("items"),
         )
     return merged.drop("row")
@@ -262,7 +271,7 @@ def covered(begins: list[int], ends: list[int]) -> int:
     return total
 
 
-def contamination(docs: DataFrame, bench: DataFrame, one_in: int = ONE_IN) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, one_in: int = ONE_IN, keys: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     index, vocabulary = build_index(docs, bench)
     matched = match(index, vocabulary, bench)
@@ -272,10 +281,24 @@ def contamination(docs: DataFrame, bench: DataFrame, one_in: int = ONE_IN) -> Da
             rows = batch.to_pylist()
             hit = [covered(r["begins"], r["ends"]) for r in rows]
             yield {
-                "doc_id": [r["doc_id"] for r in rows], "n_words": [r["n_words"] for r in rows], "n_hit": hit,
+                **{c: [r[c] for r in rows] for c in ("doc_id", "k1", "k2", "n_words")}, "n_hit": hit,
                 "n_items": [len(r["items"]) for r in rows],
                 "items_sha256": [hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest() for r in rows],
                 "contaminated": [h > 0 and one_in * h >= r["n_words"] for h, r in zip(hit, rows)],
             }
 
-    return arrow_map(matched, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    out = arrow_map(
+        matched, digest,
+        "doc_id long, k1 long, k2 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
+    )
+    return out if keys else out.drop("k1", "k2")
+
+
+def clean(docs: DataFrame, bench: DataFrame, one_in: int = ONE_IN) -> DataFrame:
+    """The rows of `docs`, all columns, that are not contaminated."""
+    judged = contamination(docs, bench, one_in, keys=True).where("contaminated")
+    # Stored first, so that Spark knows how few they are when it chooses the join.
+    bad = materialize(judged.select("doc_id", "k1", "k2").distinct(), "contaminated").alias("bad")
+    rows = text_keys(docs).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.col("d.k1") == F.col("bad.k1")) & (F.col("d.k2") == F.col("bad.k2"))
+    return rows.join(bad, same, "left_anti").select("row.*")

@@ -326,7 +326,8 @@ def further_pairs(open_texts: DataFrame, words: int, least: float, rare: int = R
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, sketches: int = SKETCHES, rare: int = RARE) -> DataFrame:
-    """Per row: doc_id, k1, k2 (the text's key) and class_id."""
+    """Per row: doc_id, k1, k2 (the text's key), class_id, and first: whether the row is the
+    first of its class by id and text (equal rows all are)."""
     spark, keyed = docs.sparkSession, with_key(docs)
     sketched = arrow_map(keyed.select("k1", "k2", "doc_id", "text"), _sketch(words, sketches), TEXT)
     texts = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
@@ -375,11 +376,31 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
         .join(final.withColumnRenamed("node", "tid"), "tid", "left")
         .withColumn("root", F.coalesce("root", "tid"))
     )
-    ids = grouped.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    named = grouped.join(ids, "root").select("k1", "k2", "class_id")
-    return keyed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
+    order = F.struct(F.col("first_doc").isNull(), "first_doc", "k1", "k2")
+    ids = grouped.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.min(order).alias("head"))
+    named = grouped.join(ids, "root").select("k1", "k2", "class_id", F.when(order == F.col("head"), F.struct("first_doc")).alias("head"))
+    rows = keyed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
+    first = F.col("head").isNotNull() & F.col("doc_id").eqNullSafe(F.col("head.first_doc"))
+    return rows.select("doc_id", "k1", "k2", "class_id", first.alias("first"))
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id and class_id."""
     return near_copies(docs, **options).select("doc_id", "class_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, with all columns: the one of the smallest id."""
+    firsts = near_copies(docs, **options).where("first")
+    firsts = materialize(firsts.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows")), "near-firsts")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+    ).alias("d")
+    f = firsts.alias("f")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.k1") == F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))
+    kept = rows.join(f, same).select("d.doc_id", "d.k1", "d.k2", "row", "rows")
+    if not firsts.where("rows > 1").isEmpty():  # equal rows: one of them
+        kept = kept.dropDuplicates(["doc_id", "k1", "k2"])
+    return kept.select("row.*")

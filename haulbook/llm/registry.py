@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from haulbook.llm import (
-    chat, decontaminate, fingerprints, mixing, near_copies, oracles, quality, repeats, toxicity, warc,
+    chat, decontaminate, fingerprints, mixing, near_copies, oracles, quality, repeats, toxicity, urls, warc,
 )
 from haulbook.llm.common import table
 
@@ -17,13 +18,17 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cut_out(table(spark, sf_dir, "documents"), whole_characters=False).drop("kept")
+    return repeats.repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_host_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +55,9 @@ def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
-        op1_order_minhash, op2_run_length_index, op3_additive_model, op5_positional_index, op6_splitting_tree,
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
+        op1_order_minhash, op2_run_length_index, op3_additive_model, op4_host_segmentation,
+        op5_positional_index, op6_splitting_tree,
         op7_consistent_sampling, op8_relational_formatting, op9_splittable_reader, op10_weighted_lexicon,
     )}
 

@@ -22,7 +22,7 @@ Grams under which more than `HOT` different stretches stand (the edge of a passa
 many documents share) are spread further: each of their strings becomes a row of its own,
 and rows with the same string are reduced before they are shuffled. The result is the same.
 
-Defined cases: null text has no bytes and stays null in `removed_from`; rows with the same
+Defined cases: null text has no bytes and stays null in `remove`; rows with the same
 doc_id and the same text are one document; rows that share an id, but not a text, are ordered
 by the hash of the text; a null doc_id comes before all others. Empty tables give no rows.
 Columns besides doc_id and text are not looked at.
@@ -33,7 +33,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulbook.llm.common import arrow_map
@@ -360,9 +361,9 @@ def _hot_strings(length: int):
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text, and `doc`: a number in the order of documents, the id where it is unique.
-    The second table has each document once."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    """doc_id, text, the whole `row`, and `doc`: a number in the order of documents, the id
+    where it is unique. The second table has each document once."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     unclear = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
     if unclear.isEmpty():
         plain = plain.withColumn("doc", F.col("doc_id"))
@@ -373,7 +374,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "document-numbers",
     )
     same = plain.doc_id.eqNullSafe(numbers.doc_id) & (plain.hash == numbers.hash)
-    plain = plain.join(numbers, same).select(plain.doc_id, "text", "doc")
+    plain = plain.join(numbers, same).select(plain.doc_id, "text", "row", "doc")
     return plain, plain.dropDuplicates(["doc"])
 
 
@@ -413,50 +414,85 @@ def _by_string(cut: DataFrame, length: int) -> DataFrame:
     return later.select("doc", "start", F.lit(1).alias("starts"))
 
 
-def _cut(length: int, whole_characters: bool):
+def removed_spans(ranges, length: int) -> list[list[int]]:
+    """The bytes that ranges of starts cover, as merged half-open spans."""
+    spans: list[list[int]] = []
+    for begin, end in sorted((r["start"], r["start"] + r["starts"] + length - 1) for r in ranges or ()):
+        if spans and begin <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([begin, end])
+    return spans
+
+
+def without(raw: bytes, spans: list[list[int]]) -> bytes:
+    kept, last = [], 0
+    for begin, end in spans:
+        kept.append(raw[last:begin])
+        last = end
+    return b"".join([*kept, raw[last:]])
+
+
+def whole_characters(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """The spans drawn in to the borders of UTF-8 characters; one only partly covered stays."""
+    out = []
+    for begin, end in spans:
+        while begin < end and raw[begin] & 0xC0 == 0x80:
+            begin += 1
+        while begin < end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append([begin, end])
+    return out
+
+
+def _gathered(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    texts, ranges = repeated_spans(docs, length, gram, hot)
+    gathered = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "starts")).alias("ranges"))
+    return texts.join(gathered, "doc", "left")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, bytes cut as they are."""
+
     def work(batches):
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for doc_id, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges"))):
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
                 raw = (text or "").encode()
-                spans = []
-                for r in sorted((r["start"], r["start"] + r["starts"] + length - 1) for r in ranges or ()):
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r[1])
-                    else:
-                        spans.append([*r])
-                if whole_characters:  # a character that is only partly covered stays
-                    for s in spans:
-                        while s[0] < s[1] and raw[s[0]] & 0xC0 == 0x80:
-                            s[0] += 1
-                        while s[0] < s[1] < len(raw) and raw[s[1]] & 0xC0 == 0x80:
-                            s[1] -= 1
-                kept, last = [], 0
-                for b, e in spans:
-                    kept.append(raw[last:b])
-                    last = e
-                left = b"".join([*kept, raw[last:]])
-                out["doc_id"].append(doc_id)
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(len(raw) - len(left))
-                out["n_spans"].append(len(spans))
-                out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                out["kept"].append(None if text is None or not whole_characters else left.decode())
-            yield out
+                spans = removed_spans(ranges, length)
+                left = without(raw, spans)
+                for k, v in zip(out, (len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest())):
+                    out[k].append(v)
+            yield {"doc_id": batch.column("doc_id"), **out}
 
-    return work
+    joined = _gathered(docs, length, gram, hot).select("doc_id", "text", "ranges")
+    return arrow_map(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_out(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole_characters: bool = True) -> DataFrame:
-    """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text.
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """The rows of `docs`, all columns, with repeated strings cut from the text.
 
-    With `whole_characters` the kept text is valid UTF-8: a character of which only some
-    bytes are repeated stays. Without it bytes are cut as they are and no text is returned.
+    Texts stay valid UTF-8: a character of which only some bytes are repeated stays. n_chars
+    follows the text where there is such a column. Rows whose whole text goes keep an empty one.
     """
-    texts, ranges = repeated_spans(docs, length, gram, hot)
-    gathered = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "starts")).alias("ranges"))
-    joined = texts.join(gathered, "doc", "left").select("doc_id", "text", "ranges")
-    return arrow_map(
-        joined, _cut(length, whole_characters),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string",
-    )
+    schema, names = docs.schema, docs.columns
+
+    def work(batches):
+        for batch in batches:
+            row = batch.column("row")
+            columns = dict(zip(names, row.flatten()))
+            texts, lengths = columns["text"].to_pylist(), None
+            if "n_chars" in columns:
+                lengths = columns["n_chars"].to_pylist()
+            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+                if ranges:
+                    raw = texts[i].encode()
+                    texts[i] = without(raw, whole_characters(raw, removed_spans(ranges, length))).decode()
+                    if lengths:
+                        lengths[i] = len(texts[i])
+            columns["text"] = pa.array(texts, type=columns["text"].type)
+            if lengths is not None:
+                columns["n_chars"] = pa.array(lengths, type=columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return _gathered(docs, length, gram, hot).select("row", "ranges").mapInArrow(work, schema)
