@@ -59,9 +59,21 @@ def loose_int(c: Column | str) -> Column:
     return _parsed(F.replace(col(c).cast("string"), F.lit(","), F.lit("")), WHOLE_NUMBER, "int")
 
 
+# Fixed value: the largest number of decimal(38,18).
+LARGEST = "99999999999999999999.999999999999999999"
+
+
 def num(c: Column | str) -> Column:
-    """Number text to an exact decimal, wide enough that rounding happens once, later."""
-    return _parsed(col(c), DECIMAL_NUMBER, "decimal(38,18)")
+    """Number text to an exact decimal, wide enough that rounding happens once, later.
+
+    A number beyond that width becomes the largest there is, with its sign: it is no measure
+    that fits anywhere, but it is a number, and must reach the rejects as one.
+    """
+    exact = _parsed(col(c), DECIMAL_NUMBER, "decimal(38,18)")
+    rough = _parsed(col(c), DECIMAL_NUMBER, "double")
+    largest, smallest = (F.lit(x).cast("decimal(38,18)") for x in (LARGEST, f"-{LARGEST}"))
+    beyond = F.when(rough >= 1e20, largest).when(rough <= -1e20, smallest)
+    return F.coalesce(exact, beyond)
 
 
 def feed_date(c: Column | str) -> Column:

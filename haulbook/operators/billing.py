@@ -123,9 +123,11 @@ def _spreading_hash(key: str) -> Column:
 
 @dataclass
 class Metering:
-    """Daily use per key, its quota periods, and where each period's quota ran out."""
+    """Daily use per key and the quota periods of a request log."""
 
+    requests: DataFrame  # the log, keys stripped
     days: DataFrame  # one row per (api_key, req_date)
+    per_day: DataFrame  # billed days with what the quota has left for them
     periods: DataFrame  # one row per (subscription_id, period_start)
 
 
@@ -135,11 +137,11 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
     The log is first counted per key and day. Periods follow from the days with a billed
     request: one starts on the first such day at least 30 days after the last start. A
     running sum of the daily counts tells days that fit the quota from days beyond it.
-    Only the day on which a quota runs out needs a look at single requests: see
-    `_cut_ids`. However busy a key, its rows never have to come together.
+    However busy a key, its rows never have to come together.
 
-    The daily counts are written out once, so the log is read three times in all: for the
-    counts, for the days a quota runs out, and for the outcome of every request.
+    The daily counts are written out here, by one pass over the log. Who needs the outcome
+    of single requests asks `outcomes` next, which looks at the days on which a quota runs out;
+    who needs the periods only (`moved_usage`) reads no more of the log.
     """
     billed = F.col("endpoint") != USAGE_ENDPOINT
     requests = _stripped_keys(requests)
@@ -186,10 +188,6 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
         .withColumn("left_today", F.greatest(F.col("monthly_quota") - F.col("used_before"), F.lit(0)))
     )
     per_day = materialize(per_day, "metered-days")
-    cuts = _cut_ids(requests, per_day)
-    verdict = per_day.join(cuts, ["api_key", "req_date"], "left").select(
-        "api_key", "req_date", "period_start", "left_today", "cut_id",
-    )
     periods = per_day.groupBy("subscription_id", "period_start").agg(
         F.sum("billed").alias("requested"), F.max("carried").alias("carried"),
         F.max("monthly_quota").alias("monthly_quota"),
@@ -201,9 +199,9 @@ def meter(requests: DataFrame, subscribers: DataFrame) -> Metering:
         ),
     )
     return Metering(
-        days=days.select("api_key", "req_date", "subscription_id", "access", "billed").join(
-            verdict, ["api_key", "req_date"], "left"
-        ),
+        requests=requests,
+        days=days.select("api_key", "req_date", "subscription_id", "access"),
+        per_day=per_day,
         periods=periods,
     )
 
@@ -259,13 +257,15 @@ def _cut_ids(requests: DataFrame, per_day: DataFrame) -> DataFrame:
     )
 
 
-def metered_requests(requests: DataFrame, subscribers: DataFrame) -> DataFrame:
+def outcomes(metering: Metering) -> DataFrame:
     """Every request with its outcome: 200, 401, 403 or 429, and its quota period."""
-    metering = meter(requests, subscribers)
-    requests = _stripped_keys(requests)
+    cuts = _cut_ids(metering.requests, metering.per_day)
+    verdict = metering.per_day.join(cuts, ["api_key", "req_date"], "left").select(
+        "api_key", "req_date", "period_start", "left_today", "cut_id",
+    )
+    days = metering.days.join(verdict, ["api_key", "req_date"], "left").withColumnRenamed("api_key", "_key")
     keyless = F.concat(F.lit("#"), F.col("request_id").cast("string"))
-    keyed = requests.withColumn("_key", F.coalesce("api_key", keyless))
-    days = metering.days.withColumnRenamed("api_key", "_key").drop("billed")
+    keyed = metering.requests.withColumn("_key", F.coalesce("api_key", keyless))
     joined = keyed.join(days, ["_key", "req_date"], "left")
     is_usage = F.col("endpoint") == USAGE_ENDPOINT
     covered = (F.col("left_today") > 0) & (
@@ -282,9 +282,13 @@ def metered_requests(requests: DataFrame, subscribers: DataFrame) -> DataFrame:
     )
 
 
-def updated_usage(requests: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Subscribers with their usage state moved on past the given requests."""
-    latest = meter(requests, subscribers).periods.groupBy("subscription_id").agg(
+def metered_requests(requests: DataFrame, subscribers: DataFrame) -> DataFrame:
+    return outcomes(meter(requests, subscribers))
+
+
+def moved_usage(metering: Metering, subscribers: DataFrame) -> DataFrame:
+    """Subscribers with their usage state moved on past the metered requests."""
+    latest = metering.periods.groupBy("subscription_id").agg(
         F.max(F.struct("period_start", "used")).alias("last")
     )
     joined = subscribers.join(latest, "subscription_id", "left")
@@ -296,6 +300,10 @@ def updated_usage(requests: DataFrame, subscribers: DataFrame) -> DataFrame:
     ).select(*subscribers.columns)
 
 
+def updated_usage(requests: DataFrame, subscribers: DataFrame) -> DataFrame:
+    return moved_usage(meter(requests, subscribers), subscribers)
+
+
 def usage_report(subscribers: DataFrame) -> DataFrame:
     return subscribers.select(
         "subscription_id", "plan", "status", "monthly_quota",

@@ -67,17 +67,21 @@ def fold_batch(batch: DataFrame, seq: str = "src_seq") -> DataFrame:
 def field_upsert(carriers: DataFrame, batch: DataFrame, as_of: str | Column) -> DataFrame:
     """Merge normalised records (incremental or enrichment), field by field.
 
-    A new carrier starts active and gets a slug; a known one keeps both.
+    A new carrier starts active and gets a slug; a known one keeps both. The slug is that of
+    the carrier's first record, as if records came one by one, so it does not depend on how
+    they are cut into batches.
     """
     now = _as_of(as_of)
-    folded = fold_batch(batch)
+    name = F.col("legal_name") if "legal_name" in batch.columns else F.lit(None).cast("string")
+    first = batch.groupBy(KEY).agg(F.min_by(name, "src_seq").alias("_first_name"))
+    folded = fold_batch(batch).join(first, KEY)
     old, new = carriers.alias("o"), folded.alias("n")
     is_new, touched = F.col(f"o.{KEY}").isNull(), F.col(f"n.{KEY}").isNotNull()
     out = {KEY: F.coalesce(f"n.{KEY}", f"o.{KEY}")}
     for f in CARRIERS.names[1:]:
         merged = f in UPSERT_FIELDS and f in folded.columns
         out[f] = F.coalesce(f"n.{f}", f"o.{f}") if merged else F.col(f"o.{f}")
-    built = carrier_slug(out["legal_name"], out[KEY])
+    built = carrier_slug(F.coalesce("n._first_name", "o.legal_name"), out[KEY])
     out["slug"] = F.when(touched, F.coalesce(F.col("o.slug"), built)).otherwise(F.col("o.slug"))
     out["is_active"] = F.when(is_new, F.lit(True)).otherwise(F.col("o.is_active"))
     out["created_at"] = F.when(is_new, now).otherwise(F.col("o.created_at"))

@@ -58,7 +58,8 @@ select cast(c_custkey + 1 as string) as src_id,
        case when c_custkey % 11 = 0 then 'Y' when c_custkey % 11 = 1 then null else 'N' end as unsafe_driv_ac,
        cast(abs(cast(c_acctbal as decimal(12,2))) * 0.071 as string) as hos_driv_measure,
        case when c_custkey % 6 = 0 then 'yes' else '' end as hos_driv_ac,
-       case when c_custkey % 4 = 0 then '' else '1.005' end as driv_fit_measure, 'N' as driv_fit_ac,
+       case when c_custkey % 4 = 0 then '' when c_custkey % 25 = 1 then '1e25' when c_custkey % 25 = 2 then '-3000000.5'
+            else '1.005' end as driv_fit_measure, 'N' as driv_fit_ac,
        case when c_custkey % 9 = 0 then '0' else null end as contr_subst_measure, 'true' as contr_subst_ac,
        case when c_custkey % 8 = 0 then 'bad' else '2.5' end as veh_maint_measure, '0' as veh_maint_ac
 from customer where c_custkey % 4 < 3
@@ -104,6 +105,17 @@ select 'sub_' || cast(user_id as string) as subscription_id,
 from (select distinct user_id from events) u where user_id % 17 <> 0
 """
 
+# The same subscribers later on: some new, cancelled, back, under another key or quota.
+FEEDS["fx_subscribers_later"] = r"""
+select 'sub_' || cast(user_id as string) as subscription_id,
+       case when user_id % 5 = 0 then 'rotated-' else 'key-' end || cast(user_id as string) as api_key,
+       case user_id % 3 when 0 then 'growth' when 1 then 'standard' else 'pro' end as plan,
+       case user_id % 7 when 0 then 'canceled' when 1 then 'active'
+            else case user_id % 9 when 0 then 'canceled' when 1 then 'trialing' when 2 then 'past_due' else 'active' end end as status,
+       3 + user_id % 15 + user_id % 4 * 2 - 2 as monthly_quota
+from (select distinct user_id from events) u where user_id % 17 <> 0 or user_id % 2 = 0
+"""
+
 FEEDS["fx_requests"] = r"""
 select event_id as request_id,
        date '2024-01-01' + cast((extract(day from ts) - 1) * 3 as int) as req_date,

@@ -35,7 +35,14 @@ def integer(x: str) -> str:
 
 
 def number(x: str) -> str:
-    return f"try_cast({strip(x)} as decimal(38,18))"
+    """Beyond 1e20 the largest decimal(38,18), with the number's sign."""
+    s, largest = strip(x), "cast('99999999999999999999.999999999999999999' as decimal(38,18))"
+    shape = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,3})?"
+    return (
+        f"coalesce(try_cast({s} as decimal(38,18)), case when regexp_full_match({s}, '{shape}') "
+        f"then case when try_cast({s} as double) >= 1e20 then {largest} "
+        f"when try_cast({s} as double) <= -1e20 then -{largest} end end)"
+    )
 
 
 def day(x: str) -> str:
@@ -157,7 +164,10 @@ from fx_enrichment where regexp_full_match({_picked_dot}, '[0-9]{{1,20}}')"""
 # --- parts: merges --------------------------------------------------------------------
 def folded(batch: str, fields: tuple[str, ...]) -> str:
     picks = ", ".join(f"arg_max({f}, src_seq) filter (where {f} is not null) as {f}" for f in fields)
-    return f"select usdot_number, {picks} from {batch} group by usdot_number"
+    return (
+        f"select usdot_number, first(legal_name order by src_seq) as first_name, {picks} "
+        f"from {batch} group by usdot_number"
+    )
 
 
 def newest(rows: str) -> str:
@@ -191,7 +201,7 @@ def upserted(old: str, batch: str, at: str, fields: tuple[str, ...]) -> str:
         elif n in fields:
             cols.append(f"coalesce(n.{n}, o.{n}) as {n}")
         elif n == "slug":
-            built = slug("coalesce(n.legal_name, o.legal_name)", "n.usdot_number")
+            built = slug("coalesce(n.first_name, o.legal_name)", "n.usdot_number")
             cols.append(f"case when n.usdot_number is null then o.slug else coalesce(o.slug, {built}) end as slug")
         elif n == "is_active":
             cols.append("case when o.usdot_number is null then true else o.is_active end as is_active")
@@ -482,7 +492,7 @@ from fx_census where add_date >= '20240224' and status_code = 'A' and {KEYED}"""
 PARTS["w_fresh_folded"] = folded("w_fresh", CENSUS_FIELDS)
 PARTS["w_after_fresh"] = upserted("w_first", "w_fresh_folded", ENRICHED, CENSUS_FIELDS)
 CHECKS["j07_incremental"] = f"select {CARRIER_TEXT} from w_after_fresh"
-CHECKS["j08_fold_batch"] = "select * from w_folded"
+CHECKS["j08_fold_batch"] = "select * exclude (first_name) from w_folded"
 CHECKS["j09_newest_per_key"] = f"select * exclude (add_date) from ({newest('w_census')})"
 PARTS["w_inactive"] = "select * from w_census where not is_active"
 PARTS["w_after_inactive"] = loaded("w_first", "w_inactive", ENRICHED)
@@ -824,6 +834,35 @@ CHECKS["t01_incremental_stream"] = CHECKS["j07_incremental"]
 CHECKS["t02_direct_violations_stream"] = CHECKS["j03_violations"]
 CHECKS["t03_once_per_row_stream"] = CHECKS["p03_clean_inspections"]
 CHECKS["t04_metering_stream"] = CHECKS["b03_metered_requests"]
+PARTS["w_middle"] = "select (min(request_id) + max(request_id)) // 2 as middle from fx_requests"
+PARTS["w_late_access"] = """
+select r.*, r.request_id > middle as late,
+       case when r.request_id > middle then l.subscription_id else s.subscription_id end as subscription_id,
+       case when r.request_id > middle then l.monthly_quota else s.monthly_quota end as monthly_quota,
+       case when r.request_id > middle
+            then case when l.subscription_id is null then 401 when l.status not in ('active', 'trialing') then 403 else 200 end
+            else case when s.subscription_id is null then 401 when s.status not in ('active', 'trialing') then 403 else 200 end
+            end as access
+from fx_requests r cross join w_middle left join fx_subscribers s on r.api_key = s.api_key
+left join fx_subscribers_later l on r.api_key = l.api_key"""
+PARTS["w_late_billed"] = "select * from w_late_access where access = 200 and endpoint <> '/api/v1/usage'"
+PARTS["w_late_days"] = "select distinct subscription_id, req_date from w_late_billed"
+PARTS["w_late_next"] = PARTS["w_next"].replace("w_days", "w_late_days")
+PARTS["w_late_starts"] = (
+    PARTS["w_starts"].replace("w_days", "w_late_days").replace("w_starts", "w_late_starts").replace("w_next", "w_late_next")
+)
+PARTS["w_late_periods"] = """
+select b.*, (select max(s.period_start) from w_late_starts s
+             where s.subscription_id = b.subscription_id and s.period_start <= b.req_date) as period_start
+from w_late_billed b"""
+# Denied requests do not count: before the change a period used its quota at most.
+PARTS["w_late_metered"] = """
+select p.*, row_number() over (partition by subscription_id, period_start, late order by req_date, request_id)
+       + case when late then coalesce(u.used, 0) else 0 end as nth
+from w_late_periods p
+left join (select subscription_id, period_start, least(count(*), max(monthly_quota)) as used
+           from w_late_periods where not late group by 1, 2) u using (subscription_id, period_start)"""
+CHECKS["t04_changing_subscribers_stream"] = _outcomes.replace("w_access", "w_late_access").replace("w_metered", "w_late_metered")
 CHECKS["t05_subscription_stream"] = CHECKS["b01_subscription_fold"]
 CHECKS["t06_monthly_counts_stream"] = CHECKS["a03_inspections_by_month"]
 

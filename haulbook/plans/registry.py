@@ -719,12 +719,10 @@ def _(t: Tables) -> DataFrame:
     root, checkpoint = fresh_dir(t.spark, "inspections"), fresh_dir(t.spark, "checkpoint")
     _deliver(
         t, t.feed("inspections"), F.col("src_id"), "inspections-feed",
-        lambda s: streams.once_per_source_row(
-            s, rows.clean_inspections, "inspection_date", root, checkpoint
-        ),
+        lambda s: streams.once_per_source_row(s, rows.clean_inspections, root, checkpoint),
         again=True,
     )
-    return t.spark.read.parquet(root).drop("batch", "month")
+    return t.spark.read.parquet(root).drop("batch", "bucket")
 
 
 @query("t04_metering_stream")
@@ -733,11 +731,29 @@ def _(t: Tables) -> DataFrame:
     checkpoint = fresh_dir(t.spark, "checkpoint")
     _deliver(
         t, t.requests, F.col("request_id"), "request-feed",
-        lambda s: streams.metered_stream(s, t.subscribers, state, out, checkpoint),
+        lambda s: streams.metered_stream(s, lambda: t.subscribers, state, out, checkpoint),
     )
     return t.spark.read.parquet(out).drop("batch")
 
 
+@query("t04_changing_subscribers_stream")
+def _(t: Tables) -> DataFrame:
+    """Two deliveries of requests; between them the subscribers change."""
+    out, state = fresh_dir(t.spark, "metered"), fresh_dir(t.spark, "usage")
+    checkpoint, path = fresh_dir(t.spark, "checkpoint"), fresh_dir(t.spark, "request-feed")
+    ends = t.requests.agg(F.min("request_id").alias("low"), F.max("request_id").alias("high")).first()
+    middle = (ends.low + ends.high) // 2
+    for part, known in (("request_id <= {}", t.subscribers), ("request_id > {}", t.subscribers_later)):
+        t.requests.where(part.format(middle)).write.mode("append").parquet(path)
+        running = streams.metered_stream(
+            streams.feed_stream(t.spark, path, t.requests.schema), lambda known=known: known, state, out, checkpoint
+        )
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    return t.spark.read.parquet(out).drop("batch")
+
+
 @query("t05_subscription_stream")
 def _(t: Tables) -> DataFrame:
     root, checkpoint = fresh_dir(t.spark, "subscriptions"), fresh_dir(t.spark, "checkpoint")

@@ -112,7 +112,14 @@ class Tables:
 
     @cached_property
     def subscribers(self) -> DataFrame:
-        raw = self.feed("subscribers").withColumn("api_key_hash", c.api_key_hash("api_key"))
+        return self._subscribers("subscribers")
+
+    @cached_property
+    def subscribers_later(self) -> DataFrame:
+        return self._subscribers("subscribers_later")
+
+    def _subscribers(self, feed: str) -> DataFrame:
+        raw = self.feed(feed).withColumn("api_key_hash", c.api_key_hash("api_key"))
         return raw.select(
             *[
                 (F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)

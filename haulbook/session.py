@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -62,9 +64,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[application]
 
 
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, not yet existing path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, not yet existing path below the shared folder, or below the scratch folder."""
+    base = _SCRATCH.get() or shared_dir(spark)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is materialised in here is removed at the end; write the results before."""
+    path = fresh_dir(spark, "scratch")
+    token = _SCRATCH.set(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

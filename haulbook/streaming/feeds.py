@@ -10,19 +10,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from haulbook.functions.cleaning import month_key
-from haulbook.operators.billing import fold_subscriptions, metered_requests, updated_usage
+from haulbook.operators.billing import fold_subscriptions, meter, moved_usage, outcomes
 from haulbook.operators.merges import field_upsert, known_only
 from haulbook.operators.rows import clean_violations, map_incremental, normalize_enrichment
 from haulbook.schemas import CARRIERS, SUBSCRIBERS
+from haulbook.session import scratch
 from haulbook.sources.tables import publish, read_table
 
 
-STORED = "src_id string, batch bigint, month string"
+STORED = "src_id string, batch bigint, bucket int"
+# Folders of each batch of rows that are stored once: values of a hash of the source id.
+ID_BUCKETS = 16
+
+USAGE = T.StructType([
+    f for f in SUBSCRIBERS.fields if f.name in ("subscription_id", "usage_period_start", "usage_count")
+])
 
 
 def feed_stream(
@@ -93,53 +101,62 @@ def direct_violations(
 
 
 def once_per_source_row(
-    stream: DataFrame, clean: Callable[[DataFrame], DataFrame], day: str, root: str, checkpoint: str
+    stream: DataFrame, clean: Callable[[DataFrame], DataFrame], root: str, checkpoint: str
 ) -> StreamingQuery:
     """Append rows whose `src_id` is not stored yet, however often the feed repeats them.
 
-    The table is laid out by month. A repeated source row has the same month, so a batch
-    is compared with the months it contains and not with the whole table; the list of
-    its months is all that comes to the driver. Every batch writes its own folder, and a
-    repeated batch replaces it.
+    What was stored first stays, also when the row comes again with other values; of rows of
+    one id in a batch one is taken. Rows without an id cannot be told apart and are all
+    stored. The table is laid out by a hash of the id, and a batch is compared with the ids
+    of its buckets alone. Every batch writes its own folder, and a repeated batch replaces it.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = clean(batch).withColumn("month", F.coalesce(month_key(day), F.lit("none")))
-        rows = rows.dropDuplicates(["src_id"])
+        rows = clean(batch)
+        # A row without an id is a group of its own.
+        own = F.coalesce("src_id", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
+        pick = W.partitionBy("_own").orderBy(F.xxhash64(*rows.columns))
+        rows = (
+            rows.withColumn("_own", own).withColumn("_nth", F.row_number().over(pick))
+            .where("_nth = 1").drop("_own", "_nth")
+            .withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("src_id", F.lit(""))), F.lit(ID_BUCKETS)).cast("int"))
+        )
         if batch_id > 0:
-            months = [r.month for r in rows.select("month").distinct().collect()]
-            stored = (
-                spark.read.schema(STORED)
-                .parquet(root)
-                .where((F.col("batch") < batch_id) & F.col("month").isin(months))
-                .select("month", "src_id")
-            )
-            rows = rows.join(stored, ["month", "src_id"], "left_anti")
+            stored = spark.read.schema(STORED).parquet(root).where(F.col("batch") < batch_id)
+            rows = rows.join(stored.select("bucket", "src_id"), ["bucket", "src_id"], "left_anti")
         target = f"{root.rstrip('/')}/batch={batch_id}"
-        rows.write.mode("overwrite").partitionBy("month").parquet(target)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
 
     return _run(stream, step, checkpoint)
 
 
 def metered_stream(
-    stream: DataFrame, subscribers: DataFrame, state_root: str, out_root: str, checkpoint: str
+    stream: DataFrame, subscribers: Callable[[], DataFrame], state_root: str, out_root: str, checkpoint: str
 ) -> StreamingQuery:
     """Quota metering of an arriving request log.
 
-    The open period and the count of every subscriber are the state. A batch is metered
-    as a whole by the batch operator, so a busy key is spread like in a batch job.
+    Every micro-batch asks for the subscribers as they are now, so a cancelled, new or
+    re-keyed subscriber, or another quota, counts from the next batch on. The state is the
+    open period and the count of each subscription, nothing else. A batch is metered as
+    a whole by the batch operator, so a busy key is spread like in a batch job.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = read_table(spark, state_root, subscribers.schema, below=batch_id)
-        if batch_id == 0:
-            before = subscribers
-        metered_requests(batch, before).write.mode("overwrite").parquet(
-            f"{out_root.rstrip('/')}/batch={batch_id}"
+        used = read_table(spark, state_root, USAGE, below=batch_id).select(
+            "subscription_id", F.struct("usage_period_start", "usage_count").alias("used")
         )
-        publish(updated_usage(batch, before), state_root, batch_id)
+        now = subscribers()
+        carried = {n: F.when(F.col("used").isNull(), F.col(n)).otherwise(F.col(f"used.{n}")) for n in USAGE.names if n != "subscription_id"}
+        now = now.join(used, "subscription_id", "left").withColumns(carried).select(*now.columns)
+        with scratch(spark):
+            metering = meter(batch, now)
+            outcomes(metering).write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/batch={batch_id}")
+            moved = moved_usage(metering, now).select(*USAGE.names)
+            # Subscriptions that are gone keep their count, should they return.
+            gone = used.join(now.select("subscription_id"), "subscription_id", "left_anti")
+            publish(moved.unionByName(gone.select("subscription_id", "used.*")), state_root, batch_id)
 
     return _run(stream, step, checkpoint)
 
