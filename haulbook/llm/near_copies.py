@@ -291,8 +291,10 @@ def _spread(words: int):
 def further_pairs(open_texts: DataFrame, words: int, least: float, rare: int = RARE) -> DataFrame:
     """Pairs (a, b) of one cluster and different classes that may be similar enough.
 
-    With m shingles in common, m / (n_a + n_b - m) >= least means m >= share * (n_a + n_b).
-    Common shingles give m at most min(c_a, c_b); more needs a rare one that both hold.
+    With m shingles in common, m / (n_a + n_b - m) >= least means m >= share * (n_a + n_b),
+    and so m >= least * n of either. m is at most what both hold of common shingles (c) and of
+    rare ones that some other text has too (r): min(c_a, c_b) + min(r_a, r_b). Without a rare
+    shingle that both hold it is at most min(c_a, c_b).
     """
     share = least / (1 + least)
     rows = materialize(
@@ -300,24 +302,29 @@ def further_pairs(open_texts: DataFrame, words: int, least: float, rare: int = R
     )
     held = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("holders"))
     marked = rows.join(held.where(F.col("holders") > 1), ["cluster", "shingle"])
-    few = marked.where(F.col("holders") <= rare).select("cluster", "shingle", "tid", "class", "n")
+    is_common = F.col("holders") > rare
+    shared = marked.groupBy("cluster", "tid", "class", "n").agg(
+        F.count_if(is_common).cast("int").alias("c"), F.count_if(~is_common).cast("int").alias("r")
+    ).where(F.col("c") + F.col("r") + 1e-6 >= least * F.col("n"))
+    shared = materialize(shared, "open-texts")
+    few = marked.where(~is_common).select("cluster", "shingle", "tid").join(shared, ["cluster", "tid"])
     ours, theirs = few.alias("x"), few.alias("y")
-    near = (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
+    at_most = F.least("x.c", "y.c") + F.least("x.r", "y.r")
     by_rare = ours.join(
         theirs,
         (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.tid") > F.col("y.tid")) & (F.col("x.class") != F.col("y.class")) & near,
+        & (F.col("x.tid") > F.col("y.tid")) & (F.col("x.class") != F.col("y.class"))
+        & (at_most + 1e-6 >= share * (F.col("x.n") + F.col("y.n"))),
     ).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
-    common = marked.where(F.col("holders") > rare).groupBy("cluster", "tid", "class", "n").agg(F.count("*").alias("c"))
     most = F.floor(F.col("c") / share + 1e-6).cast("int") - F.col("n")  # shingles its partner may have
-    reach = common.withColumn("least_n", F.ceil(F.col("n") * least - 1e-6).cast("int")).where(most >= F.col("least_n"))
+    reach = shared.withColumn("least_n", F.ceil(F.col("n") * least - 1e-6).cast("int")).where(most >= F.col("least_n"))
     reach = reach.select(
         "cluster", "tid", "class",
         F.explode(F.sequence("least_n", F.least(most, F.floor(F.col("n") / least + 1e-6).cast("int")))).alias("n_other"),
         F.col("n").alias("own"),
     )
     by_common = reach.alias("x").join(
-        common.alias("y"),
+        shared.alias("y"),
         (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.n_other") == F.col("y.n"))
         & (F.col("x.tid") > F.col("y.tid")) & (F.col("x.class") != F.col("y.class"))
         & (F.col("y.c") + 1e-6 >= share * (F.col("x.own") + F.col("y.n"))),
