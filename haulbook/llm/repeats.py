@@ -221,7 +221,8 @@ class RunIndex:
     def __init__(self, text: np.ndarray):
         """text: small non-negative numbers; 0 separates and never takes part in a match."""
         suffixes = suffix_array(text)
-        before = text[suffixes - 1]
+        # Nothing stands before the text: its first suffix ends every run.
+        before = np.where(suffixes > 0, text[suffixes - 1], -1)
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.run_chars, self.run_starts = before[heads], heads
         at, neighbour = suffixes[heads], suffixes[heads - 1]
