@@ -5,7 +5,7 @@ begin with theirs, and the longest that fits decides. Where none fits, the metho
 
 1. A unigram model counts the words of the pages' visible text, over all pages.
 2. Host labels and path pieces are runs of letters. Viterbi splits each into the words that
-   make it likeliest under the unigram model; letters no word covers stand alone at a price.
+   make it likeliest under the unigram model; letters no word covers have a price and stay together.
 3. Tokens (host words, path words, kinds of numbers) are hashed into `BUCKETS` and counted over all
    URLs that a rule decides, allowed and blocked. Multinomial naive Bayes adds up the log
    ratios of a URL's tokens; a positive sum blocks it.
@@ -111,10 +111,15 @@ class Segmenter:
                     cost, at = best[start] + word, start
             best.append(cost)
             cut.append(at)
-        words, end = [], len(name)
+        words, end, loose = [], len(name), False
         while end:
-            words.append(name[cut[end]:end])
-            end = cut[end]
+            word = name[cut[end]:end]
+            unknown = word not in self.cost
+            if unknown and loose:
+                words[-1] = word + words[-1]
+            else:
+                words.append(word)
+            end, loose = cut[end], unknown
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[name] = words[::-1]

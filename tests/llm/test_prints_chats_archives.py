@@ -38,7 +38,7 @@ def test_fingerprint_edges(make_docs):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     by_text = {}
     for r in got:
-        if r.n_chars == 5:
+        if r.n_chars == 5 and r.doc_id is not None:
             by_text.setdefault("abc", set()).add(r.fingerprint)
         if r.doc_id in (1, 2, 3):
             assert set(r.fingerprint) == {"0"}
@@ -49,7 +49,7 @@ def test_fingerprint_edges(make_docs):
     text = "w " * 100_000
     assert nine.edited_sha256 == hashlib.sha256((text[:200_000 - 66_666] + "a b c").encode()).hexdigest()
     last = next(r for r in got if r.doc_id is None)
-    assert last.edited_sha256 == hashlib.sha256("é漢😀w ".encode()[:] if False else ("é漢😀 b"[:4] + "w").encode()).hexdigest()
+    assert last.edited_sha256 == hashlib.sha256("é漢😀 w".encode()).hexdigest()
     assert fp.compare(make_docs((1, "x")).where("false")).collect() == []
     alone = fp.compare(make_docs((1, "a b c d"))).collect()
     assert alone[0].near_next == 1.0
@@ -108,9 +108,9 @@ def test_archives(spark, range_bytes):
         want[(i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), kind, None if kind == "response" else top)] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     texts = {r.page_id: bytes(r.payload).decode() for r in got if r.record_type == "response"}
-    assert all(texts[i] == (html or "") for i, _, html in rows if i in texts)
+    assert all(texts[i] == (html or "") for i, _, html in rows if i is not None and i in texts)
     assert warc.round_trip(df.where("false")).collect() == []
-    assert Counter(r.record_type for r in warc.round_trip(df, smallest=7).collect())["revisit"] == 6
+    assert Counter(r.record_type for r in warc.round_trip(df, smallest=7).collect())["revisit"] == 5
 
 
 def test_reader_rejects_false_magic():
