@@ -3,14 +3,14 @@
 A text is the sequence of its overlapping `WORDS`-word shingles, split at white space; equal
 shingles are told apart by their occurrence number. A sketch takes the shingles with the
 smallest values under its own hash and keeps them *in text order*; texts meet in a bucket
-when a sketch of theirs is equal. What meets is verified by a banded alignment of the two
+when a sketch of theirs is equal. What meets twice is verified by a banded alignment of the two
 shingle sequences: with m shingles matched in order, the similarity is m / (n_a + n_b - m),
 which equals the Jaccard similarity of the shingles unless something was moved about.
 
 Buckets never emit all their pairs. Each links its members to one of them (first within a
-task, then between tasks); these star links are verified and joined to classes. Texts that
-met in buckets and are still in different classes might be linked otherwise. They are
-compared further, but only where a bound allows it: within such a cluster, a shingle is rare
+task, then between tasks); star links that come up twice are verified and joined to classes.
+Three or more texts that met in buckets and are still in different classes might be linked
+otherwise. They are compared further, but only where a bound allows it: within such a cluster, a shingle is rare
 if at most `RARE` texts hold it, and two texts can only be similar if they share a rare
 shingle or both hold enough common ones. So the links found do not depend on which
 member a bucket chose.
@@ -36,9 +36,9 @@ from haulbook.session import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Sketches of a text, and shingles in each. With 6 of similarity 0.8 two texts miss all 40
-#: sketches in 5 of a million cases.
-SKETCHES, LONG_SKETCH = 40, 6
+#: Sketches of a text, shingles in each, and equal sketches that two texts must have. Texts of
+#: similarity 0.8 have fewer than 2 equal ones of 48 with 6 shingles in 9 of a million cases.
+SKETCHES, LONG_SKETCH, MEETINGS = 48, 6, 2
 #: Texts of few shingles have sketches of 2; those between the two bounds have both, so
 #: similar texts, whose numbers of shingles differ by a fifth at most, always share a kind.
 SHORT_SKETCH, SHORT_BELOW, LONG_FROM = 2, 48, 36
@@ -342,12 +342,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
 
     stars = arrow_map(texts.select("tid", "sketches"), _local_stars, STAR)
     stars = stars.repartition("bucket").sortWithinPartitions("bucket", "tid")
-    met = arrow_map(stars, _stars, "a long, b long").distinct()
+    met = arrow_map(stars, _stars, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
     sizes = texts.select(F.col("tid").alias("node"), F.col("n").alias("size"))
     met = (
         met.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("n_a")), "a")
         .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("n_b")), "b")
-        .select("a", "b", ((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).alias("may"))
+        .withColumn("often", (F.col("times") >= MEETINGS) | (F.col("n_a") + F.col("n_b") == 0))
+        .select("a", "b", (F.col("often") & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).alias("may"))
     )
     met = materialize(met, "near-met")
     asked = met.select(F.col("a").alias("tid")).union(met.select("b")).distinct()
@@ -366,7 +367,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
         .select(F.col("node").alias("tid"), "cluster", F.coalesce("class", "node").alias("class"))
     )
     placed = materialize(placed, "near-placed")
-    # In a cluster of two the only pair has been looked at.
+    # In a cluster of two all meetings are of the one pair, so it has been looked at.
     still = placed.groupBy("cluster").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
     still = still.where("members > 2 and low <> high").select("cluster")
     if still.isEmpty():
