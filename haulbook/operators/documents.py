@@ -78,10 +78,10 @@ def _or_nothing(condition: Column, text: Column) -> Column:
     return F.when(condition, text).otherwise(F.lit(""))
 
 
-def document_base(carriers: DataFrame, totals: DataFrame) -> DataFrame:
-    """What the documents are made of: carrier, totals, display name, state name."""
-    joined = carriers.join(totals, "usdot_number", "left")
-    base = joined.withColumns(
+def document_base(counted: DataFrame) -> DataFrame:
+    """What the documents are made of: carriers with totals (`safety.with_totals`), display
+    name and state name."""
+    base = counted.withColumns(
         {
             "inspections_total": F.coalesce("inspections_total", F.lit(0)),
             "violations_total": F.coalesce("violations_total", F.lit(0)),
@@ -341,7 +341,8 @@ def state_item_lists(carriers: DataFrame, site: str = DEFAULT_SITE) -> DataFrame
         .agg(F.collect_list(F.struct("position", item.alias("item"))).alias("raw"))
         .select("state", "page", F.transform(F.array_sort("raw"), lambda x: x["item"]).alias("items"))
     )
-    totals = positions.groupBy("state").agg(F.count("*").alias("total"))
+    # Counted apart from the ranks, so that ranks are drawn once.
+    totals = carriers.where("is_active").groupBy("state").agg(F.count("*").alias("total"))
     none = F.array().cast(pages.schema["items"].dataType)
     states = state_table(carriers.sparkSession)
     return (

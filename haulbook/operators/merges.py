@@ -133,10 +133,9 @@ def batch_keys(rows: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def resolve_batch(rows: DataFrame, carriers: DataFrame) -> DataFrame:
-    """A page of child rows against the directory: its distinct keys are looked up first.
+    """A page of child rows against the directory: one semi join, the page read once.
 
-    The looked-up keys are as few as the page's own, so the directory is reduced
-    before it meets the rows.
+    Spark broadcasts the directory's keys where they are few; the page's own distinct keys
+    need not be found first.
     """
-    found = carriers.select(KEY).join(batch_keys(rows), KEY, "left_semi")
-    return rows.join(found, KEY, "left_semi")
+    return known_only(rows, carriers)

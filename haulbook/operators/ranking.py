@@ -18,8 +18,6 @@ from haulbook.operators.rows import summary
 from haulbook.schemas import PAGE_SIZE
 
 DOT_BUCKET_BITS = 16
-# Beyond this many leading rows a page is cut out by rank instead of by a top-n heap.
-TOP_N_ROWS = 100_000
 
 NO_FLEET = -(2**40)
 
@@ -83,22 +81,28 @@ def dot_rank(carriers: DataFrame, name: str = "rank") -> DataFrame:
     return exact_rank(carriers, [dot_bucket()], order, name=name)
 
 
-def page_rows(carriers: DataFrame, page: int, per_page: int) -> DataFrame:
-    """One page in fleet order. A page far behind is found by rank: its cost then does
-    not grow with its number."""
+def page_rows(carriers: DataFrame, page: int, per_page: int, by_rank: bool = False) -> DataFrame:
+    """One page in fleet order.
+
+    A top-n heap holds all rows up to the page's end, which suits the first pages. With
+    `by_rank` rows are ranked instead: for callers that go far behind, as its cost does not
+    grow with the page's number. Both give the same page.
+    """
     first = (page - 1) * per_page
-    if first + per_page <= TOP_N_ROWS:
+    if not by_rank:
         return by_fleet(carriers).offset(first).limit(per_page)
     ranked = fleet_rank(carriers)
     wanted = ranked.where(F.col("rank").between(first + 1, first + per_page))
     return wanted.orderBy("rank").drop("rank")
 
 
-def page_envelope(carriers: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:
+def page_envelope(
+    carriers: DataFrame, page: int = 1, per_page: int = 25, by_rank: bool = False
+) -> DataFrame:
     """One row: the page's items in order, and the total over all pages."""
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page starts at 1 and per_page lies between 1 and 100")
-    items = summary(page_rows(carriers, page, per_page))
+    items = summary(page_rows(carriers, page, per_page, by_rank))
     # The sort key travels with the item, so the order survives the aggregation.
     item = F.struct(
         fleet_key().alias("k1"), dot_order("usdot_number").alias("k2"),

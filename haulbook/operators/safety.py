@@ -59,24 +59,22 @@ def inspection_history(inspections: DataFrame) -> DataFrame:
     )
 
 
-def carrier_totals(
-    carriers: DataFrame, inspections: DataFrame, violations: DataFrame
-) -> DataFrame:
-    """Inspections and violations per carrier, 0 where there are none."""
+def with_totals(carriers: DataFrame, inspections: DataFrame, violations: DataFrame) -> DataFrame:
+    """Carriers with their inspections and violations counted, 0 where there are none."""
     i = inspections.groupBy(KEY).agg(F.count("*").alias("inspections_total"))
     v = violations.groupBy(KEY).agg(F.count("*").alias("violations_total"))
-    return (
-        carriers.select(KEY)
-        .join(i, KEY, "left")
-        .join(v, KEY, "left")
-        .select(
-            KEY,
-            F.coalesce("inspections_total", F.lit(0)).alias("inspections_total"),
-            F.coalesce("violations_total", F.lit(0)).alias("violations_total"),
-        )
+    return carriers.join(i, KEY, "left").join(v, KEY, "left").withColumns(
+        {n: F.coalesce(n, F.lit(0)) for n in ("inspections_total", "violations_total")}
     )
 
 
+def carrier_totals(
+    carriers: DataFrame, inspections: DataFrame, violations: DataFrame
+) -> DataFrame:
+    """Inspections and violations per carrier."""
+    return with_totals(carriers.select(KEY), inspections, violations)
+
+
 def any_alert(scores: DataFrame) -> DataFrame:
     return scores.groupBy(KEY).agg(F.bool_or(F.col("alert_status") == "alert").alias("any_alert"))
 

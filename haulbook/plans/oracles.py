@@ -787,6 +787,7 @@ select r.*, s.subscription_id, s.monthly_quota,
             when s.status not in ('active', 'trialing') then 403 else 200 end as access
 from fx_requests r left join fx_subscribers s on r.api_key = s.api_key"""
 CHECKS["b02_access"] = "select request_id, access from w_access"
+CHECKS["b02_bearer_access"] = "select request_id, case when request_id % 13 = 0 then 401 else access end as access from w_access"
 PARTS["w_billed"] = "select * from w_access where access = 200 and endpoint <> '/api/v1/usage'"
 PARTS["w_days"] = "select distinct subscription_id, req_date from w_billed"
 PARTS["w_next"] = """

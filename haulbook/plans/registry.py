@@ -514,7 +514,7 @@ def _(t: Tables) -> DataFrame:
 @query("k02_page_past_end")
 def _(t: Tables) -> DataFrame:
     # Far behind the end: answered by rank, with no items but the right total.
-    page = ranking.page_envelope(directory.list_carriers(t.carriers), page=5_000, per_page=100)
+    page = ranking.page_envelope(directory.list_carriers(t.carriers), page=5_000, per_page=100, by_rank=True)
     return page.select(F.size("items").alias("items"), "total", "page", "per_page", "pages")
 
 
@@ -647,6 +647,15 @@ def _(t: Tables) -> DataFrame:
     return billing.key_access(t.requests, t.subscribers).select("request_id", "access")
 
 
+@query("b02_bearer_access")
+def _(t: Tables) -> DataFrame:
+    """The key comes in an `Authorization` header; one of another scheme is no key."""
+    scheme = F.when(F.col("request_id") % 13 == 0, "Basic ").when(F.col("request_id") % 2 == 0, "BEARER ").otherwise("Bearer ")
+    sent = t.requests.withColumn("authorization", F.concat(scheme, "api_key")).drop("api_key")
+    keyed = sent.withColumn("api_key", c.bearer_token("authorization"))
+    return billing.key_access(keyed, t.subscribers).select("request_id", "access")
+
+
 query("b03_metered_requests")(lambda t: billing.metered_requests(t.requests, t.subscribers))
 
 

@@ -104,7 +104,7 @@ class Tables:
 
     @cached_property
     def document_base(self) -> DataFrame:
-        return documents.document_base(self.carriers, self.totals)
+        return documents.document_base(safety.with_totals(self.carriers, self.inspections, self.violations))
 
     @cached_property
     def requests(self) -> DataFrame:

@@ -19,7 +19,7 @@ def base(spark, make_carriers):
     totals = spark.createDataFrame(
         [("1", 1500, 2999), ("2", 2, 4)], "usdot_number string, inspections_total long, violations_total long"
     )
-    return documents.document_base(carriers, totals)
+    return documents.document_base(carriers.join(totals, "usdot_number", "left").fillna(0, ["inspections_total", "violations_total"]))
 
 
 def by_dot(df, name):

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from haulbook.operators import merges, ranking, rows, safety, search
+from haulbook.operators import documents, merges, ranking, rows, safety, search
 from haulbook.plans.registry import REGISTRY
 from haulbook.plans.tables import Tables
 
@@ -75,3 +75,15 @@ def test_search_joins_on_grams(t):
 def test_profile_shuffles_carriers_once(t):
     p = safety.safety_profiles(t.carriers, t.scores, t.inspections, t.violations)
     assert plan(p.select(F.col("usdot_number"))).count("Exchange") <= 8
+
+
+def scans(df):
+    return plan(df).count("FileScan parquet")
+
+
+def test_tables_are_scanned_once(t):
+    base = documents.document_base(safety.with_totals(t.carriers, t.inspections, t.violations))
+    assert scans(base) == 3  # carriers, inspections, violations
+    assert scans(merges.resolve_batch(t.violations, t.carriers)) == 2
+    # Rows and bucket counts of one ranking, and the totals.
+    assert scans(documents.state_item_lists(t.carriers)) == 3
