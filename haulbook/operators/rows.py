@@ -9,7 +9,7 @@ from haulbook.functions import cleaning as c
 from haulbook.functions.slugs import carrier_slug
 from haulbook.schemas import BASIC_CATEGORIES, DETAIL_COLUMNS, SUMMARY_COLUMNS
 
-# target column -> (aliases in order of preference, width)
+# Target column -> (field names it is read from, in order of preference, width).
 TEXT_ALIASES = {
     "mc_number": (("mc_number", "docket_number"), 20),
     "legal_name": (("legal_name",), 255),

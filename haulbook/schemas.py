@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- raw feeds: every field arrives as text -------------------------------------------
+# The names of the feeds' fields.
 CENSUS_FIELDS = (
     "dot_number", "legal_name", "phy_street", "phy_city", "phy_state", "phy_zip", "phone",
     "carrier_operation", "business_org_desc", "power_units", "status_code",
@@ -34,6 +35,7 @@ FEEDS = {
 }
 
 # --- clean tables ---------------------------------------------------------------------
+# The columns' names and types.
 CARRIERS = T.StructType(
     [
         T.StructField("usdot_number", T.StringType()),

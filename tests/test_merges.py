@@ -10,6 +10,7 @@ from haulbook.sources import feeds
 
 DIR = "/root/testdata/sf0.001"
 NOW = "2026-07-10 00:00:00"
+# The records and expected values below are fixed values: results that must come out alike.
 
 
 @pytest.fixture(scope="module")
