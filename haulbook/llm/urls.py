@@ -41,6 +41,8 @@ RULES = (
 )
 VOCABULARY = 50_000
 BUCKETS = 1 << 16
+#: Steps in which the vocabulary is cut, to a doubling of frequency.
+LEVELS = 64
 #: Word lengths that the segmentation considers.
 SHORTEST, LONGEST = 2, 16
 SMOOTHING = 0.5
@@ -74,7 +76,8 @@ def visible_words(html: str | None) -> list[str]:
 
 
 def unigrams(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The commonest words of all pages' visible text, counted in tasks before the shuffle."""
+    """The commonest words of all pages' visible text, at most `most`, counted in tasks before
+    the shuffle."""
 
     def work(batches):
         counts = Counter()
@@ -87,7 +90,17 @@ def unigrams(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
         yield {"word": list(counts), "times": list(counts.values())}
 
     counted = arrow_map(pages.select("html"), work, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    return {r.word: r.times for r in counted.orderBy(F.col("times").desc(), "word").limit(most).collect()}
+    counted = materialize(counted.withColumn("level", F.floor(F.log2("times") * LEVELS).cast("int")), "url-words")
+    # Whole levels of frequency, from the top, as long as they fit: few rows reach the driver.
+    least, held = None, 0
+    for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        held += r.words
+        if held > most:
+            break
+        least = r.level
+    if least is None:
+        return {}
+    return {r.word: r.times for r in counted.where(F.col("level") >= least).collect()}
 
 
 class Segmenter:
