@@ -29,6 +29,8 @@ from haulbook.session import materialize
 
 SAMPLES = 48
 DIGITS = 4
+#: The largest weight, and the bits of a term that hold it.
+MOST_TIMES = (1 << 20) - 1
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -46,20 +48,55 @@ def sample_value(term: Column, log_weight: Column, sample: int) -> Column:
     return F.log(c) - r * (t - b + 1)
 
 
+def weighted_terms(text: Column) -> Column:
+    """The distinct words of a text as numbers: a hash, and in the low bits the occurrences.
+
+    Equal numbers mean an equal term and weight. A weight is at most `MOST_TIMES`.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~MOST_TIMES))))
+
+
+def _runs(name: str) -> Column:
+    """A sorted array of terms as weighted terms."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(name)), lambda i: (i == 1) | (F.get(name, i - 1) != F.get(name, i - 2)))
+    return F.when(F.size(name) > 0, begins).otherwise(F.array().cast("array<int>"))
+
+
+def _weighted(name: str, begins: str) -> Column:
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(name) + 1))
+    times = lambda b, e: F.least((e - b).cast("long"), F.lit(MOST_TIMES))
+    paired = F.zip_with(begins, ends, lambda b, e: F.get(name, b - 1) + times(b, e))
+    return F.when(F.size(name) > 0, paired).otherwise(F.array().cast("array<bigint>"))
+
+
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """The keys and the fingerprint of each row of `texts` (keys, text) that has words."""
-    hashes = F.sort_array(F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    hashed = texts.select(*keys, hashes.alias("h"))
-    # The places where a run of equal hashes begins, and after them the end.
-    begins = F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: (i == 1) | (F.get("h", i - 1) != F.get("h", i - 2)))
-    runs = hashed.select(*keys, "h", F.when(F.size("h") > 0, begins).alias("begins"))
-    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("h") + 1))
-    pairs = F.zip_with("begins", ends, lambda b, e: F.struct(F.get("h", b - 1).alias("term"), (e - b).alias("times")))
-    terms = runs.select(*keys, F.explode_outer(pairs).alias("x")).where(F.col("x.term").isNotNull())
-    terms = terms.select(*keys, F.col("x.term").alias("term"), F.log(F.col("x.times").cast("double")).alias("log_weight"))
-    values = (F.min(sample_value(F.col("term"), F.col("log_weight"), k)).alias(f"m{k}") for k in range(samples))
-    part = lambda k: F.right(F.lpad(F.lower(F.hex(F.xxhash64(f"m{k}"))), 16, "0"), F.lit(DIGITS))
-    return terms.groupBy(*keys).agg(*values).select(*keys, F.concat(*(part(k) for k in range(samples))).alias("fingerprint"))
+    """The keys and the fingerprints of both texts of each row of `texts` (keys, text, edited);
+    null for a text without words.
+
+    What the texts have in common, a term with the same weight, is sampled once.
+    """
+    rows = texts.select(*keys, weighted_terms(F.col("text")).alias("h"), weighted_terms(F.col("edited")).alias("g"))
+    rows = rows.select(*keys, "h", "g", _runs("h").alias("hb"), _runs("g").alias("gb"))
+    rows = rows.select(*keys, _weighted("h", "hb").alias("h"), _weighted("g", "gb").alias("g"))
+    marked = lambda c, own, other: F.transform(
+        c, lambda x: F.struct(x.alias("x"), F.lit(own).alias("own"), F.lit(other).alias("other"))
+    )
+    terms = F.concat(
+        marked(F.array_intersect("h", "g"), True, True), marked(F.array_except("h", "g"), True, False), marked(F.array_except("g", "h"), False, True)
+    )
+    terms = rows.select(*keys, F.explode_outer(terms).alias("t"))  # a row without words stays
+    times = F.col("t.x").bitwiseAND(F.lit(MOST_TIMES)).cast("double")
+    terms = terms.select(*keys, "t.own", "t.other", F.col("t.x").bitwiseAND(F.lit(~MOST_TIMES)).alias("term"), F.log(times).alias("log_weight"))
+    values = terms.select(*keys, "own", "other", *(sample_value(F.col("term"), F.col("log_weight"), k).alias(f"v{k}") for k in range(samples)))
+    least = [F.min(F.when(F.col(side), F.col(f"v{k}"))).alias(f"{side}{k}") for side in ("own", "other") for k in range(samples)]
+    minima = values.groupBy(*keys).agg(*least)
+
+    def print_of(side: str) -> Column:
+        part = lambda k: F.right(F.lpad(F.lower(F.hex(F.xxhash64(f"{side}{k}"))), 16, "0"), F.lit(DIGITS))
+        return F.when(F.col(f"{side}0").isNotNull(), F.concat(*(part(k) for k in range(samples))))
+
+    return minima.select(*keys, print_of("own").alias("fingerprint"), print_of("other").alias("edited_fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -112,25 +149,14 @@ def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     lent = pairs.join(texts.select(*(F.col(k).alias(f"next_{k}") for k in KEYS), F.col("text").alias("next_text")), next_keys)
     lent = lent.select(*KEYS, *next_keys, third.alias("third"), F.substring(F.col("next_text"), F.lit(1), third).alias("lent"))
     edited = lent.join(texts, KEYS).select(
-        *KEYS, *next_keys,
-        F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("third")), "lent").alias("text"),
-    )
-    # Both kinds of texts at once: the keys of the next row are zeros where it is a row's own.
-    zero = [F.lit(0).cast("long").alias(k) for k in next_keys]
-    both = texts.select(*KEYS, *zero, F.lit(False).alias("edited"), "text").union(
-        edited.select(*KEYS, *next_keys, F.lit(True).alias("edited"), "text")
-    )
-    keys = [*KEYS, *next_keys, "edited"]
-    prints = materialize(fingerprints(both, keys, samples), "fingerprints")
+        *KEYS, *next_keys, "text",
+        F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("third")), "lent").alias("edited"),
+    ).withColumn("edited_sha256", F.sha2("edited", 256))
+    prints = materialize(fingerprints(edited, [*KEYS, *next_keys, "edited_sha256"], samples), "fingerprints")
     blank = F.lit("0" * samples * DIGITS)
-    own = prints.where("not edited").select(*KEYS, "fingerprint")
-    of_edited = prints.where("edited").select(*KEYS, *next_keys, F.col("fingerprint").alias("edited_fingerprint"))
-    of_next = own.select(*(F.col(k).alias(n) for k, n in zip(KEYS, next_keys)), F.col("fingerprint").alias("next_fingerprint"))
-    digests = edited.select(*KEYS, *next_keys, F.sha2("text", 256).alias("edited_sha256"))
-    joined = (
-        order.join(digests, [*KEYS, *next_keys]).join(own, KEYS, "left")
-        .join(of_edited, [*KEYS, *next_keys], "left").join(of_next, next_keys, "left")
-    )
+    of_next = prints.select(*(F.col(k).alias(n) for k, n in zip(KEYS, next_keys)), F.col("fingerprint").alias("next_fingerprint"))
+    of_next = of_next.groupBy(*next_keys).agg(F.max("next_fingerprint").alias("next_fingerprint"))
+    joined = order.join(prints, [*KEYS, *next_keys]).join(of_next, next_keys)
     filled = joined.select(
         "doc_id", "n_chars", "edited_sha256",
         *(F.coalesce(c, blank).alias(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")),
