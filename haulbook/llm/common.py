@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch that a task looks at together, in bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,15 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about `limit` bytes of text, or one row."""
+    """The batches cut so that each has about `limit` bytes of text, or one row.
+
+    `text` is a column, or a field of a struct column as in `row.text`.
+    """
+    column, _, field = text.partition(".")
     for batch in batches:
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
+        texts = batch.column(column)
+        for i, n in enumerate(pc.binary_length(texts.field(field) if field else texts).to_pylist()):
             if held and held + (n or 0) > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

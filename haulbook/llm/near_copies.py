@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import arrow_map
+from haulbook.llm.common import arrow_map, chunks
 from haulbook.llm.components import components
 from haulbook.session import materialize
 
@@ -61,7 +61,7 @@ class Shingler:
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = text.split() if text else []
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for t in {*tokens}.difference(known):
             known[t] = xxhash.xxh64_intdigest(t)
@@ -183,7 +183,7 @@ TEXT = "k1 long, k2 long, doc_id long, n int, sketches array<bigint>"
 def _sketch(words: int, sketches: int):
     def work(batches):
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             n, out = [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingler(text)
@@ -248,7 +248,7 @@ def _stars(batches):
 def _verify(words: int, least: float):
     def work(batches):
         shingler, last, right = Shingler(words), None, None
-        for batch in batches:
+        for batch in chunks(batches, "text_a"):
             a, b, text_a, text_b = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             keep_a, keep_b, score = [], [], []
             for i, j, x, y in zip(a, b, text_a, text_b):
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
 def _spread(words: int):
     def work(batches):
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             shingles = [occurrences(s) if len(s) else s for s in map(shingler, batch.column("text").to_pylist())]
             n = [len(s) for s in shingles]
             for i in range(0, len(n), 200):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import arrow_map, held_out
+from haulbook.llm.common import arrow_map, chunks, held_out
 from haulbook.session import materialize
 
 FEATURES = (
@@ -71,7 +71,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and its statistics."""
 
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             yield {"doc_id": batch.column("doc_id"), "features": [statistics(t) for t in batch.column("text").to_pylist()]}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, features array<float>")
@@ -217,7 +217,7 @@ def keep(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFram
     model = trained(features(sample), known)
 
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float32).astype(np.float64)
             good = model.scores(x.reshape(-1, len(FEATURES))) >= accept
             yield batch.filter(pa.array(good))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import arrow_map
+from haulbook.llm.common import arrow_map, chunks
 from haulbook.session import materialize
 
 LENGTH = 100
@@ -117,7 +117,7 @@ def _stretch_rows(length: int, gram: int):
     def work(batches):
         cutter = Stretcher(length, gram)
         held = []
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 grams, content, start, starts = cutter.stretches(text.encode())
                 held.append((grams.view(np.int64), content.view(np.int64), np.full(len(start), doc), start.astype(np.int32), starts.astype(np.int32)))
@@ -333,7 +333,7 @@ def _slices(length: int):
     """Cuts the wanted stretches out of their documents."""
 
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             out = {k: [] for k in ("gram", "doc", "start", "bytes")}
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
                 raw = text.encode()
@@ -456,7 +456,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, bytes cut as they are."""
 
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
                 raw = (text or "").encode()
@@ -479,7 +479,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     schema, names = docs.schema, docs.columns
 
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "row.text"):
             row = batch.column("row")
             columns = dict(zip(names, row.flatten()))
             texts, lengths = columns["text"].to_pylist(), None

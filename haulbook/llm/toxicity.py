@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulbook.llm.common import arrow_map, held_out
+from haulbook.llm.common import arrow_map, chunks, held_out
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_FOLD = 3, 1
@@ -98,7 +98,7 @@ def _emit(into: list[Counter]) -> dict:
 
 def _prefix_counts(batches):
     into = _counters()
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             found = Counter()
             for w, times in Counter(fold(text).split()).items():
@@ -165,7 +165,7 @@ class Lexicon:
 def _exception_counts(lexicon: Lexicon):
     def work(batches):
         into = _counters()
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 folded, found = fold(text), Counter()
                 for start, _ in lexicon.matches(folded):
@@ -185,7 +185,7 @@ def _exception_counts(lexicon: Lexicon):
 
 def _measured(lexicon: Lexicon):
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             m = [lexicon.measures(t) for t in batch.column("text").to_pylist()]
             yield {"y": batch.column("y"), **{name: [x[i] for x in m] for i, name in enumerate(MEASURES)}}
 
@@ -255,7 +255,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold_no: int =
     lexicon = learn(docs, labels, folds, fold_no, most)
 
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             m = np.array([lexicon.measures(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(MEASURES))
             scores = lexicon.scores(m)
             yield {"doc_id": batch.column("doc_id"), "score": scores, "predicted": (scores >= accept).astype(np.int32)}
