@@ -203,7 +203,7 @@ def with_key(docs: DataFrame) -> DataFrame:
     )
 
 
-STAR = "bucket long, tid long, mate long"
+STAR = "bucket long, tid long, n int, mate long, mate_n int"
 
 
 def _local_stars(batches):
@@ -212,37 +212,37 @@ def _local_stars(batches):
         sketches = batch.column("sketches")
         held = np.diff(sketches.offsets.to_numpy())
         bucket = sketches.flatten().to_numpy()
-        tid = np.repeat(batch.column("tid").to_numpy(), held)
+        tid, n = (np.repeat(batch.column(c).to_numpy(), held) for c in ("tid", "n"))
         order = np.lexsort((tid, bucket))
-        bucket, tid = bucket[order], tid[order]
+        bucket, tid, n = bucket[order], tid[order], n[order]
         new = np.ones(len(bucket), dtype=bool)
         new[1:] = bucket[1:] != bucket[:-1]
         heads = np.flatnonzero(new)
-        first = tid[heads][np.cumsum(new) - 1] if len(heads) else tid
-        mate = np.where(new, np.int64(-1), first)
+        first = heads[np.cumsum(new) - 1] if len(heads) else heads
+        mate = np.where(new, np.int64(-1), tid[first])
         # Links pass through in any partition.
-        yield {"bucket": np.where(new, bucket, tid), "tid": tid, "mate": mate}
+        yield {"bucket": np.where(new, bucket, tid), "tid": tid, "n": n, "mate": mate, "mate_n": n[first]}
 
 
 def _stars(batches):
     """Links the members of a bucket, which stand together, to the first of them."""
-    last_bucket = last_tid = None
+    last_bucket, last_tid, last_n = None, -1, 0
     for batch in batches:
-        bucket, tid, mate = (batch.column(c).to_numpy() for c in ("bucket", "tid", "mate"))
+        bucket, tid, n, mate, mate_n = (batch.column(c).to_numpy() for c in ("bucket", "tid", "n", "mate", "mate_n"))
         passed = mate >= 0
-        out_a, out_b = [tid[passed]], [mate[passed]]
-        bucket, tid = bucket[~passed], tid[~passed]
+        links = [(tid[passed], n[passed], mate[passed], mate_n[passed])]
+        bucket, tid, n = bucket[~passed], tid[~passed], n[~passed]
         if len(bucket):
             new = np.ones(len(bucket), dtype=bool)
             new[1:] = bucket[1:] != bucket[:-1]
             new[0] = bucket[0] != last_bucket
             heads = np.flatnonzero(new)
             group = np.cumsum(new)
-            firsts = np.concatenate([[last_tid if last_tid is not None else -1], tid[heads]])
-            out_a.append(tid[~new])
-            out_b.append(firsts[group[~new]])
-            last_bucket, last_tid = bucket[-1], firsts[group[-1]]
-        yield {"a": np.concatenate(out_a), "b": np.concatenate(out_b)}
+            first = np.concatenate([[last_tid], tid[heads]])
+            first_n = np.concatenate([[last_n], n[heads]])
+            links.append((tid[~new], n[~new], first[group[~new]], first_n[group[~new]]))
+            last_bucket, last_tid, last_n = bucket[-1], first[group[-1]], first_n[group[-1]]
+        yield {c: np.concatenate([x[i] for x in links]) for i, c in enumerate(("a", "n_a", "b", "n_b"))}
 
 
 def _verify(words: int, least: float):
@@ -340,16 +340,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     texts = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     texts = materialize(texts.withColumn("tid", F.monotonically_increasing_id()), "near-texts")
 
-    stars = arrow_map(texts.select("tid", "sketches"), _local_stars, STAR)
+    stars = arrow_map(texts.select("tid", "n", "sketches"), _local_stars, STAR)
     stars = stars.repartition("bucket").sortWithinPartitions("bucket", "tid")
-    met = arrow_map(stars, _stars, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
-    sizes = texts.select(F.col("tid").alias("node"), F.col("n").alias("size"))
-    met = (
-        met.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("n_a")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("n_b")), "b")
-        .withColumn("often", (F.col("times") >= MEETINGS) | (F.col("n_a") + F.col("n_b") == 0))
-        .select("a", "b", (F.col("often") & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).alias("may"))
-    )
+    met = arrow_map(stars, _stars, "a long, n_a int, b long, n_b int")
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("times"))
+    often = (F.col("times") >= MEETINGS) | (F.col("n_a") + F.col("n_b") == 0)
+    alike = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
+    met = met.select("a", "b", (often & alike).alias("may"))
     met = materialize(met, "near-met")
     asked = met.select(F.col("a").alias("tid")).union(met.select("b")).distinct()
     asked = texts.select("tid", "k1", "k2", "first_doc").join(asked, "tid")
