@@ -99,3 +99,95 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
 FROM five
 """
+
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec, row_number() OVER () AS row
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_sum(list_transform(range(1, least(len(a.vec), len(b.vec)) + 1), lambda i: a.vec[i] * b.vec[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST) AS nth FROM s WHERE same)
+  WHERE nth <= 5),
+n AS (
+  SELECT p.anchor, p.nth, p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.other_id NULLS LAST)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+OP12 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+drawn AS (
+  SELECT raw.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::INT, 1))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS d
+  FROM raw, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM drawn, range(2) AS twice(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id),
+rows AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY n) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'sound' END AS fault
+  FROM placed),
+counts AS (
+  SELECT c, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY c),
+-- States of the pattern: 0 nothing, 1 after s, 2 after u, 3 after a; inserting leads from one to the next.
+inserts AS (
+  SELECT * FROM (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+                        (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')) AS x(f, t, extra, put)),
+edits AS (
+  SELECT * FROM (VALUES ('D', 0, '', 0, 4), ('D', 1, '', 1, 4), ('D', 2, '', 2, 4), ('D', 3, '', 3, 4),
+                        ('R', 0, '', 2, 3), ('R', 1, '', 2, 3), ('R', 2, '', 3, 3), ('R', 3, '', 2, 3),
+                        ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 2, 'a', 3, 0), ('K', 3, 'u', 2, 0)) AS x(edit, f, needs, t, pays)),
+best AS (
+  SELECT c, 0::BIGINT AS n, 0 AS state, '000000000' AS way FROM convs
+  UNION ALL
+  SELECT b.c, r.n, e.t AS state,
+         min(lpad((substr(b.way, 1, 9)::INT + i.extra + e.pays + CASE WHEN e.edit <> 'D' AND r.fault = 'truncated' THEN 3 ELSE 0 END)::VARCHAR, 9, '0')
+             || substr(b.way, 10) || i.put || e.edit) AS way
+  FROM best b JOIN rows r ON r.c = b.c AND r.n = b.n + 1 JOIN inserts i ON i.f = b.state JOIN edits e ON e.f = i.t
+  WHERE (e.edit <> 'K' OR e.needs = r.initial) AND (e.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY b.c, r.n, e.t),
+ended AS (
+  SELECT b.c, min(lpad((substr(b.way, 1, 9)::INT + i.extra)::VARCHAR, 9, '0') || substr(b.way, 10) || i.put) AS way
+  FROM best b LEFT JOIN counts k ON b.c = k.c JOIN inserts i ON i.f = b.state
+  WHERE b.n = coalesce(k.rows, 0) AND i.t IN (0, 3) GROUP BY b.c),
+answers AS (SELECT c, substr(way, 1, 9)::BIGINT AS cost, substr(way, 10) AS audit FROM ended),
+steps AS (
+  SELECT c, edit, sum((edit <> 'I')::INT) OVER w AS n, sum((edit <> 'D')::INT) OVER w AS place
+  FROM (SELECT c, unnest(range(1, length(audit) + 1)) AS j, substr(audit, j::INT, 1) AS edit FROM answers)
+  WINDOW w AS (PARTITION BY c ORDER BY j)),
+kept AS (
+  SELECT s.*, r.role, r.text, max((s.place = 1 AND s.edit = 'K' AND r.initial = 's')::INT) OVER (PARTITION BY s.c) AS led
+  FROM steps s LEFT JOIN rows r ON s.edit <> 'I' AND r.c = s.c AND r.n = s.n WHERE s.edit <> 'D'),
+texts AS (
+  SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                       || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS repaired
+  FROM kept GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost, audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM convs LEFT JOIN counts USING (c) LEFT JOIN texts USING (c) JOIN answers USING (c)
+"""

@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from haulbook.llm import (
-    chat, decontaminate, fingerprints, mixing, near_copies, oracles, quality, repeats, toxicity, urls, warc,
+    chat, decontaminate, fingerprints, mixing, near_copies, negatives, oracles, packing, quality, repair, repeats, toxicity,
+    urls, warc,
 )
 from haulbook.llm.common import table
 
@@ -54,11 +55,24 @@ def op10_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tiled_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_deepening_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (
         op1_order_minhash, op2_run_length_index, op3_additive_model, op4_host_segmentation,
         op5_positional_index, op6_splitting_tree,
         op7_consistent_sampling, op8_relational_formatting, op9_splittable_reader, op10_weighted_lexicon,
+        op11_tiled_negatives, op12_deepening_repair, op13_best_two_fit,
     )}
 
 
@@ -66,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_positional_index": oracles.OP5, "op6_splitting_tree": oracles.OP6,
         "op8_relational_formatting": oracles.OP8, "op9_splittable_reader": oracles.OP9,
+        "op11_tiled_negatives": oracles.OP11, "op12_deepening_repair": oracles.OP12,
     }

@@ -33,6 +33,6 @@ def sample(spark):
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"create view {name} as select * from '{DIR}/{name}.parquet'")
     return con

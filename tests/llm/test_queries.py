@@ -20,5 +20,5 @@ def test_query_equals_sql(spark, duck, name):
 def test_all_are_registered():
     names = set(registry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
