@@ -57,7 +57,11 @@ def inspections_by_month(inspections: DataFrame) -> DataFrame:
 
 def latest_month(inspections: DataFrame) -> DataFrame:
     """Of the two newest months the fuller one (the newest may still be filling up)."""
-    newest = inspections_by_month(inspections).orderBy(F.desc("month")).limit(2)
+    return fuller_month(inspections_by_month(inspections))
+
+
+def fuller_month(months: DataFrame) -> DataFrame:
+    newest = months.orderBy(F.desc("month")).limit(2)
     best = newest.agg(F.max(F.struct("count", "month")).alias("b"))
     return best.select(
         F.col("b.month").alias("inspections_month"),
@@ -120,7 +124,11 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def top_states(carriers: DataFrame, limit: int = 10) -> DataFrame:
     """The states with the most active carriers, with their names."""
-    named = with_state_name(carriers_by_state(carriers)).where(F.col("state_name").isNotNull())
+    return top_of(carriers_by_state(carriers), limit)
+
+
+def top_of(by_state: DataFrame, limit: int = 10) -> DataFrame:
+    named = with_state_name(by_state).where(F.col("state_name").isNotNull())
     return (
         named.select("state", "state_name", "count").orderBy(F.desc("count"), "state").limit(limit)
     )

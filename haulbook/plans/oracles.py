@@ -422,6 +422,7 @@ union all select {SUMMARY} from w_carriers where usdot_number = '700004' or mc_n
 for _key, _pattern in (
     ("f03_search_name", "%#00000_1%llc%"), ("f03_search_plain", "%dba BUILD%"), ("f03_search_blank", "%%"),
     ("f05_indexed_search", "%renamed%"),
+    ("f05_kept_search", "%second supplier%"),
 ):
     CHECKS[_key] = (
         f"select {SUMMARY} from w_carriers where legal_name ilike '{_pattern}' or dba_name ilike '{_pattern}'"
@@ -867,6 +868,15 @@ CHECKS["t04_changing_subscribers_stream"] = _outcomes.replace("w_access", "w_lat
 CHECKS["t05_subscription_stream"] = CHECKS["b01_subscription_fold"]
 CHECKS["t06_monthly_counts_stream"] = CHECKS["a03_inspections_by_month"]
 
+# The same answers, kept by changes.
+for _name, _plain in (
+    ("s10_merged_folders", "s10_append_rows"), ("f05_kept_index", "f05_gram_index"),
+    ("j06_delta_upsert", "j06_census_upsert"), ("j07_delta_upsert", "j07_field_upsert"),
+    ("a01_kept_stats", "a01_directory_stats"), ("a02_kept_by_state", "a02_carriers_by_state"),
+    ("a03_kept_by_month", "a03_inspections_by_month"), ("d14_kept_home", "d14_home_summary"),
+):
+    CHECKS[_name] = CHECKS[_plain]
+
 
 def statement(body: str) -> str:
     """A body with all parts it needs, in order."""

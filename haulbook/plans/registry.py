@@ -11,12 +11,15 @@ from pyspark.sql import types as T
 from haulbook.functions import cleaning as c
 from haulbook.functions import slugs
 from haulbook.operators import (
-    billing, directory, documents, ledger, merges, ranking, rows, safety, search, stats,
+    billing, directory, documents, ledger, merges, ranking, rows, safety, search, stats, summaries,
 )
-from haulbook.plans.tables import AS_OF, CENSUS_LOADED, ENRICHED, MEASURED, PRICE_PLANS, Tables
-from haulbook.schemas import BASIC_CATEGORIES, CARRIERS, LEDGER, SUBSCRIBERS, empty
+from haulbook.operators.kept import KeptDirectory
+from haulbook.plans.tables import AS_OF, CENSUS_LOADED, ENRICHED, MEASURED, PRICE_PLANS, Tables, in_parts
+from haulbook.schemas import BASIC_CATEGORIES, CARRIERS, LEDGER, empty
 from haulbook.session import fresh_dir
 from haulbook.sources import feeds, tables as store
+from haulbook.sources.appends import AppendTable
+from haulbook.sources.deltas import KeyedTable
 from haulbook.streaming import feeds as streams
 
 Query = Callable[[Tables], DataFrame]
@@ -106,6 +109,17 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+@query("s10_merged_folders")
+def _(t: Tables) -> DataFrame:
+    """Seven batches, merged by threes; what is superseded is removed at once."""
+    table = AppendTable(t.spark, fresh_dir(t.spark, "inspections"), t.inspections.schema, most=3)
+    parts = in_parts(t.inspections, F.col("src_id"), 7)
+    for version, part in enumerate(parts):
+        table.append(part, version)
+    table.retire(grace_seconds=0)
+    return table.read()
+
+
 @query("s11_profile_export")
 def _(t: Tables) -> DataFrame:
     path = fresh_dir(t.spark, "profiles")
@@ -348,6 +362,15 @@ def _(t: Tables) -> DataFrame:
     return rows.summary(search.indexed_search(t.carriers, index, "Renamed"))
 
 
+query("f05_kept_index")(lambda t: t.kept.grams.postings())
+
+
+@query("f05_kept_search")
+def _(t: Tables) -> DataFrame:
+    """The index after a first load and three upserts, each followed by deltas."""
+    return rows.summary(t.kept.grams.search(t.kept.carriers, "Second Supplier"))
+
+
 @query("f06_lookup")
 def _(t: Tables) -> DataFrame:
     keys = t.feed("basics").select(F.col("dot_number").alias("asked"), "src_id")
@@ -403,6 +426,22 @@ def _(t: Tables) -> DataFrame:
 query("j07_field_upsert")(lambda t: t.built_carriers)
 
 
+@query("j06_delta_upsert")
+def _(t: Tables) -> DataFrame:
+    """As j06, with the census load as deltas to the buckets of its carriers."""
+    early = rows.clean_census(feeds.active_only(t.census.where("add_date < '20240301'")))
+    before = merges.census_upsert(empty(t.spark, CARRIERS), early, "2024-02-01 00:00:00")
+    richer = merges.field_upsert(before, t.enrichment, "2024-02-15 00:00:00")
+    table = KeyedTable(t.spark, fresh_dir(t.spark, "carriers"), CARRIERS, "usdot_number")
+    table.create(richer, 0)
+    load = rows.clean_census(t.census)
+    table.apply(load.select("usdot_number").distinct(), lambda known: merges.census_upsert(known, load, CENSUS_LOADED), 1)
+    return table.read()
+
+
+query("j07_delta_upsert")(lambda t: t.kept.carriers)
+
+
 @query("j07_incremental")
 def _(t: Tables) -> DataFrame:
     fresh = feeds.new_registrations_since(t.census, AS_OF)
@@ -462,6 +501,9 @@ def _stats(t: Tables) -> DataFrame:
 query("a01_directory_stats")(_stats)
 query("a02_carriers_by_state")(lambda t: stats.carriers_by_state(t.carriers))
 query("a03_inspections_by_month")(lambda t: stats.inspections_by_month(t.inspections))
+query("a01_kept_stats")(lambda t: summaries.directory_stats(t.kept.summary))
+query("a02_kept_by_state")(lambda t: summaries.carriers_by_state(t.kept.summary))
+query("a03_kept_by_month")(lambda t: summaries.inspections_by_month(t.kept.summary))
 query("a04_latest_month")(lambda t: stats.latest_month(t.inspections))
 query("a05_new_this_week")(lambda t: stats.new_registrations(t.census, AS_OF))
 query("a06_carrier_totals")(lambda t: t.totals)
@@ -621,10 +663,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("d14_home_summary")
 def _(t: Tables) -> DataFrame:
-    home = stats.home_summary(
+    return _home(stats.home_summary(
         _stats(t), stats.top_states(t.carriers), stats.latest_month(t.inspections),
         stats.new_registrations(t.census, AS_OF),
-    )
+    ))
+
+
+@query("d14_kept_home")
+def _(t: Tables) -> DataFrame:
+    return _home(summaries.home_summary(t.kept.summary, stats.new_registrations(t.census, AS_OF)))
+
+
+def _home(home: DataFrame) -> DataFrame:
     return home.select(
         "stats.*", "alerts.*", "month.*", "week.*",
         F.array_join(
@@ -686,14 +736,7 @@ def _deliver(
     Every start of the stream resumes at its checkpoint.
     """
     path = fresh_dir(t.spark, label)
-    keyed = feed.withColumn("_key", key.cast("double"))
-    shares = [i / deliveries for i in range(1, deliveries)]
-    cuts = [float("-inf"), *keyed.approxQuantile("_key", shares, 0.01), float("inf")]
-    slices = [
-        keyed.where((F.col("_key") > lo) & (F.col("_key") <= hi)).drop("_key")
-        for lo, hi in zip(cuts, cuts[1:])
-    ]
-    for part in slices + ([feed] if again else []):
+    for part in in_parts(feed, key, deliveries) + ([feed] if again else []):
         part.write.mode("append").parquet(path)
         running = start(streams.feed_stream(t.spark, path, feed.schema))
         running.awaitTermination()
@@ -703,14 +746,14 @@ def _deliver(
 
 @query("t01_incremental_stream")
 def _(t: Tables) -> DataFrame:
-    root, checkpoint = fresh_dir(t.spark, "carriers"), fresh_dir(t.spark, "checkpoint")
-    store.publish(t.first_load, root, version=-1)
+    directory, checkpoint = KeptDirectory(t.spark, fresh_dir(t.spark, "directory")), fresh_dir(t.spark, "checkpoint")
+    directory.create(t.first_load, version=-1)
     fresh = feeds.new_registrations_since(t.census, AS_OF)
     _deliver(
         t, fresh, F.col("src_seq"), "census-feed",
-        lambda s: streams.incremental_census(s, root, checkpoint, ENRICHED), again=True,
+        lambda s: streams.incremental_census(s, directory, checkpoint, ENRICHED), again=True,
     )
-    return store.read_table(t.spark, root)
+    return directory.carriers
 
 
 @query("t02_direct_violations_stream")
@@ -720,7 +763,7 @@ def _(t: Tables) -> DataFrame:
         t, t.feed("violations"), F.col("tie_1"), "violations-feed",
         lambda s: streams.direct_violations(s, t.carriers, out, checkpoint),
     )
-    return t.spark.read.parquet(out)
+    return AppendTable(t.spark, out, t.violations.schema).read()
 
 
 @query("t03_once_per_row_stream")
@@ -731,7 +774,7 @@ def _(t: Tables) -> DataFrame:
         lambda s: streams.once_per_source_row(s, rows.clean_inspections, root, checkpoint),
         again=True,
     )
-    return t.spark.read.parquet(root).drop("batch", "bucket")
+    return AppendTable(t.spark, root, rows.clean_inspections(t.feed("inspections")).schema, "src_id").read()
 
 
 @query("t04_metering_stream")
@@ -766,12 +809,12 @@ def _(t: Tables) -> DataFrame:
 @query("t05_subscription_stream")
 def _(t: Tables) -> DataFrame:
     root, checkpoint = fresh_dir(t.spark, "subscriptions"), fresh_dir(t.spark, "checkpoint")
-    store.publish(t.subscribers, root, version=-1)
+    streams.subscriber_table(t.spark, root).create(t.subscribers, version=-1)
     _deliver(
         t, t.feed("subscription_events"), F.col("seq"), "subscription-feed",
         lambda s: streams.subscription_stream(s, PRICE_PLANS, root, checkpoint),
     )
-    return store.read_table(t.spark, root, SUBSCRIBERS).select(*FOLDED)
+    return streams.subscriber_table(t.spark, root).read().select(*FOLDED)
 
 
 @query("t06_monthly_counts_stream")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from haulbook.functions import cleaning as c
-from haulbook.operators import documents, merges, rows, safety
+from haulbook.operators import documents, merges, rows, safety, summaries
+from haulbook.operators.kept import KeptDirectory
 from haulbook.plans import fixtures
 from haulbook.schemas import CARRIERS, SUBSCRIBERS, empty
 from haulbook.session import fresh_dir
@@ -23,9 +24,20 @@ ENRICHED = "2024-03-05 00:00:00"
 MEASURED = "2024-02-01"
 PRICE_PLANS = {"pri_g": "growth", "pri_s": "standard", "pri_p": "pro", "": "pro"}
 
+_KEPT: dict[tuple[str, str], str] = {}
 _STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
+def in_parts(feed: DataFrame, key: Column, parts: int) -> list[DataFrame]:
+    """A feed cut into parts along a numeric key."""
+    keyed = feed.withColumn("_key", key.cast("double"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = [float("-inf"), *keyed.approxQuantile("_key", shares, 0.01), float("inf")]
+    return [
+        keyed.where((F.col("_key") > lo) & (F.col("_key") <= hi)).drop("_key") for lo, hi in zip(cuts, cuts[1:])
+    ]
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -98,6 +110,29 @@ class Tables:
         path, schema = _STORED[key]
         return self.spark.read.schema(schema).parquet(path)
 
+    @cached_property
+    def kept(self) -> KeptDirectory:
+        """The same directory kept by changes: a first load, three upserts, and the child
+        tables and scores in two deliveries each. Built once per application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key in _KEPT:
+            return KeptDirectory(self.spark, _KEPT[key])
+        kept = KeptDirectory(self.spark, fresh_dir(self.spark, "kept"))
+        kept.create(self.first_load, 0)
+        for n, part in enumerate(in_parts(self.feed("enrichment"), F.col("src_seq"), 3), 1):
+            kept.upsert(rows.normalize_enrichment(part), ENRICHED, n)
+        for n, part in enumerate(in_parts(self.feed("inspections"), F.col("src_id"), 2), 4):
+            known = merges.known_only(rows.clean_inspections(part), kept.carriers)
+            kept.add_children("inspections", known, summaries.inspection_counts, n)
+        for n, part in enumerate(in_parts(self.feed("violations"), F.col("tie_1"), 2), 6):
+            known = merges.known_only(rows.clean_violations(part), kept.carriers)
+            kept.add_children("violations", known, summaries.violation_counts, n)
+        # Some carriers' scores first, then everyone's: the first ones are replaced.
+        kept.replace_scores(self.basics.where(F.col("usdot_number") % 3 == 0), "2024-01-01", 8)
+        kept.replace_scores(self.basics, MEASURED, 9)
+        _KEPT[key] = kept.root
+        return kept
+
     @cached_property
     def totals(self) -> DataFrame:
         return safety.carrier_totals(self.carriers, self.inspections, self.violations)

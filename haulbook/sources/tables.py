@@ -7,12 +7,17 @@ its own version.
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulbook.schemas import empty
+from haulbook.session import remove
+from haulbook.sources.manifests import children
 
 VERSIONS = T.StructType(
     [T.StructField("version", T.LongType()), T.StructField("path", T.StringType())]
@@ -70,6 +75,25 @@ def read_table(
     return spark.read.parquet(newest[1])
 
 
+def retire_versions(
+    spark: SparkSession, root: str, grace_seconds: float, now: float | None = None
+) -> list[int]:
+    """Removes versions that a newer one replaced longer than the grace ago. Who still reads
+    an older version has the grace to finish; the newest one stays."""
+    now = time.time() if now is None else now
+    done = {}
+    for name, _ in children(spark, root):
+        if re.fullmatch(r"v-?\d+", name):
+            finished = dict(children(spark, f"{root.rstrip('/')}/{name}")).get("_SUCCESS")
+            if finished is not None:
+                done[int(name[1:])] = finished
+    known = sorted(done.items())
+    old = [v for (v, _), (_, replaced) in zip(known, known[1:]) if replaced < now - grace_seconds]
+    for v in old:
+        remove(spark, f"{root.rstrip('/')}/v{v}")
+    return old
+
+
 def replace_snapshot(
     df: DataFrame, root: str, version: int, bounded_run: bool = False, cluster_by: str | None = None
 ) -> str | None:

@@ -2,7 +2,8 @@
 
 State that a batch builds on (the directory, subscriptions, usage) is kept in versions
 numbered by the micro-batch: a batch that is repeated after a failure reads the version
-before it and rewrites its own, so it counts once.
+before it and rewrites its own, so it counts once. A batch writes what it changes: deltas to
+the buckets of its keys, or a folder of new rows.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from haulbook.functions.cleaning import month_key
 from haulbook.operators.billing import fold_subscriptions, meter, moved_usage, outcomes
-from haulbook.operators.merges import field_upsert, known_only
+from haulbook.operators.kept import KeptDirectory
+from haulbook.operators.merges import known_only
 from haulbook.operators.rows import clean_violations, map_incremental, normalize_enrichment
-from haulbook.schemas import CARRIERS, SUBSCRIBERS
-from haulbook.session import scratch
+from haulbook.schemas import SUBSCRIBERS
+from haulbook.session import materialize, scratch
+from haulbook.sources.appends import AppendTable
+from haulbook.sources.deltas import KeyedTable
 from haulbook.sources.tables import publish, read_table
 
 
-STORED = "src_id string, batch bigint, bucket int"
-# Folders of each batch of rows that are stored once: values of a hash of the source id.
+# Buckets of rows that are stored once: values of a hash of the source id.
 ID_BUCKETS = 16
 
 USAGE = T.StructType([
@@ -56,48 +59,33 @@ def _run(
     )
 
 
-def _versioned(
-    stream: DataFrame, root: str, schema: T.StructType, checkpoint: str,
-    fold: Callable[[DataFrame, DataFrame], DataFrame],
-) -> StreamingQuery:
-    """Fold every micro-batch into a versioned table."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = read_table(batch.sparkSession, root, schema, below=batch_id)
-        publish(fold(before, batch), root, batch_id)
-
-    return _run(stream, step, checkpoint)
-
-
 def incremental_census(
-    stream: DataFrame, root: str, checkpoint: str, as_of: str
+    stream: DataFrame, directory: KeptDirectory, checkpoint: str, as_of: str
 ) -> StreamingQuery:
-    """New registrations, read with an overlap, upserted into the directory.
-
-    Rows that come again change nothing.
+    """New registrations, read with an overlap, upserted into the directory, its index and its
+    statistics. Rows that come again change nothing.
     """
 
-    def fold(carriers: DataFrame, batch: DataFrame) -> DataFrame:
-        return field_upsert(carriers, normalize_enrichment(map_incremental(batch)), as_of)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        directory.upsert(normalize_enrichment(map_incremental(batch)), as_of, batch_id)
 
-    return _versioned(stream, root, CARRIERS, checkpoint, fold)
+    return _run(stream, step, checkpoint)
 
 
 def direct_violations(
-    stream: DataFrame, carriers: DataFrame, path: str, checkpoint: str
+    stream: DataFrame, carriers: DataFrame, root: str, checkpoint: str
 ) -> StreamingQuery:
     """Violations straight into the final table: clean, keep known carriers, append.
 
-    The file sink commits per micro-batch together with the checkpoint.
+    A batch is a folder, replaced when the batch is repeated; small folders are merged.
     """
-    resolved = known_only(clean_violations(stream), carriers)
-    return (
-        resolved.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    schema = known_only(clean_violations(stream), carriers).schema
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = known_only(clean_violations(batch), carriers)
+        AppendTable(batch.sparkSession, root, schema).append(rows, batch_id)
+
+    return _run(stream, step, checkpoint)
 
 
 def once_per_source_row(
@@ -107,26 +95,20 @@ def once_per_source_row(
 
     What was stored first stays, also when the row comes again with other values; of rows of
     one id in a batch one is taken. Rows without an id cannot be told apart and are all
-    stored. The table is laid out by a hash of the id, and a batch is compared with the ids
-    of its buckets alone. Every batch writes its own folder, and a repeated batch replaces it.
+    stored. Bloom filters tell which folders may hold an id of the batch, and only those are
+    opened (`AppendTable.unseen`).
     """
+    schema = clean(stream).schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        table = AppendTable(batch.sparkSession, root, schema, "src_id", ID_BUCKETS)
         rows = clean(batch)
         # A row without an id is a group of its own.
         own = F.coalesce("src_id", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
         pick = W.partitionBy("_own").orderBy(F.xxhash64(*rows.columns))
-        rows = (
-            rows.withColumn("_own", own).withColumn("_nth", F.row_number().over(pick))
-            .where("_nth = 1").drop("_own", "_nth")
-            .withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("src_id", F.lit(""))), F.lit(ID_BUCKETS)).cast("int"))
-        )
-        if batch_id > 0:
-            stored = spark.read.schema(STORED).parquet(root).where(F.col("batch") < batch_id)
-            rows = rows.join(stored.select("bucket", "src_id"), ["bucket", "src_id"], "left_anti")
-        target = f"{root.rstrip('/')}/batch={batch_id}"
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+        rows = rows.withColumn("_own", own).withColumn("_nth", F.row_number().over(pick)).where("_nth = 1").drop("_own", "_nth")
+        with scratch(batch.sparkSession):
+            table.append(table.unseen(materialize(rows, "rows"), below=batch_id), batch_id)
 
     return _run(stream, step, checkpoint)
 
@@ -161,15 +143,25 @@ def metered_stream(
     return _run(stream, step, checkpoint)
 
 
+def subscriber_table(spark: SparkSession, root: str) -> KeyedTable:
+    return KeyedTable(spark, root, SUBSCRIBERS, "subscription_id")
+
+
 def subscription_stream(
     stream: DataFrame, price_plans: dict[str, str], root: str, checkpoint: str
 ) -> StreamingQuery:
-    """Subscription events folded into the subscriber table."""
+    """Subscription events folded into the subscriber table (`subscriber_table`)."""
 
-    def fold(known: DataFrame, batch: DataFrame) -> DataFrame:
-        return fold_subscriptions(batch, price_plans, known)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            events = materialize(batch, "events")
+            named = F.startswith("event_type", F.lit("subscription.")) & (F.col("sub_id") != "")
+            keys = events.where(named).select(F.col("sub_id").alias("subscription_id")).distinct()
+            subscriber_table(batch.sparkSession, root).apply(
+                keys, lambda known: fold_subscriptions(events, price_plans, known), batch_id
+            )
 
-    return _versioned(stream, root, SUBSCRIBERS, checkpoint, fold)
+    return _run(stream, step, checkpoint)
 
 
 def monthly_counts_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
