@@ -29,6 +29,9 @@ from haulbook.session import materialize
 
 SAMPLES = 48
 DIGITS = 4
+#: Samples drawn side by side. With more of them the generated code of a row, and the fields of
+#: the aggregate, are beyond what the JVM compiles.
+BESIDE = 8
 #: The largest weight, and the bits of a term that hold it.
 MOST_TIMES = (1 << 20) - 1
 
@@ -38,9 +41,9 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + 0.5) / float(1 << 21)
 
 
-def sample_value(term: Column, log_weight: Column, sample: int) -> Column:
+def sample_value(term: Column, log_weight: Column, sample: Column) -> Column:
     """ln of the consistent weighted sampling value of a term in one sample."""
-    first, second = F.xxhash64(term, F.lit(2 * sample)), F.xxhash64(term, F.lit(2 * sample + 1))
+    first, second = F.xxhash64(term, sample * 2), F.xxhash64(term, sample * 2 + 1)
     r = -F.log(_uniform(first, 0) * _uniform(first, 21))
     c = -F.log(_uniform(second, 0) * _uniform(second, 21))
     b = _uniform(first, 42)
@@ -88,15 +91,25 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     terms = rows.select(*keys, F.explode_outer(terms).alias("t"))  # a row without words stays
     times = F.col("t.x").bitwiseAND(F.lit(MOST_TIMES)).cast("double")
     terms = terms.select(*keys, "t.own", "t.other", F.col("t.x").bitwiseAND(F.lit(~MOST_TIMES)).alias("term"), F.log(times).alias("log_weight"))
-    values = terms.select(*keys, "own", "other", *(sample_value(F.col("term"), F.col("log_weight"), k).alias(f"v{k}") for k in range(samples)))
-    least = [F.min(F.when(F.col(side), F.col(f"v{k}"))).alias(f"{side}{k}") for side in ("own", "other") for k in range(samples)]
-    minima = values.groupBy(*keys).agg(*least)
+    # A row for every group of samples: the same few expressions draw all of them.
+    groups = F.sequence(F.lit(0), F.lit(samples - 1), F.lit(BESIDE))
+    terms = terms.select(*keys, "own", "other", "term", "log_weight", F.explode(groups).alias("begin"))
+    beside = range(min(BESIDE, samples))
+    values = terms.select(*keys, "begin", "own", "other", *(sample_value(F.col("term"), F.col("log_weight"), F.col("begin") + k).alias(f"v{k}") for k in beside))
+    least = [F.min(F.when(F.col(side), F.col(f"v{k}"))).alias(f"{side}{k}") for side in ("own", "other") for k in beside]
+    minima = values.groupBy(*keys, "begin").agg(*least)
 
     def print_of(side: str) -> Column:
         part = lambda k: F.right(F.lpad(F.lower(F.hex(F.xxhash64(f"{side}{k}"))), 16, "0"), F.lit(DIGITS))
-        return F.when(F.col(f"{side}0").isNotNull(), F.concat(*(part(k) for k in range(samples))))
-
-    return minima.select(*keys, print_of("own").alias("fingerprint"), print_of("other").alias("edited_fingerprint"))
+        return F.when(F.col(f"{side}0").isNotNull(), F.concat(*(part(k) for k in beside)))
+
+    parts = minima.select(*keys, "begin", print_of("own").alias("own"), print_of("other").alias("other"))
+    begins = range(0, samples, BESIDE)
+    gathered = parts.groupBy(*keys).agg(*(
+        F.max(F.when(F.col("begin") == b, F.col(side))).alias(f"{side}{b}") for side in ("own", "other") for b in begins
+    ))
+    whole = lambda side: F.left(F.concat(*(F.col(f"{side}{b}") for b in begins)), F.lit(samples * DIGITS))
+    return gathered.select(*keys, whole("own").alias("fingerprint"), whole("other").alias("edited_fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
