@@ -15,35 +15,103 @@ SLUG_WIDTH = 200
 _SPELLED_OUT = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ŋ": "ng"}
 _PLAIN = {"ð": "d", "đ": "d", "ø": "o", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t"}
 
-
-def _latin_pairs() -> tuple[str, str]:
-    """Lower-case Latin letters with a diacritic and their base letters, by decomposition."""
-    src, dst = "", ""
-    for code in range(0xDF, 0x250):
-        letter = chr(code)
-        base = unicodedata.normalize("NFKD", letter)[0]
-        if letter == letter.lower() and letter not in _SPELLED_OUT:
-            base = _PLAIN.get(letter, base)
-            if base.isascii() and base.isalpha() and base != letter:
-                src, dst = src + letter, dst + base
-    return src, dst
-
-
-_ACCENTED, _BASE = _latin_pairs()
-
-
-def fold_latin(lowered: Column) -> Column:
-    """Latin letters to ASCII; plain ASCII text skips the work."""
-    folded = F.translate(lowered, _ACCENTED, _BASE)
-    for letter, spelled in _SPELLED_OUT.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(spelled))
-    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(folded)
+# Greek and Cyrillic letters as they are written in Latin ones; fixed values.
+_GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k",
+    "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t",
+    "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+_CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k",
+    "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e",
+    "ю": "iu", "я": "ia", "ђ": "dj", "є": "ie", "ѕ": "dz", "і": "i", "ј": "j", "љ": "lj", "њ": "nj",
+    "ћ": "tsh", "џ": "dzh", "ґ": "g",
+}
+_OTHERS = _GREEK | _CYRILLIC
+
+# Where letters with a decomposition lie: Latin to the end of its first extensions, Greek and
+# Cyrillic, Latin and Greek additions (Vietnamese), ligatures and wide letters.
+_BLOCKS = ((0xDF, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0xFB00, 0xFB07), (0xFF10, 0xFF5B))
+#: Combining marks, which decomposed texts have behind their letters.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _folded_letters(begin: int, end: int) -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters of a block and what they become, one letter and several, by
+    decomposition."""
+    one, several = {}, {}
+    for letter in map(chr, range(begin, end)):
+        if letter != letter.lower() or letter in _SPELLED_OUT:
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        out = "".join(_PLAIN.get(c, _OTHERS.get(c, c)) for c in bare)
+        if out != letter and out.isascii() and (out == "" or out.isalnum()):
+            (one if len(out) < 2 else several)[letter] = out
+    return one, several
+
+
+def _translation(blocks) -> tuple[str, str, dict[str, str]]:
+    """What `translate` and `replace` need. `translate` drops what has no partner, so letters
+    that vanish come last."""
+    one, several = {}, {}
+    for block in blocks:
+        for whole, part in zip((one, several), _folded_letters(*block)):
+            whole |= part
+    kept = [k for k, v in one.items() if v]
+    gone = [k for k, v in one.items() if not v]
+    return "".join(kept + gone) + _MARKS, "".join(one[k] for k in kept), several
+
+
+_LATIN, _BEYOND = _translation(_BLOCKS[:1]), _translation(_BLOCKS[1:])
+_PAST_LATIN = r"[\x{300}-\x{52F}\x{1E00}-\x{1FFF}\x{FB00}-\x{FB06}\x{FF10}-\x{FF5A}]"
+
+
+def fold_letters(lowered: Column) -> Column:
+    """Latin, Greek and Cyrillic letters to ASCII; text that has none of them skips the work."""
+
+    def fold(text: Column, table: tuple[str, str, dict[str, str]], more: dict[str, str]) -> Column:
+        text = F.translate(text, table[0], table[1])
+        for letter, spelled in (table[2] | more).items():
+            text = F.replace(text, F.lit(letter), F.lit(spelled))
+        return text
+
+    latin = fold(lowered, _LATIN, _SPELLED_OUT)
+    beyond = F.when(lowered.rlike(_PAST_LATIN), fold(latin, _BEYOND, {})).otherwise(latin)
+    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(beyond)
+
+
+#: Letters that are a base letter and a mark.
+_MARKED = "".join(c for c in _LATIN[0] if unicodedata.decomposition(c) and not c.isdigit())
+_UNMARKED = "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED)
+
+
+def decode_references(lowered: Column) -> Column:
+    """Numeric character references (`&#39;`, `&#xe9;`) to their signs. A letter with a mark
+    becomes the letter and a dash: it is taken apart, but its mark is not dropped any more."""
+
+    def decode(part: Column) -> Column:
+        number = F.regexp_extract(part, "^([0-9]+|x[0-9a-f]+);", 1)
+        short = F.when(F.length(number) < 8, number)
+        code = F.when(F.startswith(short, F.lit("x")), F.conv(F.substring(short, 2, 6), 16, 10)).otherwise(short).try_cast("int")
+        known = code.between(0x20, 0xD7FF) | code.between(0xE000, 0xFFFD)
+        sign = F.lower(F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 4, "0")), "UTF-16BE"))
+        base = F.translate(sign, _MARKED, _UNMARKED)
+        shown = F.when(base == sign, sign).otherwise(F.concat(base, F.lit("-")))
+        rest = F.substr(part, F.instr(part, ";") + 1)
+        return F.when(number != "", F.concat(F.coalesce(shown, F.lit("-")), rest)).otherwise(F.concat(F.lit("-"), part))
+
+    parts = F.split(lowered, "&#")
+    decoded = F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), "")
+    return F.when(F.contains(lowered, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), decoded)).otherwise(lowered)
 
 
 def slugify(text: Column | str) -> Column:
-    s = fold_latin(F.lower(col(text)))
+    s = F.replace(F.lower(col(text)), F.lit("'"), F.lit("-"))
+    s = fold_letters(s)
+    # An apostrophe that comes from a reference vanishes, unlike one that was written.
+    s = F.replace(decode_references(s), F.lit("'"), F.lit(""))
     s = F.regexp_replace(s, "&(?:amp|lt|gt|quot);", "-")
-    s = F.replace(s, F.lit("'"), F.lit("-"))
     s = F.regexp_replace(s, "(?<=[0-9]),(?=[0-9])", "")
     s = F.btrim(F.regexp_replace(s, "[^a-z0-9]+", "-"), F.lit("-"))
     return F.btrim(F.left(s, F.lit(SLUG_WIDTH)), F.lit("-"))

@@ -93,6 +93,21 @@ def lookup_slugs(carriers: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def find_slugs(carriers: DataFrame, slugs: list[str]) -> DataFrame:
+    """A few slugs, by slug or else by the number at their end: slug asked for, carrier's
+    number and slug.
+
+    The values reach the file scan; a table published with `blooms=("slug",)` and clustered by
+    USDOT number is read in the row groups of these carriers alone.
+    """
+    spark = carriers.sparkSession
+    asked = spark.createDataFrame([(s,) for s in sorted(set(slugs))], "requested_slug string")
+    numbers = [n for s in sorted(set(slugs)) if (n := s.rpartition("-usdot-")[2]).isdigit() and "-usdot-" in s]
+    few = carriers.select("usdot_number", "slug")
+    held = few.where(F.col("slug").isin(slugs)).unionByName(few.where(F.col("usdot_number").isin(numbers))).distinct()
+    return lookup_slugs(held, asked)
+
+
 def redirects(carriers: DataFrame, requests: DataFrame) -> DataFrame:
     """Requested slugs that are not the canonical one, with where they lead."""
     hits = lookup_slugs(carriers, requests)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from haulbook.schemas import LEDGER
@@ -27,6 +29,36 @@ def append_events(events: DataFrame, path: str) -> None:
     ledger_rows(events).write.mode("append").parquet(path)
 
 
+def run_load(
+    raw: DataFrame, process: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None],
+    path: str, job_id: int, source: str,
+) -> None:
+    """Runs a load and enters it in the ledger: that it runs, then what it read and kept, or why
+    it failed.
+
+    Both counts are observed while the load writes, so the feed is scanned once. The sink must
+    write its rows once, in one action.
+    """
+    spark = raw.sparkSession
+    read, kept = Observation(), Observation()
+    counted = raw.observe(read, F.count("*").alias("n"))
+    rows = process(counted).observe(kept, F.count("*").alias("n"))
+
+    def enter(seq: int, status: str, **figures) -> None:
+        at = {"started_at": F.current_timestamp()} if status == "running" else {"completed_at": F.current_timestamp()}
+        columns = {"seq": seq, "job_id": job_id, "source": source, "status": status} | figures
+        event = spark.range(1).select(*[F.lit(v).alias(n) for n, v in columns.items()], *[v.alias(n) for n, v in at.items()])
+        append_events(event, path)
+
+    enter(2 * job_id, "running")
+    try:
+        sink(rows)
+    except Exception as failure:
+        enter(2 * job_id + 1, "failed", error_message=str(failure))
+        raise
+    enter(2 * job_id + 1, "completed", total_records=read.get["n"], processed_records=kept.get["n"])
+
+
 def latest_state(ledger: DataFrame) -> DataFrame:
     """The current row of every run: last status, and each figure as last reported."""
 

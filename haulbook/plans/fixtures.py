@@ -195,6 +195,21 @@ select o_orderkey as request_no,
 from orders
 """
 
+# Names beyond Latin letters, and names with character references.
+FEEDS["fx_foreign_names"] = r"""
+select c_custkey as src_seq,
+       case c_custkey % 8
+            when 0 then 'Nguyễn Vận Tải ' || cast(c_custkey as string)
+            when 1 then 'ΜΕΤΑΦΟΡΕΣ Ψυχρές Θησέας ' || cast(c_custkey as string)
+            when 2 then 'Щедрый Путь Грузовые Перевозки ' || cast(c_custkey as string)
+            when 3 then 'O&#39;Brien &#38; Sons ' || cast(c_custkey as string)
+            when 4 then 'Caf&#233;s &#x41;BC &amp; Co ' || cast(c_custkey as string)
+            when 5 then 'Ћирић Љубљана ' || c_mktsegment
+            when 6 then c_mktsegment || ' &#999999; &#x; &# 日本 ' || cast(c_custkey as string)
+            else 'Łódź Straße ' || c_mktsegment end as name
+from customer
+"""
+
 # Ledger of load runs: a run starts, and then completes, fails or is left hanging.
 FEEDS["fx_ledger"] = r"""
 select event_id as seq,

@@ -868,8 +868,24 @@ CHECKS["t04_changing_subscribers_stream"] = _outcomes.replace("w_access", "w_lat
 CHECKS["t05_subscription_stream"] = CHECKS["b01_subscription_fold"]
 CHECKS["t06_monthly_counts_stream"] = CHECKS["a03_inspections_by_month"]
 
-# The same answers, kept by changes.
+# What the names of the feed become, written out.
+CHECKS["c11_transliterated"] = """
+select src_seq, case src_seq % 8
+         when 0 then 'nguyen-van-tai-' || src_seq
+         when 1 then 'metaphores-psukhres-theseas-' || src_seq
+         when 2 then 'shchedryi-put-gruzovye-perevozki-' || src_seq
+         when 3 then 'obrien-sons-' || src_seq
+         when 4 then 'cafe-s-abc-co-' || src_seq
+         when 5 then 'tshiritsh-ljubljana-' || lower(trim(replace(name, 'Ћирић Љубљана', '')))
+         when 6 then lower(split_part(name, ' ', 1)) || '-x-' || src_seq
+         else 'lodz-strasse-' || lower(trim(replace(name, 'Łódź Straße', ''))) end as slug
+from fx_foreign_names"""
+
+# The same answers, kept by changes or read from pages.
 for _name, _plain in (
+    ("s01_census_pages", "s01_census_scan"), ("s02_basics_pages", "s02_basics_scan"),
+    ("s03_inspections_pages", "s03_inspections_scan"), ("s04_violations_pages", "s04_violations_scan"),
+    ("s06_resume_by_id", "s03_inspections_scan"), ("a13_observed_account", "a13_ingest_account"),
     ("s10_merged_folders", "s10_append_rows"), ("f05_kept_index", "f05_gram_index"),
     ("j06_delta_upsert", "j06_census_upsert"), ("j07_delta_upsert", "j07_field_upsert"),
     ("a01_kept_stats", "a01_directory_stats"), ("a02_kept_by_state", "a02_carriers_by_state"),

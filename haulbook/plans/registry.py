@@ -17,7 +17,7 @@ from haulbook.operators.kept import KeptDirectory
 from haulbook.plans.tables import AS_OF, CENSUS_LOADED, ENRICHED, MEASURED, PRICE_PLANS, Tables, in_parts
 from haulbook.schemas import BASIC_CATEGORIES, CARRIERS, LEDGER, empty
 from haulbook.session import fresh_dir
-from haulbook.sources import feeds, tables as store
+from haulbook.sources import feeds, pages, tables as store
 from haulbook.sources.appends import AppendTable
 from haulbook.sources.deltas import KeyedTable
 from haulbook.streaming import feeds as streams
@@ -79,6 +79,34 @@ def _(t: Tables) -> DataFrame:
     return feeds.resume_census(t.census, done).select("src_seq", "dot_number")
 
 
+# A number that counts a feed's records up, and how far it goes within a page.
+PAGED_BY = {"census": ("src_seq", 1000), "basics": ("src_id", 1000), "inspections": ("src_id", 1000), "violations": ("tie_1", 100)}
+
+
+def _paged(t: Tables, feed: str) -> str:
+    """A feed landed as JSON pages of at most a thousand records."""
+    path = fresh_dir(t.spark, f"{feed}-pages")
+    key, width = PAGED_BY[feed]
+    records = feeds.select_feed(t.feed(feed), feed, () if key == "src_id" else (key,))
+    pages.write_pages(records, path, F.floor(F.col(key).cast("bigint") / width))
+    return path
+
+
+for _number, _name in enumerate(PAGED_BY, 1):
+    query(f"s0{_number}_{_name}_pages")(lambda t, _name=_name: pages.read_pages(t.spark, _name, _paged(t, _name)))
+
+
+@query("s06_resume_by_id")
+def _(t: Tables) -> DataFrame:
+    """A load of delivered pages that stops after some of them, and the one that goes on."""
+    path = _paged(t, "inspections")
+    feed = pages.read_pages(t.spark, "inspections", path)
+    table = AppendTable(t.spark, fresh_dir(t.spark, "inspections"), feed.schema)
+    pages.load_next(feed, table, pages=2, page_size=250)
+    pages.load_next(feed, table)
+    return table.read()
+
+
 @query("s07_bounded_scan")
 def _(t: Tables) -> DataFrame:
     trial = feeds.first_pages(t.feed("basics"), pages=2, order="dot_number", page_size=250)
@@ -212,6 +240,12 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query("c11_transliterated")
+def _(t: Tables) -> DataFrame:
+    """Names in Vietnamese, Greek and Cyrillic letters, and with character references."""
+    return t.feed("foreign_names").select("src_seq", slugs.slugify("name").alias("slug"))
+
+
 @query("c12_slug_parse")
 def _(t: Tables) -> DataFrame:
     return t.feed("slug_requests").select("request_no", slugs.dot_from_slug("requested_slug").alias("dot"))
@@ -529,6 +563,18 @@ def _(t: Tables) -> DataFrame:
     return stats.ingest_account(fresh, rows.normalize_enrichment(rows.map_incremental(fresh)))
 
 
+@query("a13_observed_account")
+def _(t: Tables) -> DataFrame:
+    """The account that a load's own run leaves in the ledger."""
+    path, out = fresh_dir(t.spark, "ledger"), fresh_dir(t.spark, "registrations")
+    ledger.run_load(
+        feeds.new_registrations_since(t.census, AS_OF), lambda raw: rows.normalize_enrichment(rows.map_incremental(raw)),
+        lambda df: df.write.parquet(out), path, job_id=1, source="census",
+    )
+    done = ledger.latest_state(t.spark.read.schema(LEDGER).parquet(path)).where("status = 'completed'")
+    return done.select("total_records", "processed_records")
+
+
 @query("a14_trend_points")
 def _(t: Tables) -> DataFrame:
     history = safety.inspection_history(t.inspections)

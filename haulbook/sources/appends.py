@@ -42,6 +42,7 @@ class AppendTable:
     most: int = 8
     #: Folders of data that `unseen` opened last, and how many there were.
     opened: tuple[int, int] = field(default=(0, 0), init=False)
+    _staged: list[Folder] = field(default_factory=list, init=False)
 
     def _path(self, folder: Folder) -> str:
         return f"{self.root.rstrip('/')}/{folder.path}"
@@ -54,8 +55,19 @@ class AppendTable:
 
     def append(self, rows: DataFrame, version: int) -> None:
         """Adds a batch and merges what has piled up. The same version again replaces it."""
-        folders = manifests.live(self.spark, self.root, below=version)
-        folders += self._store(rows, f"batch={version}", version)
+        self.stage(rows, version)
+        self.commit(version)
+
+    def stage(self, rows: DataFrame, version: int) -> DataFrame:
+        """Writes a batch that no reader sees before `commit`, and gives what was written."""
+        self._staged = self._store(rows, f"batch={version}", version)
+        written = [f for f in self._staged if f.kind == ROWS]
+        if not written:
+            return empty(self.spark, self.schema)
+        return self.spark.read.schema(self.schema).parquet(*map(self._path, written))
+
+    def commit(self, version: int) -> None:
+        folders = manifests.live(self.spark, self.root, below=version) + self._staged
         manifests.commit(self.spark, self.root, version, self._tidied(folders, version))
 
     def retire(self, grace_seconds: float, now: float | None = None) -> list[str]:
