@@ -8,7 +8,7 @@ spreads its smallest neighbour is left to adaptive execution, which splits it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulbook.session import materialize
@@ -29,6 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links with the same components, for links (a, b) of members a to heads b.
+
+    A member has a head for every bucket at most, so its links are a bounded group. It keeps the
+    link to its smallest head, and its other heads are linked with that one; such links of heads
+    are the same for many members and are made distinct before they are shuffled.
+    """
+    least = F.min("b").over(Window.partitionBy("a"))
+    known = links.select("a", "b", least.alias("m"))
+    return known.select("a", F.col("m").alias("b")).distinct().union(
+        known.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    )
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulbook.llm.common import arrow_map, chunks
-from haulbook.llm.components import components
+from haulbook.llm.components import components, contracted
 from haulbook.session import materialize
 
 WORDS = 5
@@ -357,7 +357,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
 
     links = materialize(verified(met.where("may").select("a", "b"), wanted, words, least), "near-links")
     classes = components(links.select("a", "b"))
-    clusters = components(met.select("a", "b"))
+    clusters = components(contracted(met.select("a", "b")))
     placed = (
         clusters.withColumnRenamed("root", "cluster")
         .join(classes.withColumnRenamed("root", "class"), "node", "left")

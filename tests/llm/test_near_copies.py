@@ -137,3 +137,17 @@ def test_components(spark):
         root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
+def test_contracted_links_have_the_same_components(spark):
+    import random
+
+    from haulbook.llm.components import components, contracted
+
+    draw = random.Random(4)
+    rows = [(member, head) for member in range(1000, 1200) for head in draw.sample(range(60), draw.randint(1, 3))]
+    rows += [(5000 + i, 100 + i % 7) for i in range(50)] + rows[:20]
+    links = spark.createDataFrame(rows, "a long, b long")
+    roots = lambda edges: {tuple(r) for r in components(edges).collect()}
+    assert roots(contracted(links)) == roots(links)
+    assert contracted(links).count() < links.distinct().count()
