@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulbook.operators.directory import search
-from haulbook.operators.search import GRAM, gram_index
+from haulbook.operators.search import GRAM, batch_search, gram_index
 from haulbook.sources import manifests
 from haulbook.sources.deltas import BASE, DELTA, Change
 from haulbook.sources.manifests import Folder
@@ -72,6 +72,10 @@ class GramStore:
         )
         return search(carriers.join(holders.select("usdot_number"), "usdot_number", "left_semi"), q)
 
+    def batch_search(self, carriers: DataFrame, terms: DataFrame) -> DataFrame:
+        """Many terms: (term_id, term, usdot_number), by the stored postings."""
+        return batch_search(carriers, terms, self.postings())
+
     def retire(self, grace_seconds: float, now: float | None = None) -> list[str]:
         return manifests.retire(self.spark, self.root, grace_seconds, now)
 

@@ -82,8 +82,12 @@ def _candidates(carriers: DataFrame, *sizes: int) -> DataFrame:
     return carriers.select("usdot_number", "legal_name", "dba_name", F.explode(held).alias("gram"))
 
 
-def batch_search(carriers: DataFrame, terms: DataFrame) -> DataFrame:
-    """`terms(term_id, term)` against the directory: (term_id, term, usdot_number)."""
+def batch_search(carriers: DataFrame, terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """`terms(term_id, term)` against the directory: (term_id, term, usdot_number).
+
+    With a stored `index` (gram, usdot_number) the names are not taken apart: the carriers under
+    the terms' grams are looked up there, and their names joined to them.
+    """
     cleaned = terms.select("term_id", "term", strip("term").alias("t"))
     is_number = F.col("t").rlike("^[0-9]+$")
 
@@ -96,11 +100,15 @@ def batch_search(carriers: DataFrame, terms: DataFrame) -> DataFrame:
     texts = cleaned.where(~is_number).withColumn("piece", _longest_literal(F.lower("t")))
     long_enough = F.length("piece") >= GRAM
 
-    long_terms, postings = texts.where(long_enough), _candidates(carriers, GRAM)
+    long_terms = texts.where(long_enough)
+    if index is None:
+        index, postings = gram_index(carriers), _candidates(carriers, GRAM)
+    else:
+        postings = None
     term_grams = long_terms.select("term_id", F.explode(grams("piece")).alias("gram"))
     used = term_grams.select("gram").distinct()
     holders = (
-        gram_index(carriers).join(used, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        index.join(used, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     )
     # A gram nobody holds counts 0: its term matches nothing, and finds nothing.
     rarest = (
@@ -109,7 +117,12 @@ def batch_search(carriers: DataFrame, terms: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
         .select("term_id", "r.gram")
     )
-    by_gram = long_terms.join(rarest, "term_id").join(postings, "gram")
+    by_gram = long_terms.join(rarest, "term_id")
+    if postings is not None:
+        by_gram = by_gram.join(postings, "gram")
+    else:
+        names = carriers.select("usdot_number", "legal_name", "dba_name")
+        by_gram = by_gram.join(index.select("gram", "usdot_number"), "gram").join(names, "usdot_number")
 
     # Shorter pieces are grams themselves. Without such terms this branch stays empty,
     # and adaptive execution drops it.

@@ -886,7 +886,7 @@ for _name, _plain in (
     ("s01_census_pages", "s01_census_scan"), ("s02_basics_pages", "s02_basics_scan"),
     ("s03_inspections_pages", "s03_inspections_scan"), ("s04_violations_pages", "s04_violations_scan"),
     ("s06_resume_by_id", "s03_inspections_scan"), ("a13_observed_account", "a13_ingest_account"),
-    ("s10_merged_folders", "s10_append_rows"), ("f05_kept_index", "f05_gram_index"),
+    ("s10_merged_folders", "s10_append_rows"), ("f05_kept_index", "f05_gram_index"), ("f04_kept_batch_search", "f04_batch_search"),
     ("j06_delta_upsert", "j06_census_upsert"), ("j07_delta_upsert", "j07_field_upsert"),
     ("a01_kept_stats", "a01_directory_stats"), ("a02_kept_by_state", "a02_carriers_by_state"),
     ("a03_kept_by_month", "a03_inspections_by_month"), ("d14_kept_home", "d14_home_summary"),

@@ -387,6 +387,7 @@ query("f03_search_name")(lambda t: rows.summary(directory.search(t.carriers, "#0
 query("f03_search_plain")(lambda t: rows.summary(directory.search(t.carriers, "dba BUILD")))
 query("f03_search_blank")(lambda t: rows.summary(directory.search(t.carriers, "  ")))
 query("f04_batch_search")(lambda t: search.batch_search(t.carriers, t.feed("terms")))
+query("f04_kept_batch_search")(lambda t: t.kept.grams.batch_search(t.kept.carriers, t.feed("terms")))
 query("f05_gram_index")(lambda t: search.gram_index(t.carriers))
 
 
