@@ -70,14 +70,14 @@ _PAST_LATIN = r"[\x{300}-\x{52F}\x{1E00}-\x{1FFF}\x{FB00}-\x{FB06}\x{FF10}-\x{FF
 def fold_letters(lowered: Column) -> Column:
     """Latin, Greek and Cyrillic letters to ASCII; text that has none of them skips the work."""
 
-    def fold(text: Column, table: tuple[str, str, dict[str, str]], more: dict[str, str]) -> Column:
-        text = F.translate(text, table[0], table[1])
-        for letter, spelled in (table[2] | more).items():
-            text = F.replace(text, F.lit(letter), F.lit(spelled))
-        return text
-
-    latin = fold(lowered, _LATIN, _SPELLED_OUT)
-    beyond = F.when(lowered.rlike(_PAST_LATIN), fold(latin, _BEYOND, {})).otherwise(latin)
+    latin = F.translate(lowered, _LATIN[0], _LATIN[1])
+    for letter, spelled in (_LATIN[2] | _SPELLED_OUT).items():
+        latin = F.replace(latin, F.lit(letter), F.lit(spelled))
+    # Letter by letter, in one expression: there are many that become several.
+    spelled = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in _BEYOND[2].items())), F.lit(","), F.lit(":"))
+    letters = F.split(F.translate(latin, _BEYOND[0], _BEYOND[1]), "")
+    told = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")
+    beyond = F.when(lowered.rlike(_PAST_LATIN), told).otherwise(latin)
     return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(beyond)
 
 
