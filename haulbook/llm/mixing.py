@@ -6,6 +6,7 @@ units (epoch, block) of all sources are then dealt to output shards by a binary
 node a multivariate hypergeometric draw says how many units of each source go left, so every
 shard gets an exact quota and the quotas of all shards add up to what the mix takes. Units
 are in a drawn order themselves, so consecutive runs of quota length are disjoint samples.
+What is taken of a document are its copies in the units that shards have drawn (`dealt`).
 Within a shard the documents are sorted by another draw (`shard_rows`).
 
 Only sums per source reach the driver. A document that straddles the end of the taken part
@@ -32,6 +33,8 @@ MOST_EPOCHS = 3
 BLOCK_DIGITS = 3
 BLOCKS = 16**BLOCK_DIGITS
 SHARDS = 64
+#: Units among which the generator can draw exactly.
+MOST_DRAWN = 10**9
 SEED = 20_240_229
 
 
@@ -73,11 +76,19 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def splitting_tree(units: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Quotas (shard, source) whose columns add up to `units`, by recursive halving."""
+def splitting_tree(units: np.ndarray, shards: int, seed: int = SEED, most: int = MOST_DRAWN) -> np.ndarray:
+    """Quotas (shard, source) whose columns add up to `units`, by recursive halving.
+
+    The generator draws from fewer than `most` units. Above that, units are dealt in equal bundles
+    by one tree and what is left of each source by another; the sums stay exact.
+    """
+    units = np.asarray(units, dtype=np.int64)
+    bundle = int(units.sum()) // most + 1
+    if bundle > 1:
+        return bundle * splitting_tree(units // bundle, shards, seed, most) + splitting_tree(units % bundle, shards, seed + 1, most)
     quotas = np.zeros((shards, len(units)), dtype=np.int64)
     rng = np.random.Generator(np.random.PCG64(seed))
-    nodes = [(0, shards, np.asarray(units, dtype=np.int64))]
+    nodes = [(0, shards, units)]
     while nodes:
         low, high, held = nodes.pop()
         if high - low == 1:
@@ -91,6 +102,29 @@ def splitting_tree(units: np.ndarray, shards: int, seed: int = SEED) -> np.ndarr
     return quotas
 
 
+def dealt(quotas: DataFrame) -> DataFrame:
+    """The blocks that each shard draws: a row per source and block with its (epoch, shard) pairs.
+
+    `quotas` has a row per source: units, stride, start and the quota of each shard. A shard draws
+    the run of places that follows those of the shards before it; place p is unit
+    (p * stride + start) mod units, and a unit is a block in an epoch.
+    """
+    draws = quotas.select(
+        "source", "units", "stride", "start",
+        F.posexplode("quotas").alias("shard", "quota"), F.col("quotas").alias("all"),
+    ).where("quota > 0")
+    before = F.aggregate(F.slice("all", 1, F.col("shard")), F.lit(0).cast("long"), lambda held, n: held + n)
+    places = draws.withColumn("before", before).withColumn(
+        "place", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("quota") - 1))
+    )
+    unit = (F.col("place") * F.col("stride") + F.col("start")) % F.col("units")
+    return (
+        places.select("source", "shard", unit.alias("unit"))
+        .groupBy("source", (F.col("unit") % BLOCKS).cast("int").alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.expr(f"cast(unit div {BLOCKS} as int)").alias("epoch"), "shard"))).alias("units"))
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and the shard of each copy."""
     spark = docs.sparkSession
@@ -114,29 +148,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     ).orderBy(F.col("source").asc_nulls_last()).collect()  # a row per source
     quotas = splitting_tree(np.array([r.units for r in by_source], dtype=np.int64), shards, seed)
     rng = np.random.Generator(np.random.PCG64(seed + 1))
-    ends = spark.createDataFrame(
-        [(r.source, r.units, _stride(rng, r.units), int(rng.integers(1 << 30)), np.cumsum(quotas[:, i]).tolist()) for i, r in enumerate(by_source)],
-        "source string, units long, stride long, start long, ends array<long>",
-    )
-    # Unit u of a source has place (u * stride + start) mod units in the drawn order.
-    unit = lambda epoch: ((epoch - 1) * BLOCKS + F.col("block")).cast("long")
-    place = lambda epoch: (unit(epoch) * F.col("stride") + F.col("start")) % F.col("units")
-    shard_of = lambda epoch: F.size(F.filter("ends", lambda end: end <= place(epoch)))
-    dealt = joined.alias("j").join(ends.alias("e"), F.col("j.source").eqNullSafe(F.col("e.source"))).select(
-        "j.source", "block", "before", "source_size", "target", "epochs", "rest",
-        F.when(F.col("units") > 0, F.transform(F.sequence(F.lit(1), (F.col("epochs") + 1).cast("int")), shard_of)).alias("places"),
-    )
+    drawn = dealt(spark.createDataFrame(
+        [(r.source, r.units, _stride(rng, r.units), int(rng.integers(1 << 30)), quotas[:, i].tolist()) for i, r in enumerate(by_source)],
+        "source string, units long, stride long, start long, quotas array<long>",
+    ))
+    placed = joined.alias("j").join(
+        drawn.alias("e"), F.col("j.source").eqNullSafe(F.col("e.source")) & (F.col("j.block") == F.col("e.block")), "left"
+    ).select("j.source", "j.block", "before", "source_size", "target", "epochs", "rest", "units")
     within = Window.partitionBy("source", "block").orderBy("drawn", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sized.withColumn("within", F.sum("size").over(within))
     middle = F.col("before") + F.col("within") - F.col("size") / 2
+    # Of a block drawn in the epoch that the target cuts, the documents before the cut are taken.
+    taken = F.filter("units", lambda unit: (unit["epoch"] < F.col("epochs")) | (middle < F.col("rest")))
     return (
         ranked.alias("d")
-        .join(dealt.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-        .withColumn("copies", (F.col("epochs") + (middle < F.col("rest")).cast("long")).cast("int"))
-        .select(
-            "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
-            F.when(F.col("copies") > 0, F.slice("places", 1, F.col("copies"))).otherwise(F.array().cast("array<int>")).alias("shards"),
-        )
+        .join(placed.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
+        .withColumn("shards", F.coalesce(F.transform(taken, lambda unit: unit["shard"]), F.array().cast("array<int>")))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
     )
 
 

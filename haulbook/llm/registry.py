@@ -35,7 +35,7 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")  # each copy's shard, behind `taken`
 
 
 def op7_consistent_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

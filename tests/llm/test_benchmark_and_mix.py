@@ -129,3 +129,34 @@ def test_splitting_tree_is_exact():
     # Shares of a source follow the hypergeometric mean over seeds.
     mean = np.mean([mixing.splitting_tree(units, 7, s)[0] for s in range(300)], axis=0)
     assert abs(mean[0] - 1000 / 7) < 3 and abs(mean[3] - 517 / 7) < 3
+
+
+def test_splitting_tree_beyond_the_generator():
+    units = np.array([1000, 3, 0, 517])
+    quotas = mixing.splitting_tree(units, 7, 1, most=100)
+    assert (quotas.sum(axis=0) == units).all() and (quotas >= 0).all()
+    assert np.ptp(quotas.sum(axis=1)) <= 2 * (units.sum() // 100 + 1)
+    many = np.full(82_000, 3 * mixing.BLOCKS)  # over 10^9
+    assert (mixing.splitting_tree(many, 2).sum(axis=0) == many).all()
+
+
+def test_shards_draw_each_unit_once(spark):
+    units = {"a": 3 * mixing.BLOCKS + 77, "b": 5, None: 1}
+    quotas = mixing.splitting_tree(np.array([*units.values()]), 6, 2)
+    rows = [(s, n, {"a": 7, "b": 3, None: 1}[s], 11, quotas[:, i].tolist()) for i, (s, n) in enumerate(units.items())]
+    df = spark.createDataFrame(rows, "source string, units long, stride long, start long, quotas array<long>")
+    drawn, per_shard = Counter(), Counter()
+    for r in mixing.dealt(df).collect():
+        for epoch, shard in r.units:
+            drawn[r.source, epoch * mixing.BLOCKS + r.block] += 1
+            per_shard[r.source, shard] += 1
+    assert drawn == Counter((s, u) for s, n in units.items() for u in range(n))
+    assert per_shard == Counter({(s, j): int(quotas[j, i]) for i, s in enumerate(units) for j in range(6) if quotas[j, i]})
+
+
+def test_taken_comes_from_the_dealt_units(make_docs, monkeypatch):
+    """A unit that no shard draws is not taken."""
+    docs = make_docs(*[(i, "w " * 10, "ab"[i % 2]) for i in range(200)])
+    assert sum(r.taken for r in mixing.mix(docs).collect()) > 0
+    monkeypatch.setattr(mixing, "splitting_tree", lambda units, shards, seed: np.zeros((shards, len(units)), dtype=np.int64))
+    assert {(r.taken, len(r.shards)) for r in mixing.mix(docs).collect()} == {(0, 0)}
