@@ -16,7 +16,8 @@ Spark has no writer for binary files of this kind.
 Defined cases: null html is an empty payload; a null url gives a record without target; a null
 page_id is never the largest unless all are null; repeated rows of the largest id are all
 responses; payloads under `smallest` bytes are never revisits; an empty table gives files
-without page records. Columns besides page_id, url and html are ignored.
+without page records; a member that is cut short, or a record shorter than its Content-Length,
+raises and is never returned in part. Columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from haulbook.session import fresh_dir, materialize
 
 SMALLEST = 0
 RANGE_BYTES = 4 << 20
+#: Tasks of one read; from there on a task has several ranges.
+MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a record that are unpacked to see whether it is one, and read at a time.
@@ -120,51 +123,54 @@ def write(pages: DataFrame, path: str, smallest: int = SMALLEST) -> DataFrame:
 
 
 def members(source, start: int, end: int, size: int) -> Iterator[bytes]:
-    """The unpacked members of an open file that start in [start, end)."""
-    held, base = b"", start  # bytes of the file from `base` on
-
-    def have(place: int, n: int) -> bool:
-        """Reads on until n bytes from a place are held or the file ends."""
-        nonlocal held
-        while base + len(held) < min(place + n, size):
-            source.seek(base + len(held))
-            more = source.read(min(STEP, size - base - len(held)))
-            if not more:
-                raise EOFError(f"the archive ends before its {size} bytes")
-            held += more
-        return base + len(held) > place
-
-    place = start
-    while place < end and have(place, STEP):
+    """The unpacked members of an open file that start in [start, end).
+
+    Each byte is read once and a record's bytes are gathered in a list, so the work is linear in
+    its length. A member without its end raises.
+    """
+
+    def fetch(at: int, n: int) -> bytes:
+        source.seek(at)
+        got = source.read(min(n, size - at))
+        if len(got) < min(n, size - at):
+            raise EOFError(f"the archive ends before its {size} bytes")
+        return got
+
+    held, base, place = b"", start, start  # bytes of the file from `base` on
+    while place < end:
+        if base + len(held) < min(place + PROBE, size):
+            held, base = held[place - base:] + fetch(base + len(held), STEP), place
         found = held.find(MAGIC, place - base)
         if found < 0:
-            # The magic may be cut by the end of what is held.
-            place = max(base + len(held) - len(MAGIC) + 1, place + 1)
-            held, base = held[place - base:], place
             if base + len(held) >= size:
                 return
+            # The magic may be cut by the end of what is held.
+            place = max(base + len(held) - len(MAGIC) + 1, place + 1)
             continue
         place = base + found
         if place >= end:
             return
-        held, base = held[found:], place
-        have(place, PROBE)
-        unpack = zlib.decompressobj(31)
+        if base + len(held) < min(place + PROBE, size):
+            continue
         try:
-            begun = unpack.decompress(held[:PROBE], PROBE).startswith(b"WARC/1.")
+            begun = zlib.decompressobj(31).decompress(held[found:found + PROBE], PROBE).startswith(b"WARC/1.")
         except zlib.error:
             begun = False
         if not begun:
             place += 1
             continue
-        unpack, parts, at = zlib.decompressobj(31), [], place
-        while not unpack.eof and have(at, 1):
-            chunk = held[at - base:]
+        unpack, parts, chunk, at = zlib.decompressobj(31), [], held[found:], place
+        while True:
             parts.append(unpack.decompress(chunk))
             at += len(chunk)
-        at -= len(unpack.unused_data)
+            if unpack.eof:
+                break
+            if at >= size:
+                raise EOFError(f"the member at byte {place} is cut short")
+            chunk = fetch(at, STEP)
+        held = unpack.unused_data
+        base = place = at - len(held)
         yield b"".join(parts)
-        held, base, place = held[at - base:], at, at
 
 
 def record(raw: bytes) -> dict | None:
@@ -174,7 +180,10 @@ def record(raw: bytes) -> dict | None:
     kind = fields["WARC-Type"]
     if kind not in ("response", "revisit"):
         return None
-    block = block[:int(fields["Content-Length"])]
+    length = int(fields["Content-Length"])
+    if len(block) < length:
+        raise ValueError(f"{fields['WARC-Record-ID']} has {len(block)} bytes of {length}")
+    block = block[:length]
     http, _, payload = block.partition(b"\r\n\r\n")
     lines = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
     number = lambda urn: int(urn[10:-1]) if urn[10:-1] else None
@@ -194,7 +203,10 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 def read(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
     """The page records of archives (file, bytes), read in byte ranges by separate tasks."""
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0).cast("long")), F.lit(range_bytes).cast("long")))
-    ranges = files.select("file", "bytes", begins.alias("begin")).repartition(F.col("file"), F.col("begin"))
+    ranges = files.select("file", "bytes", begins.alias("begin"))
+    # Rows of ranges are tiny: without a number, adaptive execution would give all of them to one task.
+    tasks = min(max(ranges.count(), 1), MOST_TASKS)
+    ranges = ranges.repartition(tasks, "file", "begin")
     schema = RECORD + (", payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
