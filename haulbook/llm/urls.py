@@ -6,15 +6,17 @@ begin with theirs, and the longest that fits decides. Where none fits, the metho
 1. A unigram model counts the words of the pages' visible text, over all pages.
 2. Host labels and path pieces are runs of letters. Viterbi splits each into the words that
    make it likeliest under the unigram model; letters no word covers have a price and stay together.
-3. Tokens (host words, path words, kinds of numbers) are hashed into `BUCKETS` and counted over all
-   URLs that a rule decides, allowed and blocked. Multinomial naive Bayes adds up the log
-   ratios of a URL's tokens; a positive sum blocks it.
+3. Tokens (host words, path words, kinds of numbers) are counted, each by itself, over all URLs
+   that a rule decides, allowed and blocked. Multinomial naive Bayes adds up the log ratios of
+   a URL's tokens; a positive sum blocks it. A token that no ruled URL has says nothing.
 
-What is sent to the tasks is bounded: `VOCABULARY` words and `BUCKETS` weights. A host is
-segmented once per task, however many of its pages the task has.
+Only the `VOCABULARY` words are sent to the tasks; tokens meet their weights in an equi-join, so
+their number has no bound. Weights are whole multiples of 1/`UNIT`, so that sums do not depend on
+the order of their parts. A host is segmented once per task, however many of its pages the task has.
 
 Defined cases: a null url or one without `://` has empty host and path, fits no rule and has
-no tokens, so the prior decides; null html has no words; where the rules decide no URL, or
+no tokens, so the prior decides; null html has no words; a tag, comment or
+script that is never closed is text; where the rules decide no URL, or
 only one way, the method allows, or decides that way; repeated rows are judged alike; an empty
 table gives no rows. Columns besides page_id, url and html are ignored.
 """
@@ -26,8 +28,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +40,18 @@ RULES = (
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 VOCABULARY = 50_000
-BUCKETS = 1 << 16
 #: Steps in which the vocabulary is cut, to a doubling of frequency.
 LEVELS = 64
 #: Word lengths that the segmentation considers.
 SHORTEST, LONGEST = 2, 16
 SMOOTHING = 0.5
+#: Steps of a weight.
+UNIT = 1 << 32
 
-_TAGS = re.compile(r"(?is)<script.*?</script\s*>|<style.*?</style\s*>|<!--.*?-->|<[^>]*>")
+#: What begins a tag, and what ends each kind; a kind without its end is a plain tag.
+_OPEN = re.compile(r"(?i)<(?:(script)|(style)|(!--))?")
+_CLOSE = (re.compile(">"), re.compile(r"(?i)</script\s*>"), re.compile(r"(?i)</style\s*>"), re.compile("-->"))
+_ZEROS, _NO_LETTER = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 _WORD = re.compile(r"[^\W\d_]{%d,%d}" % (SHORTEST, LONGEST))
 _PIECE = re.compile(r"[^\W\d_]+|\d+")
 
@@ -71,8 +75,37 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def without_tags(html: str) -> str:
+    """The text with a space for each tag, comment, script and style.
+
+    An end that is not found once is not looked for again, so the work is linear in the text.
+    """
+    out, at, missing = [], 0, set()
+    begin = _OPEN.search(html)
+    while begin:
+        end = None
+        for kind in (begin.lastindex or 0, 0):
+            if end is None and kind not in missing:
+                end = _CLOSE[kind].search(html, begin.end() if kind else begin.start() + 1)
+                if end is None:
+                    missing.add(kind)
+        if end is None:
+            if 0 in missing:  # the other ends have a > too
+                break
+            begin = _OPEN.search(html, begin.start() + 1)
+            continue
+        out += [html[at:begin.start()], " "]
+        at = end.end()
+        begin = _OPEN.search(html, at)
+    return "".join(out) + html[at:]
+
+
 def visible_words(html: str | None) -> list[str]:
-    return _WORD.findall(entities.unescape(_TAGS.sub(" ", html)).lower()) if html else []
+    """Words of the text; references to numbers beyond all letters, of any length, are no letters."""
+    if not html:
+        return []
+    text = _NO_LETTER.sub("\ufffd", _ZEROS.sub("&#", without_tags(html)))
+    return _WORD.findall(entities.unescape(text).lower())
 
 
 def unigrams(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
@@ -151,10 +184,6 @@ def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
     return out
 
 
-def _buckets(found: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) % BUCKETS for t in found]
-
-
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -162,54 +191,54 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
 
 
-def bayes(ruled: DataFrame, segment: Segmenter) -> tuple[float, np.ndarray]:
-    """Prior and bucket weights, positive towards blocking, from the URLs that rules decide."""
+def with_tokens(ruled: DataFrame, segment: Segmenter) -> DataFrame:
+    """The judged pages with their tokens."""
 
     def work(batches):
-        counts = np.zeros((2, BUCKETS), dtype=np.int64)
-        urls = [0, 0]
         for batch in batches:
-            for host, path, ruled in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "ruled"))):
-                side = int(ruled == "block")
-                urls[side] += 1
-                np.add.at(counts[side], _buckets(tokens(host, path, segment)), 1)
-        side, bucket = np.nonzero(counts)
-        yield {
-            "side": [*side.tolist(), 0, 1], "bucket": [*bucket.tolist(), -1, -1],
-            "times": [*counts[side, bucket].tolist(), *urls],
-        }
-
-    rows = arrow_map(ruled.where("ruled is not null").select("host", "path", "ruled"), work, "side int, bucket int, times long")
-    counts, urls = np.zeros((2, BUCKETS)), [0, 0]
-    for r in rows.groupBy("side", "bucket").agg(F.sum("times").alias("times")).collect():  # at most 2 * (BUCKETS + 1)
-        if r.bucket < 0:
-            urls[r.side] = r.times
-        else:
-            counts[r.side, r.bucket] = r.times
-    if not min(urls):
-        return (1.0 if urls[1] else -1.0), np.zeros(BUCKETS)
-    seen = np.count_nonzero(counts.sum(axis=0))
-    shares = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * seen)
-    # A bucket that no training URL has says nothing.
-    weights = np.where(counts.sum(axis=0) > 0, np.log(shares[1] / shares[0]), 0.0)
-    return math.log(urls[1] / urls[0]), weights
+            columns = {c: batch.column(c).to_pylist() for c in ("page_id", "host", "path", "rule", "ruled")}
+            yield {**columns, "tokens": [tokens(h, p, segment) for h, p in zip(columns["host"], columns["path"])]}
+
+    return arrow_map(ruled, work, "page_id long, host string, path string, rule string, ruled string, tokens array<string>")
+
+
+def bayes(ruled: DataFrame) -> tuple[float, DataFrame]:
+    """Prior, and a table of token weights in steps of 1/`UNIT`, both positive towards blocking,
+    from the URLs that rules decide."""
+    blocks = (F.col("ruled") == "block").cast("long")
+    ruled = ruled.where("ruled is not null")
+    urls = ruled.agg(F.count("*").alias("all"), F.coalesce(F.sum(blocks), F.lit(0)).alias("block")).first()
+    counted = (
+        ruled.select(blocks.alias("block"), F.explode("tokens").alias("token"))
+        .groupBy("token").agg(F.count("*").alias("all"), F.sum("block").alias("block"))
+    )
+    counted = materialize(counted, "url-tokens-counted")
+    sums = counted.agg(F.count("*").alias("seen"), F.sum("all").alias("all"), F.sum("block").alias("block")).first()
+    if not 0 < urls["block"] < urls["all"] or not sums["seen"]:
+        prior = math.log((urls["block"] + SMOOTHING) / (urls["all"] - urls["block"] + SMOOTHING)) if urls["all"] else -1.0
+        return prior, counted.select("token", F.lit(0).cast("long").alias("weight")).where("false")
+    share = lambda times, total: (times + SMOOTHING) / (total + SMOOTHING * sums["seen"])
+    ratio = share(F.col("block"), sums["block"]) / share(F.col("all") - F.col("block"), sums["all"] - sums["block"])
+    return (
+        math.log(urls["block"] / (urls["all"] - urls["block"])),
+        counted.select("token", F.round(F.log(ratio) * UNIT).cast("long").alias("weight")),
+    )
 
 
 def verdicts(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, and the method's score and host words."""
-    ruled = materialize(judged(pages, rules), "url-rules")
     segment = Segmenter(unigrams(pages, vocabulary))
-    prior, weights = bayes(ruled, segment)
-
-    def work(batches):
-        for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("page_id", "host", "path", "rule", "ruled")}
-            scores, words = [], []
-            for host, path in zip(columns["host"], columns["path"]):
-                found = tokens(host, path, segment)
-                scores.append(prior + float(weights[_buckets(found)].sum()) if found else prior)
-                words.append([t[2:] for t in found if t.startswith("h:")])
-            verdict = [r or ("block" if s > 0 else "allow") for r, s in zip(columns["ruled"], scores)]
-            yield {**{c: columns[c] for c in ("page_id", "host", "path", "rule")}, "verdict": verdict, "score": scores, "host_words": words}
-
-    return arrow_map(ruled, work, "page_id long, host string, path string, rule string, verdict string, score double, host_words array<string>")
+    rows = with_tokens(judged(pages, rules), segment).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "url-tokens")
+    prior, weights = bayes(rows)
+    sums = (
+        rows.select("row", F.explode("tokens").alias("token")).join(weights, "token")
+        .groupBy("row").agg(F.sum("weight").alias("sum"))
+    )
+    score = F.lit(prior) + F.coalesce(F.col("sum"), F.lit(0)) / F.lit(float(UNIT))
+    hosts = F.transform(F.filter("tokens", lambda t: F.startswith(t, F.lit("h:"))), lambda t: F.substring(t, 3, 1 << 30))
+    return rows.join(sums, "row", "left").select(
+        "page_id", "host", "path", "rule",
+        F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"),
+        score.alias("score"), hosts.alias("host_words"),
+    )

@@ -1,10 +1,15 @@
 import base64
 import hashlib
 import io
+import math
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haulbook.llm import chat, urls, warc
@@ -128,6 +133,64 @@ def test_reader_rejects_false_magic():
         assert found == [*range(30)]
 
 
+def test_cut_records_raise():
+    packed = warc.page_member(1, "u", np.random.default_rng(0).bytes(3000), None, False)
+    for cut in (1, 9, 200):
+        data = packed + packed[:-cut]
+        with pytest.raises(EOFError):
+            list(warc.members(io.BytesIO(data), 0, len(data), len(data)))
+        with pytest.raises(EOFError):
+            list(warc.members(io.BytesIO(data[:-cut]), 0, len(data), len(data)))
+    with pytest.raises(ValueError):
+        warc.record(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 50\r\n\r\nHTTP/1.1 200 OK\r\n\r\nshort")
+
+
+def test_long_record_is_read_once():
+    """Bytes asked of the file grow with the record, not with its square."""
+
+    class Counting(io.BytesIO):
+        asked = 0
+
+        def read(self, n=-1):
+            self.asked += n
+            return super().read(n)
+
+    payload = np.random.default_rng(0).bytes(40 << 20)
+    packed = warc.page_member(1, "u", payload, None, False)
+    source = Counting(packed + warc.page_member(2, "u", b"x", None, False))
+    size = len(source.getvalue())
+    found = [warc.record(m) for m in warc.members(source, 0, size, size)]
+    assert [r["page_id"] for r in found] == [1, 2] and found[0]["payload"] == payload
+    assert source.asked <= size + 4 * warc.STEP
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    df = spark.createDataFrame([(i, "u", str(i) * 400) for i in range(300)], PAGES)
+    files = warc.write(df.repartition(2), fresh_dir(spark, "warc"))
+    ranges = sum(-(-r.bytes // 2000) for r in files.collect())
+    got = warc.read(files, 2000)
+    assert ranges > 8 and got.rdd.getNumPartitions() == ranges and got.count() == 300
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<script", "</script >", "</SCRIPT", "<style", "</style>", "<!--", "-->", "<", ">", "a", " b", "\n", "<p>"]), max_size=14).map("".join))
+def test_tags_equal_the_plain_pattern(text):
+    plain = re.compile(r"(?is)<script.*?</script\s*>|<style.*?</style\s*>|<!--.*?-->|<[^>]*>")
+    assert urls.without_tags(text) == plain.sub(" ", text)
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script", "<style", "<", "</script ", "<!-->", "&#", "&#9", "&"])
+def test_bad_html_is_linear(piece):
+    text = piece * ((2 << 20) // len(piece))
+    begin = time.monotonic()
+    urls.visible_words(text)
+    assert time.monotonic() - begin < 5
+
+
+def test_number_references():
+    assert urls.visible_words("<p>a&#66;c &#0000000000000000000100;e x&#" + "9" * 6000 + ";yz &#x41;&#x42;</p>") == ["abc", "de", "yz", "ab"]
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.org/en/1x?q#f", None), (2, "https://example.org/es/", "<p>x</p>"), (3, "http://org/", ""), (4, "http://norg/", None),
@@ -154,6 +217,57 @@ def test_segmentation():
     assert segment("xcheap") == ["x", "cheap"] and segment("") == []
 
 
+def test_method_equals_brute_force(spark):
+    """Words, splits and log ratios by plain counting, on pages where no rule fits some URLs."""
+    rng = np.random.default_rng(3)
+    words = ["cheap", "pills", "good", "news", "the", "rap", "therapy", "py"]
+    pick = lambda n: [words[i] for i in rng.integers(0, len(words), n)]
+    rows = [
+        (i, f"http://{''.join(pick(2))}{i % 3}.{('x.com/de', 'x.com/fr', 'net', 'y.org')[i % 4]}/{''.join(pick(2))}/{i}", f"<p>{' '.join(pick(6))}</p>")
+        for i in range(160)
+    ]
+    got = {r.page_id: r for r in urls.verdicts(spark.createDataFrame(rows, PAGES)).collect()}
+    counts = Counter(w for _, _, text in rows for w in text[3:-4].split())
+    total = sum(counts.values()) + 1
+
+    def splits(name):
+        if not name:
+            yield 0.0, []
+        for n in range(1, len(name) + 1):
+            if n == 1 or name[:n] in counts:
+                cost = -math.log(counts[name[:n]] / total) if name[:n] in counts else math.log(total) + math.log(26)
+                for rest, tail in splits(name[n:]):
+                    yield cost + rest, [name[:n], *tail]
+
+    def tokens(kind, text):
+        for piece in re.findall("[a-z]+|[0-9]+", text):
+            if piece.isdigit():
+                yield f"{kind}#{len(piece)}{piece[0]}"
+                continue
+            loose = ""
+            for word in [*min(splits(piece))[1], None]:
+                if word is not None and word not in counts:
+                    loose += word
+                    continue
+                if loose:
+                    yield f"{kind}:{loose}"
+                loose = ""
+                if word is not None:
+                    yield f"{kind}:{word}"
+
+    found = {i: [*tokens("h", r.host), *tokens("p", r.path)] for i, r in got.items()}
+    sides = {side: Counter(t for i, r in got.items() if r.rule and r.verdict == side for t in found[i]) for side in ("allow", "block")}
+    urls_of = Counter(r.verdict for r in got.values() if r.rule)
+    seen = set(sides["allow"]) | set(sides["block"])
+    share = lambda side, t: (sides[side][t] + 0.5) / (sides[side].total() + 0.5 * len(seen))
+    assert sum(r.rule is None for r in got.values()) == 40
+    for i, r in got.items():
+        want = math.log(urls_of["block"] / urls_of["allow"]) + sum(math.log(share("block", t) / share("allow", t)) for t in found[i] if t in seen)
+        assert abs(r.score - want) < 1e-7
+        assert r.host_words == [t[2:] for t in found[i] if t.startswith("h:")]
+        assert r.rule or r.verdict == ("block" if want > 0 else "allow")
+
+
 def test_method_learns_from_the_rules(spark):
     rows = [(i, f"http://s{i % 9}pillscheap.x.com/de/{i}", "<p>cheap pills pills</p>") for i in range(60)]
     rows += [(100 + i, f"http://goodnews{i % 7}.x.com/fr/{i}", "<p>good news</p>") for i in range(60)]
