@@ -1,15 +1,16 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding lower-cases, takes accents off, replaces letters of other scripts and digits that
-look like Latin letters, and turns the rest into blanks. A lexicon entry is the beginning of
-a word; its weight is the logarithm of how much more often it stands in the words of toxic
+Folding lower-cases, takes accents off, brings styled letters (mathematical, circled, squared,
+small capital, wide, stroked) to plain ones, replaces letters of other scripts and digits that
+look like Latin letters, deletes characters without width, and turns the rest into blanks. A
+lexicon entry is the beginning of a word, or a whole word where that is longer; its weight is the logarithm of how much more often it stands in the words of toxic
 training documents than in those of clean ones. Exceptions are whole words, or pairs of neighbouring words, that hold an entry, but are
 as common in clean documents; they cancel the entry where they stand. The weights of a text
 and their number are summed, set against its words, and calibrated by a logistic curve.
 
 The lexicon is learned from at most `TRAIN_ROWS` labelled documents, those whose id hashes
-lowest; that sample is what is broadcast. It has at most `ENTRIES` entries and `EXCEPTIONS`
-exceptions. All documents are scored, over their whole texts.
+lowest; that sample bounds the lexicon, which has every entry and exception that the tests of
+the sample accept. All documents are scored, over their whole texts.
 
 Defined cases: null and empty texts match nothing and get the score of a text without
 matches; labels without a toxic value are not used; without both classes among the training
@@ -19,6 +20,7 @@ rows every score is the share of the class there is (0.5 without rows).
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -31,7 +33,7 @@ from haulbook.llm.common import arrow_map, chunks, held_out
 TRAIN_ROWS = 20_000
 FOLDS, HELD_FOLD = 3, 1
 ACCEPT = 0.7
-ENTRIES, EXCEPTIONS = 2_000, 2_000
+#: Letters of the beginnings that are tried; longer words are also tried whole.
 SHORTEST, LONGEST = 4, 10
 LEAST_DOCS = 4
 #: An entry's share of toxic documents must exceed its share of clean ones by so many
@@ -40,25 +42,51 @@ LEAST_ERRORS = 5.0
 
 MEASURES = ("weight_per_word", "weight", "matches_per_word", "matches")
 
-# Characters that look like Latin letters.
+# Characters that look like Latin letters. Capitals stand here where they look
+# like another letter than their small form does.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h",
-    "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԝ": "w",
+    "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ү": "y",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
-    "ı": "i", "ł": "l", "ø": "o", "đ": "d",
+    "Η": "h", "Μ": "m", "Ν": "n", "Υ": "y", "Ζ": "z",
+    "ց": "g", "հ": "h", "ո": "n", "օ": "o", "ս": "u",
+    "ı": "i", "ȷ": "j", "ɑ": "a", "ɡ": "g", "ɩ": "i",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a",
 }
-
-
-def fold_table() -> dict[int, str]:
-    """Every character of the Latin, Greek, Cyrillic and wide blocks, and all ASCII."""
-    table = {}
-    for code in [*range(0x530), *range(0x1E00, 0x2070), *range(0xFF01, 0xFF5F)]:
-        c = chr(code).lower()
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        plain = "".join(LOOKALIKES.get(x, x) for x in plain)
-        table[code] = plain if plain.isalpha() else " "
-    return table | {ord("$"): "s", **{code: None for code in range(0x300, 0x370)}}
+# Blocks with letters in other dress, and the first of three alphabets in boxes
+# that have no compatibility form.
+BLOCKS = (
+    (0, 0x590), (0x1D00, 0x2190), (0x2460, 0x2500), (0x2C60, 0x2C80), (0xA720, 0xA800), (0xFB00, 0xFB07), (0xFF01, 0xFF5F),
+    (0x1D400, 0x1D800), (0x1F100, 0x1F200),
+)
+BOXED = (0x1F150, 0x1F170, 0x1F1E6)
+_DRESSED = re.compile(r"LATIN (?:LETTER SMALL CAPITAL|(?:SMALL|CAPITAL) LETTER) ([A-Z])(?: WITH .*)?")
+
+
+def plain_letters(code: int) -> str | None:
+    """What a character is folded to; None for accents and characters without width."""
+    c = chr(code)
+    if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+        return None
+    for first in BOXED:
+        if first <= code < first + 26:
+            return chr(ord("a") + code - first)
+    if c not in LOOKALIKES:
+        c = c.lower()
+    out = ""
+    for x in unicodedata.normalize("NFKD", c):
+        named = _DRESSED.fullmatch(unicodedata.name(x, ""))
+        x = named[1].lower() if named else x if x in LOOKALIKES else x.lower()
+        out += "" if unicodedata.combining(x) else LOOKALIKES.get(x, x)
+    out = out.strip("().,")  # letters in parentheses
+    return out if out.isalpha() else " "
+
+
+def fold_table() -> dict[int, str | None]:
+    """All characters of `BLOCKS`, and all without width."""
+    table = {code: plain_letters(code) for low, high in BLOCKS for code in range(low, high)}
+    marks = (*range(0x1AB0, 0x1B00), *range(0xFE00, 0xFE10), *range(0xFE20, 0xFE30), 0xFEFF)
+    return table | {code: None for code in marks} | {ord("$"): "s"}
 
 
 _TABLE = fold_table()
@@ -106,6 +134,8 @@ def _prefix_counts(batches):
                     found[f" {w} "] += times
                 for n in range(SHORTEST, min(len(w), LONGEST) + 1):
                     found[f" {w[:n]}"] += times
+                if len(w) > LONGEST:
+                    found[f" {w} "] += times
             _count(y, found, into)
             if len(into[0]) > 500_000:
                 yield _emit(into)
@@ -216,18 +246,19 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold_no: int =
     pooled = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
     error = F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean) + 1e-12)
     entries = _counted(sample, _prefix_counts).where(F.col("toxic") >= LEAST_DOCS).withColumn("errors", (share_t - share_c) / error)
-    rows = entries.where((F.col("errors") >= LEAST_ERRORS) & (share_t >= 3 * share_c)).orderBy(F.col("errors").desc(), F.length("entry"), "entry").limit(20 * ENTRIES).collect()
+    rows = entries.where((F.col("errors") >= LEAST_ERRORS) & (share_t >= 3 * share_c)).orderBy(F.col("errors").desc(), F.length("entry"), "entry").collect()
     chosen: dict[str, float] = {}
+    begun: set[str] = set()  # the chosen ones' own beginnings
     for r in rows:
         e = r.entry
-        if any(e[:n] in chosen for n in range(2, len(e) + 1)) or any(c.startswith(e) for c in chosen):
+        beginnings = {e[:n] for n in range(2, min(len(e), LONGEST + 1) + 1)} | {e}
+        if e in begun or not beginnings.isdisjoint(chosen):
             continue
+        begun |= beginnings
         chosen[e] = max(math.log((r.toxic_times + 0.5) / chars_toxic) - math.log((r.clean_times + 0.5) / chars_clean), 0.1)
-        if len(chosen) == ENTRIES:
-            break
     plain = Lexicon(chosen, [])
     benign = _counted(sample, _exception_counts(plain)).where((F.col("clean") >= 3) & (share_t <= 1.5 * share_c))
-    exceptions = [r.entry for r in benign.orderBy(F.col("clean").desc(), "entry").limit(EXCEPTIONS).collect()]
+    exceptions = [r.entry for r in benign.orderBy(F.col("clean").desc(), "entry").collect()]
     lexicon = Lexicon(chosen, exceptions)
     measured = arrow_map(sample, _measured(lexicon), ", ".join(["y double", *(f"{m} double" for m in MEASURES)])).toPandas()
     measured = measured.sort_values([*MEASURES, "y"])  # tasks end in any order

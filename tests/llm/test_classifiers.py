@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +70,62 @@ def test_additive_model_learns_an_interaction():
 def test_folding():
     assert toxicity.fold("Idіоt, 1D10T! ídìöt\u0301 i$iot$$ ｉｄｉｏｔ") == " idiot idiot idiot isiot idiot "
     assert toxicity.fold(None) == toxicity.fold("") == "  "
+    for dressed in ("𝐢𝐝𝐢𝐨𝐭", "𝕀𝔻𝕀𝕆𝕋", "ⓘⓓⓘⓞⓣ", "⒤⒟⒤⒪⒯", "ɪᴅɪᴏᴛ", "🅸🅳🅸🅾🆃", "🅘🅓🅘🅞🅣", "🇮🇩🇮🇴🇹", "i\u200bd\u00adi\ufeffot", "i\u0336d\u20ddiot", "ɨđɨøŧ", "𝟏𝐝𝟏𝟎𝐭", "ıԁıօt"):
+        assert toxicity.fold(dressed) == " idiot ", dressed
+    assert toxicity.fold("ΝΗΥ ﬀ ⑴ 漢字 a\tb…c ½") == " nhy ff i 漢字 a b c "
+
+
+def brute_lexicon(rows, marks):
+    """Entries and exceptions by plain counting over all beginnings and words of the texts."""
+    known = [(f" {' '.join(toxicity.fold(t).split())} ", marks[i]) for i, t in rows if i in marks]
+    n = {y: sum(m == y for _, m in known) for y in (0, 1)}
+    chars = {y: sum(len(t) for i, t in rows if marks.get(i) == y) for y in (0, 1)}
+    docs, times = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+    for text, y in known:
+        found = Counter()
+        for w in text.split():
+            found.update([f" {w[:k]}" for k in range(4, min(len(w), 10) + 1)] + [f" {w} "] * (len(w) < 4 or len(w) > 10))
+        docs[y].update(set(found))
+        times[y].update(found)
+    ranked = []
+    for e in docs[1]:
+        t, c = docs[1][e] / n[1], docs[0][e] / n[0]
+        p = (docs[1][e] + docs[0][e]) / (n[0] + n[1])
+        errors = (t - c) / math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
+        if docs[1][e] >= 4 and errors >= 5 and t >= 3 * c:
+            ranked.append((-errors, len(e), e))
+    chosen = {}
+    for _, _, e in sorted(ranked):
+        if not any(e.startswith(c) or c.startswith(e) for c in chosen):
+            chosen[e] = max(math.log((times[1][e] + 0.5) / chars[1]) - math.log((times[0][e] + 0.5) / chars[0]), 0.1)
+    benign = {0: Counter(), 1: Counter()}
+    for text, y in known:
+        words = text.split()
+        hit = [any(f" {w} ".startswith(e) for e in chosen) for w in words]
+        found = {f" {w} " for w, h in zip(words, hit) if h}
+        found |= {f" {a} {b} " for (a, g), (b, h) in zip(zip(words, hit), zip(words[1:], hit[1:])) if g or h}
+        benign[y].update(found)
+    return chosen, {e for e, k in benign[0].items() if k >= 3 and benign[1][e] / n[1] <= 1.5 * k / n[0]}
+
+
+def test_lexicon_equals_brute_force(make_docs, labels):
+    """More entries and exceptions than the 2,000 that an earlier lexicon could hold."""
+    rng = np.random.default_rng(1)
+    stem = lambda i: "".join("bcdfghjk"[i >> s & 7] + "aeiou"[(i >> s) % 5] for s in (0, 3, 6, 9))
+    rows = []
+    for i in range(240):
+        text = " ".join(rng.choice(["road", "truck", "driver", "load", "internationalisation"], 25))
+        if i % 3 == 0:
+            text += " " + " ".join(stem(k) for k in range(2400)) + " nitwit internationalidiocy"
+        elif i % 12 == 1:
+            text += " the nitwitberry jam " + " ".join(stem(k) + "berry" for k in range(2400))
+        rows.append((i, text))
+    marks = {i: int(i % 3 == 0) for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1}
+    lexicon = toxicity.learn(make_docs(*rows), labels(*[(i, None, y) for i, y in marks.items()]))
+    entries, exceptions = brute_lexicon(rows, marks)
+    assert " internationalidiocy " in entries and len(exceptions) > 2000
+    assert lexicon.entries.keys() == entries.keys() and all(abs(lexicon.entries[e] - entries[e]) < 1e-9 for e in entries)
+    assert set(lexicon.exceptions) == exceptions
 
 
 def test_toxicity_edges(make_docs, labels):
