@@ -10,10 +10,10 @@ which equals the Jaccard similarity of the shingles unless something was moved a
 Buckets never emit all their pairs. Each links its members to one of them (first within a
 task, then between tasks); star links that come up twice are verified and joined to classes.
 Three or more texts that met in buckets and are still in different classes might be linked
-otherwise. They are compared further, but only where a bound allows it: within such a cluster, a shingle is rare
-if at most `RARE` texts hold it, and two texts can only be similar if they share a rare
-shingle or both hold enough common ones. So the links found do not depend on which
-member a bucket chose.
+otherwise. They are compared further, but only where a bound allows it (`candidates`): within such a
+cluster texts are paired by shingles that at most `RARE` texts hold, the others by how they differ
+from what most texts of the cluster hold. So the links found do not depend on which member a
+bucket chose, and no cluster is compared pair by pair.
 
 Exact copies are folded before anything else and never verified.
 
@@ -25,6 +25,8 @@ null). An empty table gives no rows. Columns besides doc_id and text are ignored
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -288,48 +290,130 @@ def _spread(words: int):
     return work
 
 
-def further_pairs(open_texts: DataFrame, words: int, least: float, rare: int = RARE) -> DataFrame:
-    """Pairs (a, b) of one cluster and different classes that may be similar enough.
+#: Bits of a shingle's hash that stay beside the class of its rarity.
+_HASH_BITS = 57
 
-    With m shingles in common, m / (n_a + n_b - m) >= least means m >= share * (n_a + n_b),
-    and so m >= least * n of either. m is at most what both hold of common shingles (c) and of
-    rare ones that some other text has too (r): min(c_a, c_b) + min(r_a, r_b). Without a rare
-    shingle that both hold it is at most min(c_a, c_b).
+
+def _level(state: DataFrame, rare: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of `candidates`: pairs that share a rare element, the members of each group
+    after the step, and their next groups.
+
+    Per group g and text, `els` are elements and f and low are numbers: two texts may be
+    similar if they share at least f_a + f_b elements, which is never less than low_a or low_b.
     """
-    share = least / (1 + least)
-    rows = materialize(
-        arrow_map(open_texts, _spread(words), "cluster long, class long, tid long, n int, shingle long"), "open-shingles"
+    sizes = state.groupBy("g").agg(F.count("*").alias("members"), F.min("f").alias("f_min"))
+    rows = state.select("g", "tid", F.explode("els").alias("el"))
+    held = rows.groupBy("g", "el").agg(F.count("*").alias("holders")).where("holders > 1").join(sizes.drop("f_min"), "g")
+    kind = F.when(F.col("holders") <= rare, "rare").when(2 * F.col("holders") > F.col("members"), "base").otherwise("mid")
+    held = held.withColumn("kind", kind)
+    # How many texts have it after the step: those without it where most have it.
+    has = F.when(F.col("kind") == "base", F.col("members") - F.col("holders")).otherwise(F.col("holders"))
+    rarity = F.floor(F.log2(F.greatest(has, F.lit(1)))).cast("long")
+    held = held.select(
+        "g", "el", "kind", has.alias("has"),
+        F.shiftleft(rarity, _HASH_BITS).bitwiseOR(F.col("el").bitwiseAND((1 << _HASH_BITS) - 1)).alias("id"),
     )
-    held = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("holders"))
-    marked = rows.join(held.where(F.col("holders") > 1), ["cluster", "shingle"])
-    is_common = F.col("holders") > rare
-    shared = marked.groupBy("cluster", "tid", "class", "n").agg(
-        F.count_if(is_common).cast("int").alias("c"), F.count_if(~is_common).cast("int").alias("r")
-    ).where(F.col("c") + F.col("r") + 1e-6 >= least * F.col("n"))
-    shared = materialize(shared, "open-texts")
-    few = marked.where(~is_common).select("cluster", "shingle", "tid").join(shared, ["cluster", "tid"])
-    ours, theirs = few.alias("x"), few.alias("y")
-    at_most = F.least("x.c", "y.c") + F.least("x.r", "y.r")
-    by_rare = ours.join(
-        theirs,
-        (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.shingle") == F.col("y.shingle"))
+    held = materialize(held, "near-held")
+    ids = {k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("id")))).alias(k) for k in ("rare", "base", "mid")}
+    lists = rows.join(held, ["g", "el"]).groupBy("g", "tid").agg(*ids.values())
+    texts = state.drop("els").join(lists, ["g", "tid"]).join(sizes.select("g", "f_min"), "g")
+    usable = F.size("rare") + F.size("base") + F.size("mid")
+    texts = texts.withColumn("usable", usable).withColumn("least_shared", _least_shared("low", "f", "f_min"))
+    texts = materialize(texts.where("usable >= least_shared"), "near-lists")
+
+    # In the order rare, then others, the first element that two similar texts share comes this early.
+    early = texts.withColumn("id", F.explode(F.slice("rare", F.lit(1), F.col("usable") - F.col("least_shared") + 1)))
+    early = early.select("g", "id", "tid", "class", "n", "f", F.size("rare").alias("r"), (F.col("usable") - F.size("rare")).alias("c"))
+    x, y = early.alias("x"), early.alias("y")
+    by_rare = x.join(
+        y,
+        (F.col("x.g") == F.col("y.g")) & (F.col("x.id") == F.col("y.id"))
         & (F.col("x.tid") > F.col("y.tid")) & (F.col("x.class") != F.col("y.class"))
-        & (at_most + 1e-6 >= share * (F.col("x.n") + F.col("y.n"))),
+        & (F.least("x.r", "y.r") + F.least("x.c", "y.c") + 1e-6 >= F.col("x.f") + F.col("y.f")),
     ).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
-    most = F.floor(F.col("c") / share + 1e-6).cast("int") - F.col("n")  # shingles its partner may have
-    reach = shared.withColumn("least_n", F.ceil(F.col("n") * least - 1e-6).cast("int")).where(most >= F.col("least_n"))
-    reach = reach.select(
-        "cluster", "tid", "class",
-        F.explode(F.sequence("least_n", F.least(most, F.floor(F.col("n") / least + 1e-6).cast("int")))).alias("n_other"),
-        F.col("n").alias("own"),
+
+    # What is left shares no rare element. Count from what most of the group hold.
+    base = held.where("kind = 'base'").groupBy("g").agg(
+        F.count("*").alias("of_base"), F.collect_list(F.when(F.col("has") > 1, F.col("id"))).alias("all_base")
     )
-    by_common = reach.alias("x").join(
-        shared.alias("y"),
-        (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.n_other") == F.col("y.n"))
-        & (F.col("x.tid") > F.col("y.tid")) & (F.col("x.class") != F.col("y.class"))
-        & (F.col("y.c") + 1e-6 >= share * (F.col("x.own") + F.col("y.n"))),
-    ).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
-    return by_rare.union(by_common).distinct()
+    moved = texts.join(base, "g", "left")
+    of_base, empty = F.coalesce("of_base", F.lit(0)), F.array().cast("array<bigint>")
+    rest = F.array_sort(F.concat(F.array_except(F.coalesce("all_base", empty), "base"), "mid"))
+    moved = moved.select(
+        "g", "tid", "class", "n", (F.col("f") + of_base / 2 - F.size("base")).alias("f"),
+        (F.col("low") - F.size("base")).alias("low"), rest.alias("els"),
+    )
+    moved = materialize(moved, "near-moved")
+    lowest = moved.groupBy("g").agg(F.min("f").alias("f_min"))
+    going = moved.join(lowest, "g").withColumn("least_shared", _least_shared("low", "f", "f_min")).where(F.size("els") >= F.col("least_shared"))
+    first = F.slice("els", F.lit(1), F.size("els") - F.col("least_shared") + 1)
+    going = going.select("g", "tid", "class", "n", "f", "low", "els", F.posexplode(first).alias("at", "el"))
+    going = going.select(
+        F.xxhash64("g", "el").alias("g"), "tid", "class", "n", "f", "low",
+        F.slice("els", F.col("at") + 1, F.size("els")).alias("els"),
+    )
+    going = materialize(going, "near-groups")
+    open_groups = going.groupBy("g").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("g")
+    return by_rare, moved.select("g", "tid", "class", "f"), going.join(open_groups, "g", "left_semi")
+
+
+def _least_shared(low: str, f: str, f_min: str):
+    return F.ceil(F.greatest(F.lit(1.0), F.col(low) - 1e-6, F.col(f) + F.col(f_min) - 1e-6)).cast("int")
+
+
+def candidates(open_texts: DataFrame, words: int, least: float, rare: int = RARE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of one cluster and different classes that may be similar enough, stars
+    (g, a, b) and the members (g, tid, class, f) that the stars stand for.
+
+    With m shingles in common, m / (n_a + n_b - m) >= least means m >= share * (n_a + n_b),
+    and so m >= least * n of either. Texts that hold a rare shingle in common are paired. Of the
+    others, all that matters is how they differ from the shingles that most of their group hold
+    (the base): with b of its B shingles held by a text, two texts share
+    b_a + b_b - B shingles, and more only where they lack the same shingle or hold the same one
+    that is neither rare nor in the base. So
+    * if b_a + b_b - B is enough, both are also similar to the text of the group that is nearest
+      the base, and a star of links to that one stands for all such pairs;
+    * otherwise the two must share differences. They are grouped by the differences that come
+      first in order of rarity, so many that none can be missed, and the groups are treated alike.
+    A difference is one of half the texts of its group at most, so groups shrink until all
+    their elements are rare. No step pairs the members of a group with each other.
+    """
+    share = least / (1 + least)
+    spread = arrow_map(open_texts, _spread(words), "cluster long, class long, tid long, n int, shingle long")
+    state = spread.groupBy("cluster", "tid", "class", "n").agg(F.collect_list("shingle").alias("els"))
+    state = state.select(
+        F.col("cluster").alias("g"), "tid", "class", "n", (F.col("n") * share).alias("f"),
+        (F.col("n") * least).alias("low"), "els",
+    )
+    state = materialize(state, "near-groups")
+    pairs, members = [], []
+    while True:
+        by_rare, group, state = _level(state, rare)
+        pairs.append(materialize(by_rare.distinct(), "near-pairs"))
+        members.append(group)
+        if state.isEmpty():
+            break
+    pairs, members = (reduce(DataFrame.union, x) for x in (pairs, members))
+    nearest = members.groupBy("g").agg(F.min(F.struct("f", "tid", "class")).alias("head"))
+    stars = members.join(nearest, "g").where("f + head.f <= 1e-6 and class <> head.class")
+    stars = materialize(stars.select("g", F.col("tid").alias("a"), F.col("head.tid").alias("b")), "near-stars")
+    return pairs.distinct(), stars, members
+
+
+def further_pairs(open_texts: DataFrame, words: int, least: float, rare: int = RARE) -> DataFrame:
+    """The pairs of `candidates`, the larger number first."""
+    pairs, stars, _ = candidates(open_texts, words, least, rare)
+    return pairs.union(stars.select(F.greatest("a", "b"), F.least("a", "b"))).distinct()
+
+
+def beside_stars(stars: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of the texts whose star link the alignment refused, as blocks in them are moved
+    about. Nothing follows for them from the star, so they meet the other members."""
+    either = links.select("a", "b").union(links.select("b", "a"))
+    refused = stars.join(either, ["a", "b"], "left_anti").select("g", F.col("a").alias("tid")).distinct()
+    x, y = members.join(refused, ["g", "tid"]).alias("x"), members.alias("y")
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.class") != F.col("y.class")) & (F.col("x.f") + F.col("y.f") <= 1e-6))
+    return met.select(F.greatest("x.tid", "y.tid").alias("a"), F.least("x.tid", "y.tid").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, sketches: int = SKETCHES, rare: int = RARE) -> DataFrame:
@@ -368,14 +452,19 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     still = placed.groupBy("cluster").agg(F.count("*").alias("members"), F.min("class").alias("low"), F.max("class").alias("high"))
     still = still.where("members > 2 and low <> high").select("cluster")
     if still.isEmpty():
-        links_all = links
         final = classes
     else:
         open_texts = placed.join(still, "cluster").join(wanted, "tid").select("cluster", "class", "tid", "text")
-        more = further_pairs(open_texts, words, least, rare).join(met.where("may").select("a", "b"), ["a", "b"], "left_anti")
+        pairs, stars, members = candidates(open_texts, words, least, rare)
+        seen = met.where("may").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = pairs.union(stars.select(F.greatest("a", "b"), F.least("a", "b"))).distinct().join(seen, ["a", "b"], "left_anti")
         found = materialize(verified(more, wanted, words, least), "near-links-more")
         links_all = links.union(found)
-        final = classes if found.isEmpty() else components(links_all.select("a", "b"))
+        beside = materialize(beside_stars(stars, members, links_all), "near-beside")
+        if not beside.isEmpty():
+            beside = beside.join(seen, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
+            links_all = links_all.union(materialize(verified(beside, wanted, words, least), "near-links-beside"))
+        final = components(links_all.select("a", "b"))
     grouped = (
         texts.select("tid", "k1", "k2", "first_doc")
         .join(final.withColumnRenamed("node", "tid"), "tid", "left")

@@ -151,3 +151,49 @@ def test_contracted_links_have_the_same_components(spark):
     roots = lambda edges: {tuple(r) for r in components(edges).collect()}
     assert roots(contracted(links)) == roots(links)
     assert contracted(links).count() < links.distinct().count()
+
+
+def open_cluster(spark, texts):
+    return spark.createDataFrame([(0, i, i, t) for i, t in enumerate(texts)], "cluster long, class long, tid long, text string")
+
+
+def alike(x, y, least=0.8):
+    both = sum((x & y).values())
+    return both >= least * (sum(x.values()) + sum(y.values()) - both)
+
+
+def test_candidates_of_a_cluster_that_is_alike_but_not_enough(spark):
+    """The candidates grow with the texts (and the depth of the groups), not with their pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    found = {}
+    for n in (200, 800):
+        pairs, stars, _ = nc.candidates(open_cluster(spark, family(rng, base, n, lambda r: 2)), 5, 0.8)
+        found[n] = pairs.count() + stars.count()
+    assert found[200] < 10 * 200 and found[800] < 20 * 800  # all pairs: 100 and 400 a text
+
+
+def test_candidates_connect_what_is_alike(spark):
+    """Nested families: what pairs and stars connect is what all pairs would."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(90)]
+    texts = []
+    for variant in family(rng, base, 6, lambda r: 3):
+        for inner in family(rng, variant.split(), 4, lambda r: 2):
+            texts += family(rng, inner.split(), 4, lambda r: int(r.integers(0, 3)))
+    texts = list(dict.fromkeys(texts))
+    held = [shingles(t) for t in texts]
+    wanted = {(a, b) for a in range(len(texts)) for b in range(a) if alike(held[a], held[b])}
+    for rare in (2, 5, 24):
+        pairs, stars, _ = nc.candidates(open_cluster(spark, texts), 5, 0.8, rare)
+        got = {(r.a, r.b) for r in pairs.union(stars.select("a", "b")).collect()}
+        got = {(max(p), min(p)) for p in got} & wanted
+        roots = lambda edges: {tuple(r) for r in components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+        assert roots(got) == roots(wanted)
+
+
+def test_texts_with_moved_blocks_meet_beside_the_star(spark):
+    stars = spark.createDataFrame([(7, 2, 1), (7, 3, 1), (7, 4, 1)], "g long, a long, b long")
+    members = spark.createDataFrame([(7, i, i, -float(i > 0)) for i in range(1, 5)] + [(8, 3, 3, -1.0), (7, 9, 9, 5.0)], "g long, tid long, class long, f double")
+    links = spark.createDataFrame([(2, 1), (1, 4)], "a long, b long")
+    assert {(r.a, r.b) for r in nc.beside_stars(stars, members, links).collect()} == {(3, 1), (3, 2), (4, 3)}
