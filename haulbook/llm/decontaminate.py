@@ -1,9 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 `build_index` stores postings of the training documents: documents are cut into blocks, and
-each block keeps, for every term of the test set that it holds, the sorted list of its token
-positions. Blocks are rows of a Parquet table in the shared folder, so the index is spread
-like the documents and no list grows beyond its block, however frequent its term.
+each block keeps its words in order and, for each, the sorted list of its token positions.
+Blocks are rows of a Parquet table in the shared folder, so the index is spread like the
+documents and no list grows beyond its block, however frequent its word. It does not depend
+on a test set: `judge` looks any of them up without reading the documents again.
 
 `match` looks windows up in each block. A window starts from its rarest term there; each
 position in that term's list, moved by the term's offset, is a candidate start, and the
@@ -11,8 +12,9 @@ candidates are intersected with the moved lists of the other terms, rarest first
 survives is an exact phrase. `proximity` works on the same lists and asks for all of a
 window's rarest terms within a span of tokens instead.
 
-The test set is broadcast. Its size is checked: beyond `MOST_TEST_WORDS` words it is looked
-up in parts of that size, one pass over the stored index for each, and the passes are joined.
+The test set stays a table. Tasks cut it into parts of at most `MOST_TEST_WORDS` words; one part
+at a time is broadcast and looked up in the stored index, and what the parts found of a
+document is put together by its place in the index.
 
 Defined cases: null or wordless texts have no words, no hits and no items; an item without
 words has no windows; items with the same id count once, and a null id is written as an
@@ -23,8 +25,11 @@ clean documents. Columns besides doc_id, text, item_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ WINDOW = 13
 #: A document is contaminated when its hit words are at least one in so many.
 ONE_IN = 20
 MOST_TEST_WORDS = 2_000_000
+#: Words of an item that stay together; longer items are cut, with overlaps so that no window is lost.
+PIECE_WORDS = 10_000
 #: Words of a proximity query, and the tokens they must lie within.
 NEAR_TERMS, NEAR_SPAN = 6, 39
 
@@ -55,7 +62,7 @@ class TestSet:
         for item, text in items:
             held = [self.terms.setdefault(w, len(self.terms) + 1) for w in words(text)]
             for i in range(max(len(held) - width, 0) + 1 if held else 0):
-                seen.setdefault(tuple(held[i:i + width]), set()).add("" if item is None else str(item))
+                seen.setdefault(tuple(held[i:i + width]), set()).add(item)
         self.windows = np.zeros((len(seen), width), dtype=np.int64)
         for row, window in zip(self.windows, seen):
             row[:len(window)] = window
@@ -63,58 +70,70 @@ class TestSet:
         self.items = list(seen.values())
 
 
-def parts(bench: DataFrame, most: int = MOST_TEST_WORDS) -> list[list[tuple]]:
-    """The items in groups of at most `most` words; an item is never cut."""
-    rows = bench.select(F.col("item_id"), F.col("text").alias("item_text")).toLocalIterator()
-    groups, held = [[]], 0
-    for r in rows:
-        n = len(words(r.item_text))
-        if held and held + n > most:
-            groups.append([])
-            held = 0
-        groups[-1].append((r.item_id, r.item_text))
-        held += n
-    return groups
+def _pieces(most: int):
+    """Cuts items into pieces and numbers the parts that they fill, each task its own."""
+
+    def work(batches):
+        part, held = TaskContext.get().partitionId() << 32, 0
+        for batch in chunks(batches, "item_text"):
+            out = {"part": [], "item_id": [], "piece": []}
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("item_text").to_pylist()):
+                held_words = words(text)
+                for i in range(0, max(len(held_words) - WINDOW, 0) + 1 if held_words else 0, PIECE_WORDS - WINDOW + 1):
+                    piece = held_words[i:i + PIECE_WORDS]
+                    if held and held + len(piece) > most:
+                        part, held = part + 1, 0
+                    held += len(piece)
+                    out["part"].append(part)
+                    out["item_id"].append("" if item is None else str(item))
+                    out["piece"].append(b" ".join(piece).decode())
+            yield out
+
+    return work
+
+
+def parts(bench: DataFrame, most: int = MOST_TEST_WORDS) -> Iterator[list[tuple]]:
+    """The items in parts of at most `most` words, or one piece; the driver holds one at a time."""
+    items = bench.select("item_id", F.col("text").alias("item_text"))
+    pieces = materialize(arrow_map(items, _pieces(most), "part long, item_id string, piece string"), "test-pieces")
+    numbers = sorted(r.part for r in pieces.select("part").distinct().collect())
+    for number in numbers:
+        yield [(r.item_id, r.piece) for r in pieces.where(F.col("part") == number).collect()]
+    if not numbers:
+        yield []
 
 
 INDEX = (
-    "doc_ids array<bigint>, k1 array<bigint>, k2 array<bigint>, n_words array<int>, terms array<int>, counts array<int>, positions binary"
+    "block long, doc_ids array<bigint>, k1 array<bigint>, k2 array<bigint>, n_words array<int>, words binary, counts array<int>, positions binary"
 )
 
 
-def build_index(docs: DataFrame, bench: DataFrame, path: str | None = None) -> tuple[DataFrame, dict[bytes, int]]:
-    """Stores the postings of the test set's terms; returns the table and the term numbers."""
-    spark = docs.sparkSession
-    vocabulary: dict[bytes, int] = {}
-    for group in parts(bench):
-        for _, text in group:
-            for w in words(text):
-                vocabulary.setdefault(w, len(vocabulary) + 1)
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def index(batches):
-        known = shared.value.get
-        for batch in chunks(batches, "text"):
-            tokens = [words(t) for t in batch.column("text").to_pylist()]
-            n = np.array([len(t) for t in tokens], dtype=np.int64)
-            # Documents follow each other in one numbering, with a gap that no window crosses.
-            starts = np.concatenate([[0], np.cumsum(n + 1)])
-            numbers = np.zeros(starts[-1], dtype=np.int32)
-            for s, t in zip(starts, tokens):
-                numbers[s:s + len(t)] = [known(w, 0) for w in t]
-            at = np.flatnonzero(numbers)
-            order = at[np.argsort(numbers[at], kind="stable")]
-            terms, counts = np.unique(numbers[at], return_counts=True)
-            yield {
-                **{f: [batch.column(c).to_pylist()] for f, c in (("doc_ids", "doc_id"), ("k1", "k1"), ("k2", "k2"))}, "n_words": [n.tolist()],
-                "terms": [terms.tolist()], "counts": [counts.tolist()],
-                "positions": [order.astype(np.uint32).tobytes()],
-            }
-
-    path = path or fresh_dir(spark, "postings")
+def _index(batches):
+    block = TaskContext.get().partitionId() << 32
+    for batch in chunks(batches, "text"):
+        tokens = [words(t) for t in batch.column("text").to_pylist()]
+        n = np.array([len(t) for t in tokens], dtype=np.int64)
+        # Documents follow each other in one numbering, with a gap that no window crosses.
+        places = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
+        held = [w for t in tokens for w in t]
+        ordered = sorted(set(held))
+        rank = {w: i for i, w in enumerate(ordered)}
+        numbers = np.fromiter(map(rank.__getitem__, held), dtype=np.int32, count=len(held))
+        yield {
+            "block": [block],
+            **{f: [batch.column(c).to_pylist()] for f, c in (("doc_ids", "doc_id"), ("k1", "k1"), ("k2", "k2"))}, "n_words": [n.tolist()],
+            "words": [b" ".join(ordered)], "counts": [np.bincount(numbers, minlength=len(ordered)).tolist()],
+            "positions": [places[np.argsort(numbers, kind="stable")].astype(np.uint32).tobytes()],
+        }
+        block += 1
+
+
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Stores the postings of all words of the documents; returns the table of blocks."""
+    path = path or fresh_dir(docs.sparkSession, "postings")
     plain = text_keys(docs).select("doc_id", "k1", "k2", F.coalesce("text", F.lit("")).alias("text"))
-    arrow_map(plain, index, INDEX).write.parquet(path)
-    return spark.read.schema(INDEX).parquet(path), vocabulary
+    arrow_map(plain, _index, INDEX).write.parquet(path)
+    return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
@@ -127,15 +146,20 @@ def text_keys(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """One block's lists, with all of them in one sorted array of (term, position)."""
+    """One block's lists of some terms, with all of them in one sorted array of (term, position)."""
 
-    def __init__(self, n_words, terms, counts, positions):
-        self.n_words = np.asarray(n_words, dtype=np.int64)
+    def __init__(self, row: dict, numbers: dict[bytes, int]):
+        """numbers: the terms that are asked for."""
+        self.n_words = np.asarray(row["n_words"], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n_words + 1)])
         self.span = int(self.starts[-1]) + 64
-        self.terms, self.counts = np.asarray(terms, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+        found = sorted((numbers[w], i) for i, w in enumerate(row["words"].split()) if w in numbers)
+        self.terms, at = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        counts = np.asarray(row["counts"], dtype=np.int64)
+        self.counts = counts[at]
         self.begins = np.concatenate([[0], np.cumsum(self.counts)])
-        self.positions = np.frombuffer(positions, dtype=np.uint32).astype(np.int64)
+        listed = np.arange(self.begins[-1]) + np.repeat((np.cumsum(counts) - counts)[at] - self.begins[:-1], self.counts)
+        self.positions = np.frombuffer(row["positions"], dtype=np.uint32)[listed].astype(np.int64)
         self.keys = np.repeat(self.terms, self.counts) * self.span + self.positions
 
     def frequency(self, terms: np.ndarray) -> np.ndarray:
@@ -196,70 +220,62 @@ class Block:
         return np.array(found, dtype=np.int64), np.array(where, dtype=np.int64)
 
 
-def _blocks(batches):
+def _blocks(batches, numbers):
     for batch in batches:
-        for row in batch.to_pylist():
-            yield row, Block(row["n_words"], row["terms"], row["counts"], row["positions"])
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield row, Block(row, numbers)
 
 
-def match(index: DataFrame, vocabulary: dict[bytes, int], bench: DataFrame) -> DataFrame:
+def match(index: DataFrame, bench: DataFrame) -> DataFrame:
     """Per document: doc_id, the text's key, n_words, the hit words' spans, the items that occur."""
     spark, found = index.sparkSession, []
-    for group in parts(bench):
-        test = TestSet(group)
-        numbers = {own: vocabulary[w] for w, own in test.terms.items()}
-        renamed = np.array([0, *(numbers[i + 1] for i in range(len(numbers)))], dtype=np.int64)
-        shared = spark.sparkContext.broadcast((renamed[test.windows], test.lengths, test.items))
+    for part in parts(bench):
+        test = TestSet(part)
+        shared = spark.sparkContext.broadcast((test.terms, test.windows, test.lengths, test.items))
 
         def look_up(batches, shared=shared):
-            windows, lengths, items = shared.value
-            for row, block in _blocks(batches):
+            numbers, windows, lengths, items = shared.value
+            for row, block in _blocks(batches, numbers):
                 which, starts = block.phrases(windows, lengths)
                 owner = np.searchsorted(block.starts, starts, side="right") - 1
                 hits = [[] for _ in row["doc_ids"]]
                 for w, s, d in zip(which.tolist(), (starts - block.starts[owner]).tolist(), owner.tolist()):
                     hits[d].append((w, s))
                 yield {
+                    "block": [row["block"]] * len(hits), "at": range(len(hits)),
                     "doc_id": row["doc_ids"], "k1": row["k1"], "k2": row["k2"], "n_words": row["n_words"],
                     "begins": [[s for _, s in h] for h in hits],
                     "ends": [[s + int(lengths[w]) for w, s in h] for h in hits],
                     "items": [sorted(set().union(*(items[w] for w, _ in h))) for h in hits],
                 }
 
-        found.append(arrow_map(index, look_up, "doc_id long, k1 long, k2 long, n_words long, begins array<long>, ends array<long>, items array<string>"))
-    if len(found) == 1:
-        return found[0]
-    # The k-th row of a block is the same document in every pass; ids may repeat.
-    keyed = [f.withColumn("row", F.monotonically_increasing_id()) for f in found]
-    merged = keyed[0]
-    for i, k in enumerate(keyed[1:]):
-        more = k.select("row", *(F.col(c).alias(f"{c}_{i}") for c in ("begins", "ends", "items")))
-        merged = merged.join(more, "row").select(
-            "doc_id", "k1", "k2", "n_words", "row", F.concat("begins", f"begins_{i}").alias("begins"),
-            F.concat("ends", f"ends_{i}").alias("ends"), F.array_union("items", f"items_{i}").alias("items"),
-        )
-    return merged.drop("row")
-
-
-def proximity(index: DataFrame, vocabulary: dict[bytes, int], bench: DataFrame, n_terms: int = NEAR_TERMS, span: int = NEAR_SPAN) -> DataFrame:
+        schema = "block long, at int, doc_id long, k1 long, k2 long, n_words long, begins array<long>, ends array<long>, items array<string>"
+        found.append(arrow_map(index, look_up, schema))
+    if len(found) > 1:
+        # A document has a row of each part.
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends", "items")]
+        rows = reduce(DataFrame.union, found).groupBy("block", "at", "doc_id", "k1", "k2", "n_words").agg(*lists)
+        return rows.withColumn("items", F.array_distinct("items")).drop("block", "at")
+    return found[0].drop("block", "at")
+
+
+def proximity(index: DataFrame, bench: DataFrame, n_terms: int = NEAR_TERMS, span: int = NEAR_SPAN) -> DataFrame:
     """doc_id and item_id where an item's words come close together, in any order."""
-    spark, out = index.sparkSession, None
-    for group in parts(bench):
-        test = TestSet(group)
-        numbers = {own: vocabulary[w] for w, own in test.terms.items()}
-        renamed = np.array([0, *(numbers[i + 1] for i in range(len(numbers)))], dtype=np.int64)
-        shared = spark.sparkContext.broadcast((renamed[test.windows], test.lengths, test.items))
+    spark, found = index.sparkSession, []
+    for part in parts(bench):
+        test = TestSet(part)
+        shared = spark.sparkContext.broadcast((test.terms, test.windows, test.lengths, test.items))
 
         def look_up(batches, shared=shared):
-            windows, lengths, items = shared.value
-            for row, block in _blocks(batches):
+            numbers, windows, lengths, items = shared.value
+            for row, block in _blocks(batches, numbers):
                 which, docs = block.near(windows, lengths, n_terms, span)
                 pairs = sorted({(d, item) for w, d in zip(which.tolist(), docs.tolist()) for item in items[w]})
                 yield {"doc_id": [row["doc_ids"][d] for d, _ in pairs], "item_id": [item for _, item in pairs]}
 
-        more = arrow_map(index, look_up, "doc_id long, item_id string")
-        out = more if out is None else out.union(more)
-    return out.distinct()
+        found.append(arrow_map(index, look_up, "doc_id long, item_id string"))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def covered(begins: list[int], ends: list[int]) -> int:
@@ -273,8 +289,12 @@ def covered(begins: list[int], ends: list[int]) -> int:
 
 def contamination(docs: DataFrame, bench: DataFrame, one_in: int = ONE_IN, keys: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    index, vocabulary = build_index(docs, bench)
-    matched = match(index, vocabulary, bench)
+    return judge(build_index(docs), bench, one_in, keys)
+
+
+def judge(index: DataFrame, bench: DataFrame, one_in: int = ONE_IN, keys: bool = False) -> DataFrame:
+    """`contamination` of the documents of a stored index."""
+    matched = match(index, bench)
 
     def digest(batches):
         for batch in batches:

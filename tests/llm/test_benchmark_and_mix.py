@@ -55,6 +55,34 @@ def test_contamination_equals_brute_force(spark, make_docs, monkeypatch, most):
     assert got == brute(rows, ITEMS)
 
 
+def test_a_stored_index_answers_another_test_set(spark, make_docs):
+    rows = contaminated_rows()
+    index = dc.build_index(make_docs(*rows))
+    for items in (ITEMS[:2], ITEMS[2:], [(8, "yy9 xx"), (9, "never")]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        assert sorted((tuple(r) for r in dc.judge(index, bench).collect()), key=repr) == brute(rows, items)
+
+
+def test_long_items_are_cut_into_parts(spark, make_docs, monkeypatch):
+    """No window is lost at a cut, and a part has the words of its bound, or one piece."""
+    monkeypatch.setattr(dc, "PIECE_WORDS", 20)
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 9000, n))) for i, n in enumerate((13, 20, 21, 28, 29, 100, 5))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = list(dc.parts(bench, 45))
+    assert all(sum(len(dc.words(t)) for _, t in part) <= 45 for part in found) and len(found) > 1
+    windows = {(i, w) for part in found for i, t in part for w in brute_windows(t)}
+    assert windows == {(str(i), w) for i, t in items for w in brute_windows(t)}
+    monkeypatch.setattr(dc, "parts", lambda b, f=dc.parts: f(b, 45))
+    rows = [(i, "x " + t + " y") for i, t in items] + [(90, None), (91, "v1")]
+    assert sorted((tuple(r) for r in dc.contamination(make_docs(*rows), bench).collect()), key=repr) == brute(rows, items)
+
+
+def brute_windows(text):
+    w = words(text)
+    return {tuple(w[i:i + 13]) for i in range(max(len(w) - 12, 1))}
+
+
 def test_clean_keeps_the_rest(spark, make_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = contaminated_rows()
@@ -70,8 +98,7 @@ def test_clean_keeps_the_rest(spark, make_docs):
 def test_proximity(spark, make_docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "rare word")], "item_id long, text string")
     docs = make_docs((1, "delta x gamma x beta x alpha"), (2, "alpha " + "x " * 50 + "beta gamma delta"), (3, "word rare"), (4, None))
-    index, vocabulary = dc.build_index(docs, bench)
-    got = {(r.doc_id, r.item_id) for r in dc.proximity(index, vocabulary, bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in dc.proximity(dc.build_index(docs), bench).collect()}
     assert got == {(1, "1"), (3, "2")}
 
 
