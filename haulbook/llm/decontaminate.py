@@ -42,6 +42,8 @@ ONE_IN = 20
 MOST_TEST_WORDS = 2_000_000
 #: Words of an item that stay together; longer items are cut, with overlaps so that no window is lost.
 PIECE_WORDS = 10_000
+#: Bytes of a text whose words are held as objects at a time.
+SPLIT_BYTES = 1 << 18
 #: Words of a proximity query, and the tokens they must lie within.
 NEAR_TERMS, NEAR_SPAN = 6, 39
 
@@ -108,22 +110,37 @@ INDEX = (
 )
 
 
+def _numbered(text: str, rank: dict[bytes, int]) -> np.ndarray:
+    """The text's words as numbers, new ones entered; a long text is split bit by bit."""
+    raw, found, start = text.encode().translate(_FOLD), [np.zeros(0, dtype=np.int32)], 0
+    while start < len(raw):
+        end = raw.find(b" ", start + SPLIT_BYTES)
+        end = len(raw) if end < 0 else end
+        held = raw[start:end].split()
+        for w in {*held}.difference(rank):
+            rank[w] = len(rank)
+        found.append(np.fromiter(map(rank.__getitem__, held), dtype=np.int32, count=len(held)))
+        start = end
+    return np.concatenate(found)
+
+
 def _index(batches):
     block = TaskContext.get().partitionId() << 32
     for batch in chunks(batches, "text"):
-        tokens = [words(t) for t in batch.column("text").to_pylist()]
-        n = np.array([len(t) for t in tokens], dtype=np.int64)
+        rank: dict[bytes, int] = {}
+        numbered = [_numbered(t, rank) for t in batch.column("text").to_pylist()]
+        n = np.array([len(x) for x in numbered], dtype=np.int64)
         # Documents follow each other in one numbering, with a gap that no window crosses.
-        places = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
-        held = [w for t in tokens for w in t]
-        ordered = sorted(set(held))
-        rank = {w: i for i, w in enumerate(ordered)}
-        numbers = np.fromiter(map(rank.__getitem__, held), dtype=np.int32, count=len(held))
+        places = (np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)).astype(np.uint32)
+        ordered = sorted(rank)
+        in_order = np.empty(len(rank), dtype=np.int32)
+        in_order[[rank[w] for w in ordered]] = np.arange(len(rank))
+        numbers = in_order[np.concatenate(numbered)]
         yield {
             "block": [block],
             **{f: [batch.column(c).to_pylist()] for f, c in (("doc_ids", "doc_id"), ("k1", "k1"), ("k2", "k2"))}, "n_words": [n.tolist()],
             "words": [b" ".join(ordered)], "counts": [np.bincount(numbers, minlength=len(ordered)).tolist()],
-            "positions": [places[np.argsort(numbers, kind="stable")].astype(np.uint32).tobytes()],
+            "positions": [places[np.argsort(numbers, kind="stable")].tobytes()],
         }
         block += 1
 

@@ -63,6 +63,17 @@ def test_a_stored_index_answers_another_test_set(spark, make_docs):
         assert sorted((tuple(r) for r in dc.judge(index, bench).collect()), key=repr) == brute(rows, items)
 
 
+def test_words_of_a_long_text_are_numbered_alike(monkeypatch):
+    text = " été,B b  " * 50 + "last" + "," * 30
+    for size in (1, 7, 1 << 18):
+        monkeypatch.setattr(dc, "SPLIT_BYTES", size)
+        rank = {}
+        numbers = dc._numbered(text, rank)
+        names = {i: w for w, i in rank.items()}
+        assert [names[i] for i in numbers.tolist()] == dc.words(text)
+    assert len(dc._numbered("", {})) == 0
+
+
 def test_long_items_are_cut_into_parts(spark, make_docs, monkeypatch):
     """No window is lost at a cut, and a part has the words of its bound, or one piece."""
     monkeypatch.setattr(dc, "PIECE_WORDS", 20)
