@@ -86,7 +86,9 @@ def batch_search(carriers: DataFrame, terms: DataFrame, index: DataFrame | None
     """`terms(term_id, term)` against the directory: (term_id, term, usdot_number).
 
     With a stored `index` (gram, usdot_number) the names are not taken apart: the carriers under
-    the terms' grams are looked up there, and their names joined to them.
+    the terms' grams are looked up there, and their names joined to them. Postings are many
+    times the file they come from, which is all that Spark's estimate knows of: they are joined
+    by sorting and never gathered for a broadcast.
     """
     cleaned = terms.select("term_id", "term", strip("term").alias("t"))
     is_number = F.col("t").rlike("^[0-9]+$")
@@ -119,10 +121,10 @@ def batch_search(carriers: DataFrame, terms: DataFrame, index: DataFrame | None
     )
     by_gram = long_terms.join(rarest, "term_id")
     if postings is not None:
-        by_gram = by_gram.join(postings, "gram")
+        by_gram = by_gram.join(postings.hint("merge"), "gram")
     else:
         names = carriers.select("usdot_number", "legal_name", "dba_name")
-        by_gram = by_gram.join(index.select("gram", "usdot_number"), "gram").join(names, "usdot_number")
+        by_gram = by_gram.join(index.select("gram", "usdot_number").hint("merge"), "gram").join(names.hint("merge"), "usdot_number")
 
     # Shorter pieces are grams themselves. Without such terms this branch stays empty,
     # and adaptive execution drops it.

@@ -72,6 +72,14 @@ def test_search_joins_on_grams(t):
     assert "gram" in text and "NestedLoop" not in text
 
 
+def test_postings_are_never_broadcast(t):
+    """They are some 25 times the names, whatever Spark estimates."""
+    text = plan(search.batch_search(t.carriers, t.feed("terms")))
+    assert re.search(r"SortMergeJoin \[gram#\d+\], \[gram#\d+\], Inner", text)
+    stored = plan(search.batch_search(t.carriers, t.feed("terms"), search.gram_index(t.carriers)))
+    assert re.search(r"SortMergeJoin \[gram#\d+\], \[gram#\d+\], Inner", stored)
+
+
 def test_profile_shuffles_carriers_once(t):
     p = safety.safety_profiles(t.carriers, t.scores, t.inspections, t.violations)
     assert plan(p.select(F.col("usdot_number"))).count("Exchange") <= 8
