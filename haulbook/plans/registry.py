@@ -165,8 +165,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return stats.row_counts(
         {
-            "carriers": t.carriers, "inspections": t.inspections, "violations": t.violations,
-            "safety_scores": t.scores, "subscribers": t.subscribers,
+            "carriers": t.carriers, "inspections": t.once("inspections"), "violations": t.once("violations"),
+            "safety_scores": t.once("scores"), "subscribers": t.subscribers,
         }
     )
 
@@ -691,7 +691,7 @@ query("d08_coverage")(lambda t: documents.coverage(t.document_base))
 
 @query("d09_offers")
 def _(t: Tables) -> DataFrame:
-    offers = documents.ranked_offers(t.document_base, safety.any_alert(t.scores), PARTNERS)
+    offers = documents.ranked_offers(t.document_base, safety.any_alert(t.once("scores")), PARTNERS)
     return offers.select("usdot_number", F.array_join("offers.category", ",").alias("offers"))
 
 

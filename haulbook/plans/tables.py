@@ -110,6 +110,12 @@ class Tables:
         path, schema = _STORED[key]
         return self.spark.read.schema(schema).parquet(path)
 
+    def once(self, name: str) -> DataFrame:
+        """A table for a query that reads few of its columns, and those once: as stored if it
+        is, else straight from its load, so that the other columns are neither joined nor sorted."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        return getattr(self, name if key in _STORED else f"built_{name}")
+
     @cached_property
     def kept(self) -> KeptDirectory:
         """The same directory kept by changes: a first load, three upserts, and the child
@@ -135,11 +141,12 @@ class Tables:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return safety.carrier_totals(self.carriers, self.inspections, self.violations)
+        return safety.carrier_totals(self.carriers, self.once("inspections"), self.once("violations"))
 
     @cached_property
     def document_base(self) -> DataFrame:
-        return documents.document_base(safety.with_totals(self.carriers, self.inspections, self.violations))
+        counted = safety.with_totals(self.carriers, self.once("inspections"), self.once("violations"))
+        return documents.document_base(counted)
 
     @cached_property
     def requests(self) -> DataFrame:

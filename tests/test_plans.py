@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulbook.operators import documents, merges, ranking, rows, safety, search
+from haulbook.plans import tables
 from haulbook.plans.registry import REGISTRY
 from haulbook.plans.tables import Tables
 
@@ -80,6 +81,14 @@ def test_postings_are_never_broadcast(t):
     assert re.search(r"SortMergeJoin \[gram#\d+\], \[gram#\d+\], Inner", stored)
 
 
+@pytest.mark.parametrize("name", ["a09_violation_rate", "d09_offers", "s12_row_counts", "u01_union_of_counts"])
+def test_counting_stores_no_children(t, monkeypatch, name):
+    """Counts need a column or none of the child tables, which are not stored for them."""
+    monkeypatch.setattr(tables, "_STORED", {})
+    REGISTRY[name](Tables(t.spark, DIR))
+    assert {key[2] for key in tables._STORED} <= {"carriers"}
+
+
 def test_profile_shuffles_carriers_once(t):
     p = safety.safety_profiles(t.carriers, t.scores, t.inspections, t.violations)
     assert plan(p.select(F.col("usdot_number"))).count("Exchange") <= 8
