@@ -60,9 +60,9 @@ class KeptDirectory:
     def add_children(self, name: str, rows: DataFrame, counts, version: int) -> None:
         """Inspections or violations of known carriers, appended and counted."""
         table = AppendTable(self.spark, f"{self.root}/{name}", rows.schema)
+        stored = table.stage(rows, version)
+        table.commit(version)
         with scratch(self.spark):
-            stored = materialize(rows, name)
-            table.append(stored, version)
             self._count(version, counts(stored))
 
     def replace_scores(self, basics: DataFrame, measured: str | Column, version: int) -> None:

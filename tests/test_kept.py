@@ -241,3 +241,18 @@ def test_moves_read_no_base(spark, make_carriers):
     assert {tuple(r) for r in moved.collect()} == {
         ("active", "TX", -1), ("active", "CA", 1), ("carriers", "TX", -1), ("carriers", "CA", 1),
     }
+
+
+def test_children_are_written_once(spark, seed, monkeypatch):
+    """Counting them reads what was appended, not a copy."""
+    from haulbook.operators import kept as module
+
+    copies = []
+    monkeypatch.setattr(module, "materialize", lambda df, label: copies.append(label) or df)
+    kept = KeptDirectory(spark, fresh_dir(spark, "kept"), buckets=4)
+    kept.create(seed, 0)
+    rows = spark.createDataFrame([("100001", "c1"), ("100002", "c2")], "usdot_number string, violation_code string")
+    for _ in range(2):  # run again under its number, it counts once
+        kept.add_children("violations", rows, summaries.violation_counts, 1)
+    assert copies == []
+    assert [r.n for r in kept.summary.where("measure = 'violations'").collect()] == [2]
