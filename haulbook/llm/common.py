@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns to the machine what a task has freed: its worker waits for the next task and
+    would keep it beside what that one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc only
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     """`mapInArrow` of a function from record batches to dictionaries of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,9 +58,12 @@ def arrow_map(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for columns in work(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
-            )
+        try:
+            for columns in work(batches):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
+                )
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)

@@ -5,8 +5,9 @@ strings of that length are judged, in four steps.
 
 1. *Stretches.* Each string is named by its smallest hashed gram of `GRAM` bytes, so equal
    strings have equal names wherever they stand. Neighbouring strings with the same gram form
-   a stretch. Stretches are spread by gram; a task first drops those it holds twice (the later
-   one is repeated as a whole), so however often a passage occurs, a task sends it on once.
+   a stretch. Stretches are spread by gram; a task drops those it holds twice (the later
+   one is repeated as a whole), so however often a passage occurs, a task sends it on once for
+   every `HELD` stretches.
 2. *Folding.* Sorted by gram and content, stretches stream by: of equal ones all but the
    first are repeated as a whole. A gram whose stretches are all equal needs no more.
 3. *Index.* The bytes of what is left (one stretch of each content, where contents differ under
@@ -46,6 +47,8 @@ GRAM = 24
 HOT = 20_000
 #: Bytes of stretches that are indexed together.
 BATCH_BYTES = 2 << 20
+#: Stretches that a task holds to find those it has twice, some 10 MB.
+HELD = 1 << 18
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _INVERSE = np.uint64(pow(int(_C), -1, 1 << 64))
@@ -113,41 +116,49 @@ class Stretcher:
 STRETCH = "gram long, content long, doc long, start int, starts int, repeated boolean"
 
 
-def _stretch_rows(length: int, gram: int):
+def _stretch_rows(length: int, gram: int, most: int = HELD):
     def work(batches):
         cutter = Stretcher(length, gram)
-        held = []
+        held, n = [], 0
         for batch in chunks(batches, "text"):
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 grams, content, start, starts = cutter.stretches(text.encode())
                 held.append((grams.view(np.int64), content.view(np.int64), np.full(len(start), doc), start.astype(np.int32), starts.astype(np.int32)))
-        if not held:
-            return
-        grams, content, doc, start, starts = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((start, doc, content, grams))
-        grams, content, doc, start, starts = (x[order] for x in (grams, content, doc, start, starts))
-        repeated = np.zeros(len(order), dtype=bool)
-        repeated[1:] = (grams[1:] == grams[:-1]) & (content[1:] == content[:-1])
-        # What is known to be repeated goes on as merged spans.
-        later = np.flatnonzero(repeated)
-        spans = _merge(doc[later], start[later].astype(np.int64), start[later].astype(np.int64) + starts[later] - 1)
-        for i in range(0, len(order), 65536):
-            keep = slice(i, i + 65536)
-            one = ~repeated[keep]
-            yield {
-                "gram": grams[keep][one], "content": content[keep][one], "doc": doc[keep][one], "start": start[keep][one],
-                "starts": starts[keep][one], "repeated": np.zeros(one.sum(), dtype=bool),
-            }
-        # Spread by place, as they only pass through.
-        yield {
-            "gram": _mix(spans[0].astype(np.uint64) * _A + spans[1].astype(np.uint64)).view(np.int64), "content": np.zeros(len(spans[0]), dtype=np.int64),
-            "doc": spans[0], "start": spans[1].astype(np.int32), "starts": (spans[2] - spans[1] + 1).astype(np.int32), "repeated": np.ones(len(spans[0]), dtype=bool),
-        }
+                n += len(start)
+                if n >= most:
+                    yield from _once(held)
+                    held, n = [], 0
+        if held:
+            yield from _once(held)
 
     return work
 
 
+def _once(held: list[tuple]):
+    """Stretches without those that are held twice, and the spans of these."""
+    grams, content, doc, start, starts = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.lexsort((start, doc, content, grams))
+    grams, content, doc, start, starts = (x[order] for x in (grams, content, doc, start, starts))
+    repeated = np.zeros(len(order), dtype=bool)
+    repeated[1:] = (grams[1:] == grams[:-1]) & (content[1:] == content[:-1])
+    # What is known to be repeated goes on as merged spans.
+    later = np.flatnonzero(repeated)
+    spans = _merge(doc[later], start[later].astype(np.int64), start[later].astype(np.int64) + starts[later] - 1)
+    for i in range(0, len(order), 65536):
+        keep = slice(i, i + 65536)
+        one = ~repeated[keep]
+        yield {
+            "gram": grams[keep][one], "content": content[keep][one], "doc": doc[keep][one], "start": start[keep][one],
+            "starts": starts[keep][one], "repeated": np.zeros(one.sum(), dtype=bool),
+        }
+    # Spread by place, as they only pass through.
+    yield {
+        "gram": _mix(spans[0].astype(np.uint64) * _A + spans[1].astype(np.uint64)).view(np.int64), "content": np.zeros(len(spans[0]), dtype=np.int64),
+        "doc": spans[0], "start": spans[1].astype(np.int32), "starts": (spans[2] - spans[1] + 1).astype(np.int32), "repeated": np.ones(len(spans[0]), dtype=bool),
+    }
+
+
 def _merge(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of starts, joined where they touch or overlap."""
     if not len(doc):

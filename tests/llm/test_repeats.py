@@ -102,3 +102,20 @@ def test_run_index_statistics():
             n += 1
         assert match[p] == n and (n == 0 or where[p] == q)
     assert len(index.run_chars) < len(raw)
+
+
+def test_stretches_go_on_before_a_task_has_read_all():
+    """What a task holds does not grow with its partition."""
+    import pyarrow as pa
+
+    rng, read = np.random.default_rng(5), []
+    shared = bytes(rng.integers(97, 123, 400, dtype=np.uint8)).decode()
+
+    def batches():
+        for doc in range(30):
+            read.append(doc)
+            own = bytes(rng.integers(97, 123, 600, dtype=np.uint8)).decode()
+            yield pa.RecordBatch.from_pydict({"doc": [doc], "text": [own + shared]})
+
+    first = next(iter(rp._stretch_rows(100, 24, most=50)(batches())))
+    assert len(first["gram"]) and len(read) < 10
