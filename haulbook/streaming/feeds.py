@@ -95,8 +95,8 @@ def once_per_source_row(
 
     What was stored first stays, also when the row comes again with other values; of rows of
     one id in a batch one is taken. Rows without an id cannot be told apart and are all
-    stored. Bloom filters tell which folders may hold an id of the batch, and only those are
-    opened (`AppendTable.unseen`).
+    stored. Bloom filters tell which folders may hold an id of a small batch, and only those are
+    opened; a large one is compared with all stored ids (`AppendTable.unseen`).
     """
     schema = clean(stream).schema
 

@@ -11,7 +11,7 @@ from haulbook.operators.gram_store import GramStore
 from haulbook.operators.kept import KeptDirectory
 from haulbook.schemas import CARRIERS
 from haulbook.session import fresh_dir
-from haulbook.sources import manifests, tables
+from haulbook.sources import appends, manifests, tables
 from haulbook.sources.appends import ROWS, AppendTable
 from haulbook.sources.deltas import DELTA, KeyedTable
 
@@ -195,6 +195,17 @@ def test_only_doubtful_folders_are_opened(spark):
     assert table.opened[0] <= 2
 
 
+def test_marks_of_a_large_batch_are_not_spread_out(spark, monkeypatch):
+    table = AppendTable(spark, fresh_dir(spark, "ids"), spark.createDataFrame([], "id string, n long").schema, "id", buckets=2)
+    table.append(spark.range(50).selectExpr("if(id = 7, null, concat('row-', id)) as id", "id as n"), 0)
+    rows = spark.range(60).selectExpr("if(id % 20 = 7, null, concat('row-', id)) as id", "id as n").cache()
+    monkeypatch.setattr(appends, "FEW", 40, raising=False)
+    # The filters' answers would be stored.
+    monkeypatch.setattr(appends, "materialize", None)
+    assert sorted(r.n for r in table.unseen(rows, below=1).collect()) == [7, 27, 47, *range(50, 60)]
+    assert table.opened == (2, 2)
+
+
 def test_ids_are_found_in_merged_folders(spark):
     schema = spark.createDataFrame([], "id string, n long").schema
     table = AppendTable(spark, fresh_dir(spark, "ids"), schema, "id", buckets=2, most=2)
