@@ -775,15 +775,16 @@ query("b06_due_sources")(lambda t: ledger.due_sources(t.ledger, "2024-01-31 12:0
 
 # --- streams --------------------------------------------------------------------------
 def _deliver(
-    t: Tables, feed: DataFrame, key, label: str, start, deliveries: int = 3, again: bool = False
+    t: Tables, feed: DataFrame, key, label: str, start, deliveries: int = 3, again: bool = False,
+    keys: DataFrame | None = None,
 ) -> None:
-    """Lands a feed in several deliveries, in the order of the numeric `key`, and lets the
-    stream catch up after each; with `again` all of it is delivered once more.
+    """Lands a feed in several deliveries, in the order of the numeric `key` (see `in_parts`), and
+    lets the stream catch up after each; with `again` all of it is delivered once more.
 
     Every start of the stream resumes at its checkpoint.
     """
     path = fresh_dir(t.spark, label)
-    for part in in_parts(feed, key, deliveries) + ([feed] if again else []):
+    for part in in_parts(feed, key, deliveries, keys) + ([feed] if again else []):
         part.write.mode("append").parquet(path)
         running = start(streams.feed_stream(t.spark, path, feed.schema))
         running.awaitTermination()
@@ -808,9 +809,9 @@ def _(t: Tables) -> DataFrame:
     out, checkpoint = fresh_dir(t.spark, "violations"), fresh_dir(t.spark, "checkpoint")
     _deliver(
         t, t.feed("violations"), F.col("tie_1"), "violations-feed",
-        lambda s: streams.direct_violations(s, t.carriers, out, checkpoint),
+        lambda s: streams.direct_violations(s, t.carriers, out, checkpoint), keys=t.violation_keys,
     )
-    return AppendTable(t.spark, out, t.violations.schema).read()
+    return AppendTable(t.spark, out, t.built_violations.schema).read()
 
 
 @query("t03_once_per_row_stream")

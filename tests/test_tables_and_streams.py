@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from haulbook.operators import documents, rows, safety
 from haulbook.plans.registry import REGISTRY
@@ -97,3 +98,14 @@ def test_repeated_source_rows_are_stored_once(t, rows_of):
     got = REGISTRY["t03_once_per_row_stream"](t)
     want = rows.clean_inspections(t.feed("inspections"))
     assert rows_of(got.select(*want.columns)) == rows_of(want)
+
+
+def test_violations_stream_stores_no_other_table(spark, rows_of, monkeypatch):
+    """Neither the batch load's table nor the joins of the feed are needed for its schema and cuts."""
+    t = Tables(spark, DIR)
+    monkeypatch.setattr(Tables, "violations", property(lambda self: pytest.fail("stored for its schema")))
+    looked_at, cuts = [], DataFrame.approxQuantile
+    monkeypatch.setattr(DataFrame, "approxQuantile", lambda df, *a: looked_at.append(df) or cuts(df, *a))
+    got = REGISTRY["t02_direct_violations_stream"](t)
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Join") for df in looked_at] == [0]
+    assert rows_of(got) == rows_of(t.built_violations.select(*got.columns))
