@@ -44,10 +44,11 @@ class GramStore:
 
     def update(self, change: Change, version: int) -> None:
         """Follows a change of the directory; the same version again does the same again."""
-        signed = gram_index(change.after).withColumn("n", F.lit(1)).unionByName(
-            gram_index(change.before).withColumn("n", F.lit(-1))
-        )
-        moved = signed.groupBy("gram", "usdot_number").agg(F.sum("n").alias("n")).where("n <> 0")
+        named = ("usdot_number", "legal_name", "dba_name")
+        signed = change.after.select(*named, F.lit(1).alias("n")).unionByName(change.before.select(*named, F.lit(-1).alias("n")))
+        # Most changed carriers keep their names: those cancel out before they become postings.
+        renamed = signed.groupBy(*named).agg(F.sum("n").alias("n")).where("n <> 0")
+        moved = gram_index(renamed, "n").groupBy("gram", "usdot_number").agg(F.sum("n").alias("n")).where("n <> 0")
         folders = manifests.live(self.spark, self.root, below=version)
         folders.append(self._store(moved.withColumn("held", F.col("n") > 0), DELTA, version))
         deltas, bases = ([f for f in folders if f.kind == kind] for kind in (DELTA, BASE))

@@ -35,9 +35,9 @@ def _name_grams(size: int = GRAM) -> Column:
     return F.concat(*both)
 
 
-def gram_index(carriers: DataFrame) -> DataFrame:
+def gram_index(carriers: DataFrame, *keep: str) -> DataFrame:
     """Postings (gram, usdot_number) of both names, to be stored sorted by gram."""
-    return carriers.select("usdot_number", F.explode(F.array_distinct(_name_grams())).alias("gram"))
+    return carriers.select("usdot_number", *keep, F.explode(F.array_distinct(_name_grams())).alias("gram"))
 
 
 def indexed_search(carriers: DataFrame, index: DataFrame, q: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from haulbook.operators import directory, search, stats, summaries
+from haulbook.operators import directory, gram_store, search, stats, summaries
 from haulbook.operators.gram_store import GramStore
 from haulbook.operators.kept import KeptDirectory
 from haulbook.schemas import CARRIERS
@@ -217,6 +217,19 @@ def test_ids_are_found_in_merged_folders(spark):
     assert table.read().count() == 35
 
 
+def test_names_that_stay_become_no_postings(spark, make_carriers, rows_of, monkeypatch):
+    kept = KeptDirectory(spark, fresh_dir(spark, "kept"), buckets=4)
+    kept.create(make_carriers(*[{"usdot_number": str(i), "legal_name": f"Name {i}"} for i in range(40)]), 0)
+    spread, index = [], search.gram_index
+    monkeypatch.setattr(gram_store, "gram_index", lambda df, *a: spread.append(df.count()) or index(df, *a))
+    batch = spark.range(40).selectExpr("id as src_seq", "cast(id as string) as usdot_number", "if(id = 3, 'Other', null) as legal_name", "'5' as phone")
+    kept.upsert(batch, "2024-01-01 00:00:00", 1)
+    assert sum(spread) == 2  # the one carrier's old name and its new one
+    assert kept.carriers.where("phone = '5'").count() == 40
+    wanted = index(kept.carriers)
+    assert rows_of(kept.grams.postings().select(*wanted.columns)) == rows_of(wanted)
+
+
 # --- statistics ----------------------------------------------------------------------------
 def test_counts_follow_moves(spark, make_carriers, rows_of):
     def carrier(n, state, active=True):
