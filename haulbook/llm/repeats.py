@@ -45,8 +45,8 @@ LENGTH = 100
 GRAM = 24
 #: Different stretches of one gram that one task may index.
 HOT = 20_000
-#: Bytes of stretches that are indexed together.
-BATCH_BYTES = 2 << 20
+#: Bytes of stretches that are indexed together; a task needs some 40 times as many meanwhile.
+BATCH_BYTES = 512 << 10
 #: Stretches that a task holds to find those it has twice, some 10 MB.
 HELD = 1 << 18
 
@@ -233,10 +233,12 @@ class RunIndex:
         """text: small non-negative numbers; 0 separates and never takes part in a match."""
         suffixes = suffix_array(text)
         # Nothing stands before the text: its first suffix ends every run.
-        before = np.where(suffixes > 0, text[suffixes - 1], -1)
-        heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        before = text[suffixes - 1]
+        before[suffixes == 0] = -1
+        heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])).astype(suffixes.dtype)
         self.run_chars, self.run_starts = before[heads], heads
         at, neighbour = suffixes[heads], suffixes[heads - 1]
+        del suffixes, before
         match = _common(text, at, neighbour)
         match[0] = 0  # the first suffix has no neighbour before it
         order = np.argsort(at)
@@ -251,29 +253,36 @@ class RunIndex:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """By prefix doubling from seven characters on; the end sorts before everything."""
-    n, bits = len(text), 9
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, dtype=np.int64)])
+    n, bits, number = len(text), 9, _number(len(text))
     key = np.zeros(n, dtype=np.int64)
     for i in range(7):
-        key = (key << bits) | padded[i:n + i]
+        key <<= bits
+        key[:max(n - i, 0)] += text[i:]
+        key[:max(n - i, 0)] += 1
     step = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], (key[order[1:]] != key[order[:-1]]).astype(np.int64)])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
+        order = np.argsort(key).astype(number)
+        key = key[order]
+        new = np.concatenate([[False], key[1:] != key[:-1]])
+        rank = np.empty(n, dtype=number)
+        rank[order] = np.cumsum(new, dtype=number)
         if n == 0 or rank[order[-1]] == n - 1:
             return order
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[:max(n - step, 0)] = rank[step:] + 1
-        key = rank * (n + 1) + ahead
+        np.multiply(rank, n + 1, out=key, dtype=np.int64)
+        key[:max(n - step, 0)] += rank[step:]
+        key[:max(n - step, 0)] += 1
         step *= 2
 
 
+def _number(n: int) -> type:
+    """What places in a text of n characters are kept in."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common beginning of the suffixes at a and at b."""
-    n, length = len(text), np.zeros(len(a), dtype=np.int64)
-    live = np.arange(len(a))
+    n, length = len(text), np.zeros(len(a), dtype=a.dtype)
+    live = np.arange(len(a), dtype=a.dtype)
     while len(live):
         x, y = a[live] + length[live], b[live] + length[live]
         inside = (x < n) & (y < n)
@@ -292,15 +301,16 @@ def repeated_starts(stretches: list[bytes], length: int = LENGTH) -> list[np.nda
     text[:] = joined
     text += 1
     text[begins[1:] - 1] = 0
-    index = RunIndex(text)
+    index, number = RunIndex(text), _number(len(text))
     counts = np.maximum(sizes - length + 1, 0)
-    rows = np.repeat(np.arange(len(stretches)), counts)
-    places = begins[:-1][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.repeat(np.arange(len(stretches), dtype=number), counts)
+    places = np.arange(len(rows), dtype=number)
+    places += np.repeat((begins[:-1] - np.cumsum(counts) + counts).astype(number), counts)
     match, neighbour = index.statistics(places)
     linked = match >= length
     # Chains of equal strings: follow the neighbours to the chain's head, jumping twice as
     # far each time, then take the first place of each chain.
-    head = np.arange(len(text), dtype=np.int64)
+    head = np.arange(len(text), dtype=number)
     head[places[linked]] = neighbour[linked]
     while True:
         further = head[head]
@@ -308,7 +318,7 @@ def repeated_starts(stretches: list[bytes], length: int = LENGTH) -> list[np.nda
             break
         head = further
     chain = head[places]
-    first = np.full(len(text), len(text), dtype=np.int64)
+    first = np.full(len(text), len(text), dtype=number)
     np.minimum.at(first, chain, places)
     again = places > first[chain]
     return [x - begins[i] for i, x in enumerate(np.split(places[again], np.searchsorted(rows[again], np.arange(1, len(stretches)))))]
@@ -360,7 +370,7 @@ def _slices(length: int):
 
 def _hot_strings(length: int):
     def work(batches):
-        for batch in batches:
+        for batch in chunks(batches, "bytes", BATCH_BYTES):
             out = {k: [] for k in ("name", "doc", "start")}
             for doc, start, raw in zip(*(batch.column(c).to_pylist() for c in ("doc", "start", "bytes"))):
                 for i in range(len(raw) - length + 1):

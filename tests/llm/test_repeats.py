@@ -119,3 +119,45 @@ def test_stretches_go_on_before_a_task_has_read_all():
 
     first = next(iter(rp._stretch_rows(100, 24, most=50)(batches())))
     assert len(first["gram"]) and len(read) < 10
+
+
+def _batches(rows, size=5000):
+    import pyarrow as pa
+
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_pylist([dict(zip(("gram", "doc", "start", "bytes"), r)) for r in rows[i:i + size]])
+
+
+def _peak(work):
+    """What the work returns, and the most bytes it held meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_index_holds_little_beside_its_stretches():
+    """A task's worker stands beside an executor whose heap is full: 222 MB of one were too many."""
+    rng, rows = np.random.default_rng(6), []
+    for gram in range(8000):
+        shared, *own = (bytes(rng.integers(97, 123, k, dtype=np.uint8)) for k in (110, 60, 60, 20))
+        rows += [(gram, 2 * gram, 5, own[0] + shared), (gram, 2 * gram + 1, 9, shared + own[1]), (gram, -1, 7, own[2] + b"A" + shared[1:])]
+    work = rp._index(100)
+    found, most = _peak(lambda: [(d, s, n) for out in work(_batches(rows)) for d, s, n in zip(out["doc"], out["start"], out["starts"])])
+    assert set(found) == {(-1, 28, 10)} | {(2 * gram + 1, 9, 11) for gram in range(8000)}
+    assert most < 60e6
+    # As many stretches as one gram may have are indexed together.
+    stretches = [bytes(rng.integers(97, 123, 150, dtype=np.uint8)) for _ in range(10_000)]
+    starts, most = _peak(lambda: rp.repeated_starts(stretches + stretches[:1]))
+    assert [len(s) for s in starts] == [0] * 10_000 + [51]
+    assert most < 45 * 150 * 10_000
+
+
+def test_strings_of_hot_grams_go_on_in_parts():
+    raw = bytes(np.random.default_rng(7).integers(97, 123, 176 * 8000, dtype=np.uint8))
+    rows = [(1, i, 3, raw[176 * i:176 * i + 176]) for i in range(8000)]
+    parts = [len(out["name"]) for out in rp._hot_strings(100)(_batches(rows, len(rows)))]
+    assert sum(parts) == 8000 * 77 and max(parts) < 300_000
