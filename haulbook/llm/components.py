@@ -2,8 +2,9 @@
 
 Each round joins every node with the smallest node that it or a neighbour knows, and writes
 its edges to the shared folder, so a lost executor costs a round at most and the plan stays
-short. A node with very many neighbours is aggregated before the shuffle, and the join that
-spreads its smallest neighbour is left to adaptive execution, which splits it.
+short. The rounds end when the edges are stars. A node with very many neighbours is aggregated
+before the shuffle, and the join that spreads its smallest neighbour is left to adaptive
+execution, which splits it.
 """
 
 from __future__ import annotations
@@ -17,18 +18,32 @@ from haulbook.session import materialize
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of an edge (a, b) the smallest node it is connected with."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    before = None
-    while True:
+    # A round reads its edges several times, so they are a file from the start: what made them
+    # would else be planned, and run, as often within the first round.
+    edges = materialize(edges, "component-links")
+    while not _are_stars(edges):
         edges = materialize(_small_star(_large_star(edges)), "component-edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b"), F.col("b")).distinct()
     )
 
 
+def components_of_both(one: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of two graphs, found in the same rounds: as many jobs as for one of them."""
+    graphs = [g.select(*(F.shiftleft(c, 1).bitwiseOR(F.lit(odd)).alias(c) for c in ("a", "b"))) for odd, g in enumerate((one, other))]
+    found = components(graphs[0].union(graphs[1]))
+    of = lambda odd: found.where(F.col("node").bitwiseAND(1) == odd).select(*(F.shiftright(c, 1).alias(c) for c in ("node", "root")))
+    return of(0), of(1)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node, or only edges from larger ones."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("a").alias("node"), one.alias("up"), none.alias("down")).union(edges.select("b", none, one))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.max(F.expr("up > 1 or up > 0 and down > 0"))).first()[0]
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """Fewer links with the same components, for links (a, b) of members a to heads b.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulbook.llm.common import arrow_map, chunks
-from haulbook.llm.components import components, contracted
+from haulbook.llm.components import components, components_of_both, contracted
 from haulbook.session import materialize
 
 WORDS = 5
@@ -440,8 +440,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     wanted = materialize(wanted.select("tid", "text").dropDuplicates(["tid"]), "near-wanted")
 
     links = materialize(verified(met.where("may").select("a", "b"), wanted, words, least), "near-links")
-    classes = components(links.select("a", "b"))
-    clusters = components(contracted(met.select("a", "b")))
+    classes, clusters = components_of_both(links.select("a", "b"), contracted(met.select("a", "b")))
     placed = (
         clusters.withColumnRenamed("root", "cluster")
         .join(classes.withColumnRenamed("root", "class"), "node", "left")
@@ -459,12 +458,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
         seen = met.where("may").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = pairs.union(stars.select(F.greatest("a", "b"), F.least("a", "b"))).distinct().join(seen, ["a", "b"], "left_anti")
         found = materialize(verified(more, wanted, words, least), "near-links-more")
-        links_all = links.union(found)
-        beside = materialize(beside_stars(stars, members, links_all), "near-beside")
+        added = found
+        beside = materialize(beside_stars(stars, members, links.union(found)), "near-beside")
         if not beside.isEmpty():
             beside = beside.join(seen, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
-            links_all = links_all.union(materialize(verified(beside, wanted, words, least), "near-links-beside"))
-        final = components(links_all.select("a", "b"))
+            added = added.union(materialize(verified(beside, wanted, words, least), "near-links-beside"))
+        # The classes stand for the links they come from.
+        final = components(classes.toDF("a", "b").union(added.select("a", "b")))
     grouped = (
         texts.select("tid", "k1", "k2", "first_doc")
         .join(final.withColumnRenamed("node", "tid"), "tid", "left")

@@ -153,6 +153,49 @@ def test_contracted_links_have_the_same_components(spark):
     assert contracted(links).count() < links.distinct().count()
 
 
+def components_plans(monkeypatch, call):
+    """The physical plans of the rounds that the call takes."""
+    from haulbook.llm import components as module
+
+    plans, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    call()
+    return [plan for label, plan in plans if label == "component-edges"]
+
+
+def test_a_round_does_not_plan_again_what_made_its_links(spark, monkeypatch):
+    """The driver held 41 exchanges of the first round over links that were not written yet."""
+    from haulbook.llm.components import contracted
+
+    links = spark.createDataFrame([(50 + i, j) for i in range(20) for j in (i, i + 1)], "a long, b long")
+    shuffled = links.groupBy("a", "b").count().repartition("b").distinct().select("a", "b")
+    plans = components_plans(monkeypatch, lambda: components(contracted(shuffled)))
+    assert plans and not any("Window" in p for p in plans)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    links = spark.createDataFrame([(9, 1), (8, 1), (3, 2), (2, 2)], "a long, b long")
+    assert len(components_plans(monkeypatch, lambda: components(links))) == 0
+    for rows in ([(9, 1), (9, 1)], [(9, 5), (5, 1)], [(9, 5), (9, 1)]):
+        got = sorted(tuple(r) for r in components(spark.createDataFrame(rows, "a long, b long")).collect())
+        assert got == sorted({(n, 1) for r in rows for n in r})
+    assert not components(links.where("a < 0")).collect()
+
+
+def test_components_of_two_graphs_in_the_same_rounds(spark, monkeypatch):
+    from haulbook.llm.components import components_of_both
+
+    rng = np.random.default_rng(3)
+    one, other = ([(int(a), int(b)) for a, b in rng.integers(-20, 60, (n, 2))] for n in (40, 25))
+    one, other = (spark.createDataFrame(rows, "a long, b long") for rows in (one, [*other, ((1 << 62) - 1, 1 << 61), (None, 3)]))
+    roots = lambda df: sorted(tuple(r) for r in df.collect())
+    both = []
+    rounds = len(components_plans(monkeypatch, lambda: both.extend(components_of_both(one, other))))
+    alone = []
+    each = [len(components_plans(monkeypatch, lambda g=g: alone.append(components(g)))) for g in (one, other)]
+    assert [roots(x) for x in both] == [roots(x) for x in alone] and 0 < rounds <= max(each)
+
+
 def open_cluster(spark, texts):
     return spark.createDataFrame([(0, i, i, t) for i, t in enumerate(texts)], "cluster long, class long, tid long, text string")
 
