@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulbook.session import materialize
+from haulbook.session import free_driver, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges, "component-links")
     while not _are_stars(edges):
         edges = materialize(_small_star(_large_star(edges)), "component-edges")
+        free_driver(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b"), F.col("b")).distinct()
     )

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from haulbook.llm.common import arrow_map, chunks
 from haulbook.llm.components import components, components_of_both, contracted
-from haulbook.session import materialize
+from haulbook.session import free_driver, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -391,6 +391,7 @@ def candidates(open_texts: DataFrame, words: int, least: float, rare: int = RARE
         by_rare, group, state = _level(state, rare)
         pairs.append(materialize(by_rare.distinct(), "near-pairs"))
         members.append(group)
+        free_driver(open_texts.sparkSession)
         if state.isEmpty():
             break
     pairs, members = (reduce(DataFrame.union, x) for x in (pairs, members))
@@ -440,6 +441,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     wanted = materialize(wanted.select("tid", "text").dropDuplicates(["tid"]), "near-wanted")
 
     links = materialize(verified(met.where("may").select("a", "b"), wanted, words, least), "near-links")
+    free_driver(spark)
     classes, clusters = components_of_both(links.select("a", "b"), contracted(met.select("a", "b")))
     placed = (
         clusters.withColumnRenamed("root", "cluster")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import re
 import tempfile
 import uuid
@@ -101,3 +102,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_driver(spark: SparkSession) -> None:
+    """Has the driver give up what it holds for plans that nobody refers to any more.
+
+    Spark drops their shuffles (files included), broadcasts and metrics when the driver's garbage
+    is collected. A loop of many small jobs makes much of it, and the heap grows instead.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
