@@ -105,10 +105,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def free_driver(spark: SparkSession) -> None:
-    """Has the driver give up what it holds for plans that nobody refers to any more.
+    """Has the driver collect the garbage of plans that nobody refers to any more.
 
-    Spark drops their shuffles (files included), broadcasts and metrics when the driver's garbage
-    is collected. A loop of many small jobs makes much of it, and the heap grows instead.
+    A loop of many small jobs makes much of it; otherwise the heap grows towards its limit, and
+    is not given back, though little of it is in use.
     """
     gc.collect()
     spark._jvm.System.gc()
