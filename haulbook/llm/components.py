@@ -3,8 +3,9 @@
 Each round joins every node with the smallest node that it or a neighbour knows, and writes
 its edges to the shared folder, so a lost executor costs a round at most and the plan stays
 short. The rounds end when the edges are stars. A node with very many neighbours is aggregated
-before the shuffle, and the join that spreads its smallest neighbour is left to adaptive
-execution, which splits it.
+before the shuffle. The join that spreads its smallest neighbour is one by sorting: the nodes are
+as many as the data has, and Spark, which knows the size of their packed file alone, would gather
+them in the driver, several tables of them a round.
 """
 
 from __future__ import annotations
@@ -62,10 +63,10 @@ def contracted(links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -17,6 +17,10 @@ bucket chose, and no cluster is compared pair by pair.
 
 Exact copies are folded before anything else and never verified.
 
+Tables with a row per text, link or element grow with the data. They are joined by sorting (the
+hint `merge`), whatever their files' packed size: built for a broadcast they take ten times that
+in the driver. Tables with a row per group are left to Spark.
+
 Defined cases: a null text is an empty one; texts without words are copies of each other;
 fewer than `WORDS` words make one shingle; repeated rows and rows with the same id are
 documents like others; the class id is the smallest doc_id of the class (null if all are
@@ -269,8 +273,8 @@ def _verify(words: int, least: float):
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough; texts: tid, text."""
     # Sorted by b, which is the same for all members of a bucket.
-    left = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+    left = pairs.hint("merge").join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.hint("merge").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
     return arrow_map(both.select("a", "b", "text_a", "text_b"), _verify(words, least), "a long, b long, similarity double")
 
 
@@ -315,8 +319,8 @@ def _level(state: DataFrame, rare: int) -> tuple[DataFrame, DataFrame, DataFrame
     )
     held = materialize(held, "near-held")
     ids = {k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("id")))).alias(k) for k in ("rare", "base", "mid")}
-    lists = rows.join(held, ["g", "el"]).groupBy("g", "tid").agg(*ids.values())
-    texts = state.drop("els").join(lists, ["g", "tid"]).join(sizes.select("g", "f_min"), "g")
+    lists = rows.join(held.hint("merge"), ["g", "el"]).groupBy("g", "tid").agg(*ids.values())
+    texts = state.drop("els").join(lists.hint("merge"), ["g", "tid"]).join(sizes.select("g", "f_min"), "g")
     usable = F.size("rare") + F.size("base") + F.size("mid")
     texts = texts.withColumn("usable", usable).withColumn("least_shared", _least_shared("low", "f", "f_min"))
     texts = materialize(texts.where("usable >= least_shared"), "near-lists")
@@ -324,7 +328,7 @@ def _level(state: DataFrame, rare: int) -> tuple[DataFrame, DataFrame, DataFrame
     # In the order rare, then others, the first element that two similar texts share comes this early.
     early = texts.withColumn("id", F.explode(F.slice("rare", F.lit(1), F.col("usable") - F.col("least_shared") + 1)))
     early = early.select("g", "id", "tid", "class", "n", "f", F.size("rare").alias("r"), (F.col("usable") - F.size("rare")).alias("c"))
-    x, y = early.alias("x"), early.alias("y")
+    x, y = early.alias("x"), early.alias("y").hint("merge")
     by_rare = x.join(
         y,
         (F.col("x.g") == F.col("y.g")) & (F.col("x.id") == F.col("y.id"))
@@ -411,8 +415,8 @@ def beside_stars(stars: DataFrame, members: DataFrame, links: DataFrame) -> Data
     """Pairs of the texts whose star link the alignment refused, as blocks in them are moved
     about. Nothing follows for them from the star, so they meet the other members."""
     either = links.select("a", "b").union(links.select("b", "a"))
-    refused = stars.join(either, ["a", "b"], "left_anti").select("g", F.col("a").alias("tid")).distinct()
-    x, y = members.join(refused, ["g", "tid"]).alias("x"), members.alias("y")
+    refused = stars.join(either.hint("merge"), ["a", "b"], "left_anti").select("g", F.col("a").alias("tid")).distinct()
+    x, y = members.join(refused.hint("merge"), ["g", "tid"]).alias("x"), members.alias("y").hint("merge")
     met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.class") != F.col("y.class")) & (F.col("x.f") + F.col("y.f") <= 1e-6))
     return met.select(F.greatest("x.tid", "y.tid").alias("a"), F.least("x.tid", "y.tid").alias("b")).distinct()
 
@@ -434,9 +438,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     met = met.select("a", "b", (often & alike).alias("may"))
     met = materialize(met, "near-met")
     asked = met.select(F.col("a").alias("tid")).union(met.select("b")).distinct()
-    asked = texts.select("tid", "k1", "k2", "first_doc").join(asked, "tid")
+    asked = texts.select("tid", "k1", "k2", "first_doc").join(asked.hint("merge"), "tid")
     # One row of each text: that of its first document, and of equal rows one.
-    k, t = keyed.alias("k"), asked.alias("t")
+    k, t = keyed.alias("k"), asked.alias("t").hint("merge")
     wanted = k.join(t, (F.col("k.k1") == F.col("t.k1")) & (F.col("k.k2") == F.col("t.k2")) & F.col("k.doc_id").eqNullSafe(F.col("t.first_doc")))
     wanted = materialize(wanted.select("tid", "text").dropDuplicates(["tid"]), "near-wanted")
 
@@ -445,7 +449,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     classes, clusters = components_of_both(links.select("a", "b"), contracted(met.select("a", "b")))
     placed = (
         clusters.withColumnRenamed("root", "cluster")
-        .join(classes.withColumnRenamed("root", "class"), "node", "left")
+        .join(classes.withColumnRenamed("root", "class").hint("merge"), "node", "left")
         .select(F.col("node").alias("tid"), "cluster", F.coalesce("class", "node").alias("class"))
     )
     placed = materialize(placed, "near-placed")
@@ -455,27 +459,27 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY,
     if still.isEmpty():
         final = classes
     else:
-        open_texts = placed.join(still, "cluster").join(wanted, "tid").select("cluster", "class", "tid", "text")
+        open_texts = placed.join(still, "cluster").hint("merge").join(wanted, "tid").select("cluster", "class", "tid", "text")
         pairs, stars, members = candidates(open_texts, words, least, rare)
-        seen = met.where("may").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        seen = met.where("may").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).hint("merge")
         more = pairs.union(stars.select(F.greatest("a", "b"), F.least("a", "b"))).distinct().join(seen, ["a", "b"], "left_anti")
         found = materialize(verified(more, wanted, words, least), "near-links-more")
         added = found
         beside = materialize(beside_stars(stars, members, links.union(found)), "near-beside")
         if not beside.isEmpty():
-            beside = beside.join(seen, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
+            beside = beside.join(seen, ["a", "b"], "left_anti").join(more.hint("merge"), ["a", "b"], "left_anti")
             added = added.union(materialize(verified(beside, wanted, words, least), "near-links-beside"))
         # The classes stand for the links they come from.
         final = components(classes.toDF("a", "b").union(added.select("a", "b")))
     grouped = (
         texts.select("tid", "k1", "k2", "first_doc")
-        .join(final.withColumnRenamed("node", "tid"), "tid", "left")
+        .join(final.withColumnRenamed("node", "tid").hint("merge"), "tid", "left")
         .withColumn("root", F.coalesce("root", "tid"))
     )
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "k1", "k2")
     ids = grouped.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.min(order).alias("head"))
-    named = grouped.join(ids, "root").select("k1", "k2", "class_id", F.when(order == F.col("head"), F.struct("first_doc")).alias("head"))
-    rows = keyed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
+    named = grouped.join(ids.hint("merge"), "root").select("k1", "k2", "class_id", F.when(order == F.col("head"), F.struct("first_doc")).alias("head"))
+    rows = keyed.select("doc_id", "k1", "k2").join(named.hint("merge"), ["k1", "k2"])
     first = F.col("head").isNotNull() & F.col("doc_id").eqNullSafe(F.col("head.first_doc"))
     return rows.select("doc_id", "k1", "k2", "class_id", first.alias("first"))
 
@@ -494,7 +498,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
         F.struct(*(docs[c] for c in docs.columns)).alias("row"),
     ).alias("d")
-    f = firsts.alias("f")
+    f = firsts.alias("f").hint("merge")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.k1") == F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))
     kept = rows.join(f, same).select("d.doc_id", "d.k1", "d.k2", "row", "rows")
     if not firsts.where("rows > 1").isEmpty():  # equal rows: one of them

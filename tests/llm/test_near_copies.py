@@ -173,6 +173,22 @@ def test_a_round_does_not_plan_again_what_made_its_links(spark, monkeypatch):
     assert plans and not any("Window" in p for p in plans)
 
 
+def test_tables_that_grow_with_the_data_are_joined_by_sorting(spark, monkeypatch):
+    """Several tables of nodes at once, each ten times its packed file, went through the driver."""
+    links = spark.createDataFrame([(i + 1, i) for i in range(8)], "a long, b long")
+    plans = components_plans(monkeypatch, lambda: components(links))
+    assert plans and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+    written, write = {}, nc.materialize
+    monkeypatch.setattr(nc, "materialize", lambda df, label: written.update({label: df._jdf.queryExecution().executedPlan().toString()}) or write(df, label))
+    rng = np.random.default_rng(4)
+    texts = family(rng, [f"b{i}" for i in range(60)], 30, lambda r: int(r.integers(0, 9)))
+    out = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plans = [written[label] for label in ("near-wanted", "near-links", "near-placed")]
+    for p in [*plans, out._jdf.queryExecution().executedPlan().toString()]:
+        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
 def test_garbage_of_the_driver_is_collected_after_each_round(spark, monkeypatch):
     from haulbook.llm import components as module
     from haulbook.session import free_driver
