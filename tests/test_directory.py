@@ -58,6 +58,51 @@ def test_indexed_search_equals_scan(spark, rows_of):
         assert rows_of(search.indexed_search(carriers, index, term).select("usdot_number")) == want
 
 
+def test_pairs_of_names_and_terms_do_not_grow_with_their_product(spark, make_carriers, monkeypatch):
+    """Terms met names by three characters: a share of all names for each of the terms."""
+    monkeypatch.setattr(search, "_matches", lambda name: F.lit(True))
+    pairs = {}
+    for n in (500, 2000):
+        numbers = [i * 48271 % 99_999_989 for i in range(1, n + 1)]
+        carriers = make_carriers(*[{"usdot_number": str(i), "legal_name": f"Customer#{x:08d} Hauling"} for i, x in enumerate(numbers)])
+        terms = spark.createDataFrame([(i, f"omer#{x:08d}") for i, x in enumerate(numbers)], "term_id long, term string")
+        for index in (None, search.gram_index(carriers)):
+            pairs[n, index is None] = search.batch_search(carriers, terms, index).count()
+    assert all(n <= found < 2 * n for (n, _), found in pairs.items()), pairs
+
+
+def test_batch_search_by_pieces_of_every_length(spark, make_carriers):
+    """Against a comparison of every term with every name."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    name = lambda: rng.choice([None, "", "".join(rng.choices("abAB1# ,éİ", k=rng.randint(1, 14)))])
+    names = [(name(), name()) for _ in range(150)]
+    carriers = make_carriers(*[{"usdot_number": f"9{i:05d}", "legal_name": a, "dba_name": b} for i, (a, b) in enumerate(names)])
+    texts = []
+    for _ in range(250):
+        text = rng.choice([n for pair in names for n in pair if n])
+        start, size = rng.randint(0, len(text)), rng.randint(3, 10)
+        text = text[start : start + size]
+        if rng.random() < 0.4 and text:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice("%_") + text[at + 1 :]
+        texts.append(text.upper() if rng.random() < 0.2 and text.isascii() else text)
+    texts = [t for t in texts if t.strip() and not t.strip().isdigit()]
+    rows = [(i // 2 if i % 5 else 7, t) for i, t in enumerate(texts + texts[:20])]  # ids repeat
+
+    def hits(text):
+        text = text.strip(" ").lower()
+        pattern = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in text), re.S)
+        return [f"9{i:05d}" for i, pair in enumerate(names) if any(pattern.search((n or "").lower()) for n in pair if n is not None)]
+
+    wanted = sorted((i, t, dot) for i, t in rows for dot in hits(t))
+    terms = spark.createDataFrame(rows, "term_id long, term string")
+    for index in (None, search.gram_index(carriers)):
+        assert sorted(tuple(r) for r in search.batch_search(carriers, terms, index).collect()) == wanted
+
+
 def test_batch_search_equals_single_searches(spark, make_carriers):
     carriers = make_carriers(
         {"usdot_number": "11", "legal_name": "Red Line LLC", "dba_name": "RL"},
